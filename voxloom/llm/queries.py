@@ -3,14 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.llm.encode import encode_corpus
+from voxloom.llm.lookalike import consistent_forms
+from voxloom.llm.terms import marked_terms
+from voxloom.operators.versions import current_version
 from voxloom.session import read_table
 
 
+def current_texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return current_version(read_table(spark, d, "utt_text"), ["uttid"], keep=["text", *columns])
+
+
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    return marked_terms(current_texts(spark, d), "text").select("term", "occurrences", "records", "mark")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_terms(spark, d).filter("mark is not null").select("term", "mark")
+
+
+def p4_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    """Word pairs by the same suffix arrays."""
+    return marked_terms(current_texts(spark, d), "text", max_n=2).filter("n = 2").select("term", "occurrences", "records")
+
+
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    return consistent_forms(current_texts(spark, d, "lang"), "uttid", "text", "lang").select("uttid", "form")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    forms = consistent_forms(current_texts(spark, d, "lang"), "uttid", "text", "lang")
+    return forms.filter("form <> text").select("uttid")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read_table(spark, d, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids}
-ORACLE: dict[str, str] = {}
+_CURRENT_TEXT = """
+WITH cur AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uttid ORDER BY loaded_at DESC NULLS LAST, text DESC NULLS LAST) AS rn
+                 FROM utt_text WHERE uttid IS NOT NULL) WHERE rn = 1)"""
+_TERMS = _CURRENT_TEXT + r""",
+pieces AS (SELECT uttid, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS w FROM cur WHERE text IS NOT NULL),
+occ AS (SELECT uttid, unnest(w) AS term FROM pieces),
+total AS (SELECT count(*) AS n FROM pieces WHERE len(w) > 0),
+counts AS (
+  SELECT term, count(*) AS occurrences, count(DISTINCT uttid) AS records,
+         CASE WHEN count(DISTINCT uttid) < 3 THEN 'rare' WHEN count(DISTINCT uttid) * 8 > (SELECT n FROM total) THEN 'common' END AS mark
+  FROM occ GROUP BY term)
+"""
+
+QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
+ORACLE: dict[str, str] = {
+    "p4_found": _TERMS + "SELECT term, mark FROM counts WHERE mark IS NOT NULL",
+    "p4_terms": _TERMS + "SELECT term, occurrences, records, mark FROM counts",
+    "p4_bigrams": _TERMS + """, pairs AS (SELECT uttid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM pieces WHERE len(w) > 1)
+SELECT term, count(*) AS occurrences, count(DISTINCT uttid) AS records FROM pairs GROUP BY term""",
+}
