@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.encode import encode_corpus
 from voxloom.llm.lookalike import consistent_forms
+from voxloom.llm.packing import pack
+from voxloom.llm.pieces import cut_pieces
+from voxloom.llm.splits import speaker_splits, tied_speakers
 from voxloom.llm.terms import marked_terms
 from voxloom.operators.versions import current_version
 from voxloom.session import read_table
@@ -16,6 +19,63 @@ def current_texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return current_version(read_table(spark, d, "utt_text"), ["uttid"], keep=["text", *columns])
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    tied = tied_speakers(read_table(spark, d, "utt2spk"))
+    a, b = tied.withColumnRenamed("speaker", "spk_a"), tied.withColumnRenamed("speaker", "spk_b")
+    return a.join(b, "component").filter("spk_a < spk_b").select("spk_a", "spk_b")
+
+
+def p1_splits(spark: SparkSession, d: str) -> DataFrame:
+    """A split for every utterance: 80/10/10, stratified by corpus and language."""
+    labels = current_texts(spark, d, "source", "lang").select("uttid", F.concat_ws("|", "source", "lang").alias("label"))
+    return speaker_splits(read_table(spark, d, "utt2spk"), labels, {"train": 0.8, "valid": 0.1, "test": 0.1})
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered pieces of every utterance that has a current segment or text."""
+    seg = current_version(read_table(spark, d, "segments"), ["uttid"], keep=["starttime", "endtime"])
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    seg = seg.select("uttid", ms("starttime").alias("start_ms"), ms("endtime").alias("end_ms"))
+    return cut_pieces(seg.join(current_texts(spark, d), "uttid", "full"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pieces(spark, d).filter("piece = 1").select("uttid")
+
+
+def packed_options(spark: SparkSession, d: str) -> DataFrame:
+    options = read_table(spark, d, "iterator_options").filter("batch_bins is not null").select(
+        "opt_id", F.lower(F.trim("batch_type")).alias("batch_type"), F.col("batch_bins").alias("capacity"), F.array_distinct("shape_files").alias("files")
+    )
+    shapes = current_version(read_table(spark, d, "shape_file"), ["uttid", "filename"], keep=["shape"])
+    usable = shapes.filter("size(shape) > 0 and shape[0] > 0")
+    wanted = options.select("opt_id", "batch_type", "capacity", F.size("files").alias("n_files"), F.explode("files").alias("filename"))
+    product = F.aggregate("shape", F.lit(1).cast("bigint"), lambda a, x: a * x)
+    load = F.when(F.col("batch_type") == "numel", product).otherwise(F.element_at("shape", 1))
+    # The options are a fixed table of a dozen rows; Spark broadcasts it by its size.
+    loads = usable.join(wanted, "filename").groupBy("opt_id", "capacity", "batch_type", "n_files", "uttid").agg(F.sum(load).alias("load"), F.count("*").alias("n"))
+    return loads.filter("n = n_files").select(F.col("opt_id").alias("bin_set"), "capacity", F.col("uttid").alias("item"), "load", "batch_type")
+
+
+def p5_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Mini-batches of every option that has a capacity."""
+    packed = pack(packed_options(spark, d))
+    return packed.select(F.col("bin_set").alias("opt_id"), F.col("container").alias("batch_id"), F.col("item").alias("uttid"), "part", "n_parts", F.col("part_load").alias("load"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = read_table(spark, d, "iterator_options").filter(F.lower(F.trim("batch_type")).isin("length", "numel")).select("opt_id")
+    split = p5_batches(spark, d).filter("n_parts > 1 and part = 0")
+    return split.join(kinds, "opt_id", "left_semi").select("opt_id", "uttid")
+
+
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Batches, load and share of the capacity used, by option."""
+    used = p5_batches(spark, d).groupBy("opt_id").agg(F.sum("load").alias("load"), F.countDistinct("batch_id").alias("n_batches"), F.count("*").alias("n_items"))
+    options = read_table(spark, d, "iterator_options").select("opt_id", "batch_bins")
+    return used.join(options, "opt_id").select("opt_id", "n_batches", "n_items", (F.col("load") / (F.col("batch_bins") * F.col("n_batches"))).alias("fill"))
+
+
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return marked_terms(current_texts(spark, d), "text").select("term", "occurrences", "records", "mark")
 
@@ -56,8 +116,33 @@ counts AS (
   FROM occ GROUP BY term)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
 ORACLE: dict[str, str] = {
+    "p1_found": r"""
+WITH RECURSIVE named AS (
+  SELECT DISTINCT uttid, lower(trim(spkid, E' \t\r\n')) AS s FROM utt2spk WHERE lower(trim(spkid, E' \t\r\n')) NOT IN ('', '<na>', 'unk')),
+edges AS (
+  SELECT a.s AS x, b.s AS y FROM named a JOIN named b ON a.uttid = b.uttid AND a.s <> b.s
+  UNION SELECT s, 'base:' || regexp_replace(s, '^(sp[0-9]+(\.[0-9]+)?-)+', '') FROM named
+  UNION SELECT 'base:' || regexp_replace(s, '^(sp[0-9]+(\.[0-9]+)?-)+', ''), s FROM named),
+reach AS (SELECT DISTINCT s AS f, s AS t FROM named UNION SELECT reach.f, edges.y FROM reach JOIN edges ON reach.t = edges.x)
+SELECT f AS spk_a, t AS spk_b FROM reach WHERE f < t AND t NOT LIKE 'base:%'""",
+    "p2_found": _CURRENT_TEXT + """,
+seg AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uttid ORDER BY loaded_at DESC NULLS LAST, starttime DESC NULLS LAST, endtime DESC NULLS LAST) AS rn
+                 FROM segments WHERE uttid IS NOT NULL) WHERE rn = 1)
+SELECT uttid FROM cur WHERE length(text) > 400
+UNION SELECT uttid FROM seg WHERE CAST(round(endtime * 1000) AS BIGINT) - CAST(round(starttime * 1000) AS BIGINT) > 30000""",
+    "p5_found": """
+WITH shp AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uttid, filename ORDER BY loaded_at DESC NULLS LAST, shape DESC NULLS LAST) AS rn
+                 FROM shape_file WHERE uttid IS NOT NULL AND filename IS NOT NULL) WHERE rn = 1),
+opt AS (
+  SELECT opt_id, lower(trim(batch_type)) AS kind, batch_bins, len(list_distinct(shape_files)) AS n, unnest(list_distinct(shape_files)) AS filename
+  FROM iterator_options WHERE batch_bins IS NOT NULL AND lower(trim(batch_type)) IN ('length', 'numel'))
+SELECT opt_id, uttid FROM opt JOIN shp USING (filename) WHERE len(shape) > 0 AND shape[1] > 0
+GROUP BY opt_id, uttid, batch_bins, n
+HAVING count(*) = n AND sum(CASE WHEN kind = 'numel' THEN list_aggregate(shape, 'product') ELSE shape[1] END) > batch_bins""",
     "p4_found": _TERMS + "SELECT term, mark FROM counts WHERE mark IS NOT NULL",
     "p4_terms": _TERMS + "SELECT term, occurrences, records, mark FROM counts",
     "p4_bigrams": _TERMS + """, pairs AS (SELECT uttid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM pieces WHERE len(w) > 1)
