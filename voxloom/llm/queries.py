@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.encode import encode_corpus
 from voxloom.llm.lookalike import consistent_forms
+from voxloom.llm.overlap import cross_split_pairs
 from voxloom.llm.packing import pack
 from voxloom.llm.pieces import cut_pieces
 from voxloom.llm.splits import speaker_splits, tied_speakers
@@ -89,6 +90,26 @@ def p4_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return marked_terms(current_texts(spark, d), "text", max_n=2).filter("n = 2").select("term", "occurrences", "records")
 
 
+#: The dsets of evaluation and of training utterances.
+EVALUATION, TRAINING = ("valid", "test", "test_other"), ("train", "train_sp")
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation and training utterances with the same or nearly the same text."""
+    texts = current_texts(spark, d, "dset", "source", "lang")
+    side = F.when(F.col("dset").isin(*EVALUATION), True).when(F.col("dset").isin(*TRAINING), False)
+    return cross_split_pairs(texts.withColumn("is_eval", side), "uttid", "text", "lang", "is_eval", keep=["dset", "source"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).select(F.least("eval_key", "train_key").alias("uttid_a"), F.greatest("eval_key", "train_key").alias("uttid_b")).distinct()
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs, and evaluation utterances with any, by dset and source."""
+    return p6_pairs(spark, d).groupBy("dset", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_key").alias("n_utts"))
+
+
 def p7_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_forms(current_texts(spark, d, "lang"), "uttid", "text", "lang").select("uttid", "form")
 
@@ -116,7 +137,7 @@ counts AS (
   FROM occ GROUP BY term)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_report": p6_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
 ORACLE: dict[str, str] = {
     "p1_found": r"""
 WITH RECURSIVE named AS (
