@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.encode import encode_corpus
+from voxloom.llm.leaks import RUN, leaked_items
 from voxloom.llm.lookalike import consistent_forms
 from voxloom.llm.overlap import cross_split_pairs
 from voxloom.llm.packing import pack
@@ -123,6 +124,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read_table(spark, d, "documents"))
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and held-out items that share a rare n-gram, with their alignment."""
+    return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "heldout_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).filter(F.col("longest_run") >= RUN).select("doc_id", "item_id")
+
+
 _CURRENT_TEXT = """
 WITH cur AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uttid ORDER BY loaded_at DESC NULLS LAST, text DESC NULLS LAST) AS rn
@@ -137,7 +147,7 @@ counts AS (
   FROM occ GROUP BY term)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_report": p6_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_report": p6_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 ORACLE: dict[str, str] = {
     "p1_found": r"""
 WITH RECURSIVE named AS (
