@@ -10,6 +10,7 @@ from voxloom.llm.leaks import RUN, leaked_items
 from voxloom.llm.lookalike import consistent_forms
 from voxloom.llm.overlap import cross_split_pairs
 from voxloom.llm.packing import pack
+from voxloom.llm.personal import find_personal
 from voxloom.llm.pieces import cut_pieces
 from voxloom.llm.splits import speaker_splits, tied_speakers
 from voxloom.llm.terms import marked_terms
@@ -133,6 +134,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).filter(F.col("longest_run") >= RUN).select("doc_id", "item_id")
 
 
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with placeholders in the place of personal information."""
+    return find_personal(read_table(spark, d, "documents"), read_table(spark, d, "name_lexicon"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_redacted(spark, d).select("doc_id", F.explode("kinds").alias("kind"))
+
+
 _CURRENT_TEXT = """
 WITH cur AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uttid ORDER BY loaded_at DESC NULLS LAST, text DESC NULLS LAST) AS rn
@@ -147,7 +157,7 @@ counts AS (
   FROM occ GROUP BY term)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_report": p6_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_report": p6_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLE: dict[str, str] = {
     "p1_found": r"""
 WITH RECURSIVE named AS (
