@@ -109,3 +109,15 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str) -> DataFra
     pieces = ordered.mapInPandas(label, _PIECES)
     # A period cut by a batch or partition edge comes in pieces with the same start.
     return pieces.groupBy("kind", "entity", "lo", F.when(F.col("kind") == "gap", F.col("hi")).alias("g")).agg(F.max("hi").alias("hi"), F.sum("n").alias("n")).select("kind", "entity", "lo", "hi", "n")
+
+
+def rescale(df: DataFrame, factor: float, keys: list[str], start: str = "starttime", end: str = "endtime", least: float = 0.01) -> DataFrame:
+    """Segments of a speed-perturbed copy: keys prefixed, times divided by the factor, two decimals as text.
+
+    Segments that the factor leaves no longer than ``least`` are dropped, as are those with a null time.
+    """
+    prefix = F.lit(f"sp{factor}-")
+    s, e = F.col(start) / factor, F.col(end) / factor
+    out = df.filter(e > s + least)
+    fixed = lambda c: F.format_string("%.2f", c)
+    return out.select(*[F.concat(prefix, F.col(c)).alias(c) if c in keys else fixed(s).alias(c) if c == start else fixed(e).alias(c) if c == end else F.col(c) for c in df.columns])

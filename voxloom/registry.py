@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["voxloom.plans.interval_queries"]
+MODULES = ["voxloom.plans.interval_queries", "voxloom.plans.relation_queries"]
 
 
 def collect() -> tuple[dict, dict]:
