@@ -42,10 +42,10 @@ def tokens_to_text(tokens: Column, space: str = "<space>") -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.when(t == space, " ").otherwise(t)), "")
 
 
-def grouped_chars(tokens: Column, n: int) -> Column:
-    """Joins n tokens each; the last group may be shorter."""
-    groups = F.sequence(F.lit(0), (F.ceil(F.size(tokens) / n) - 1).cast("int"))
-    return F.when(F.size(tokens) > 0, F.transform(groups, lambda i: F.array_join(F.slice(tokens, i * n + 1, F.lit(n)), ""))).when(tokens.isNotNull(), F.array().cast("array<string>"))
+def grouped_chars(c: Column, n: int, symbols: list[str] | None = None, space: str = "<space>") -> Column:
+    """Character tokens of a text joined n by n; the last group may be shorter."""
+    one = "|".join([*(re.escape(s) for s in sorted(symbols or [], key=len, reverse=True)), "."])
+    return F.transform(F.regexp_extract_all(c, F.lit(f"(?s)((?:{one}){{1,{n}}})"), F.lit(1)), lambda t: F.replace(t, F.lit(" "), F.lit(space)))
 
 
 def filter_words(c: Column, vocabulary: list[str], exclude: bool, unknown: str = "<UNK>") -> Column:
@@ -123,11 +123,12 @@ def bigram_shift(tokens: Column, begin: str = "<sos>", end: str = "<eos>") -> Co
 
 def collapse_repeats(tokens: Column, drop: list) -> Column:
     """Without immediate repeats, then without the dropped values."""
-    once = F.filter(tokens, lambda v, i: (i == 0) | (v != F.get(tokens, i - 1)))
-    return F.filter(once, lambda v: ~v.isin(*drop))
+    before = F.concat(F.array(F.lit(None).cast("string")), tokens)
+    pairs = F.zip_with(tokens, before, lambda v, p: F.when(~v.eqNullSafe(p) & ~v.isin(*drop), v))
+    return F.array_compact(pairs)
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Joined n-grams in order; none if there are fewer tokens."""
+    """Joined n-grams in order; none if there are fewer tokens. ``tokens`` should be a stored column."""
     last = F.size(tokens) - n
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))).when(tokens.isNotNull(), F.array().cast("array<string>"))

@@ -151,6 +151,11 @@ def contains_join(needles: DataFrame, haystack: DataFrame, needle: str, hay: str
     if not sizes:
         return needles.crossJoin(haystack.limit(0))
     lead = needles.filter(F.col(needle) != "").withColumn("__g", F.substring(needle, 1, gram))
-    grams = F.array_distinct(F.flatten(F.array(*[F.when(F.length(hay) >= n, F.transform(F.sequence(F.lit(1), F.length(hay) - (n - 1)), lambda i, n=n: F.substring(F.col(hay), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes])))
+
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(hay) - (n - 1))
+        return F.when(F.length(hay) >= n, F.transform(starts, lambda i: F.substring(F.col(hay), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*[grams_of(n) for n in sizes])))
     spread = haystack.withColumn("__g", F.explode(grams))
     return lead.join(spread, "__g").filter(F.col(hay).contains(F.col(needle))).drop("__g")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["voxloom.plans.interval_queries", "voxloom.plans.relation_queries"]
+MODULES = [f"voxloom.plans.{m}_queries" for m in ("interval", "relation", "text", "stat", "sequence", "batch")]
 
 
 def collect() -> tuple[dict, dict]:
