@@ -89,19 +89,23 @@ def rttm_labels(rows: DataFrame) -> DataFrame:
     return grouped.join(index, ["utt", "spk"]).select("utt", "n_samples", "spk", "spk_index", "active")
 
 
-def parse_report(lines: DataFrame, order: str, value: str = "value") -> DataFrame:
+def parse_report(lines: DataFrame, order: list[str], value: str = "value") -> DataFrame:
     """(record, id, speaker, scores, ref, hyp) of a scoring report: an ``id:`` line begins a record.
 
-    ``order`` is the line number. Records are numbered by a running count of ``id:`` lines in one
-    report; lines before the first are dropped, and the last record ends with the file.
+    ``order`` are columns that order the lines. Lines before the first ``id:`` are dropped, and
+    the last record ends with the file. Records are numbered without gathering the lines.
     """
+    from voxloom.operators.batching import Fold, fold_batches
+
     kind = F.regexp_extract(value, r"^\s*(id|Speaker sentences|Scores|REF|HYP)\s*:?", 1)
-    kept = lines.select(order, kind.alias("kind"), F.trim(F.regexp_replace(value, r"^\s*(id|Speaker sentences|Scores|REF|HYP)\s*:?\s*", "")).alias("v")).filter("kind <> ''")
-    record = F.sum((F.col("kind") == "id").cast("bigint")).over(Window.orderBy(order))
-    speaker = F.last(F.when(F.col("kind") == "Speaker sentences", F.col("v")), ignorenulls=True).over(Window.orderBy(order))
-    numbered = kept.withColumn("record", record).withColumn("spk", speaker).filter("record > 0")
+    kept = lines.select(*order, kind.alias("kind"), F.trim(F.regexp_replace(value, r"^\s*(id|Speaker sentences|Scores|REF|HYP)\s*:?\s*", "")).alias("v")).filter("kind <> ''")
+    by = lambda k: Fold(lambda v: [int(v[0] == k)], lambda s, v: None if v[0] == k else s)
+    spoken = fold_batches(kept, by("Speaker sentences"), ["kind"], order).withColumnRenamed("batch", "part")
+    rows = fold_batches(spoken, by("id"), ["kind"], order).withColumnRenamed("batch", "record")
     pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("v")))
-    return numbered.groupBy("record").agg(pick("id").alias("id"), F.max(F.when(F.col("kind") == "id", F.col("spk"))).alias("speaker"), pick("Scores").alias("scores"), pick("REF").alias("ref"), pick("HYP").alias("hyp"))
+    records = rows.groupBy("record").agg(pick("id").alias("id"), F.max(F.when(F.col("kind") == "id", F.col("part"))).alias("part"), *[pick(k).alias(n) for k, n in (("Scores", "scores"), ("REF", "ref"), ("HYP", "hyp"))]).filter("id is not null")
+    speakers = rows.groupBy("part").agg(pick("Speaker sentences").alias("speaker"))
+    return records.join(speakers, "part", "left").select("record", "id", "speaker", "scores", "ref", "hyp")
 
 
 def parse_scores(c: Column) -> Column:
@@ -110,15 +114,14 @@ def parse_scores(c: Column) -> Column:
     return F.struct(n(1).alias("c"), n(2).alias("s"), n(3).alias("d"), n(4).alias("i"))
 
 
-def parse_timing(lines: DataFrame, order: str, value: str = "value", pattern: str = "yyyy-MM-dd HH:mm:ss,SSS") -> DataFrame:
-    """(n, seconds): pairs of start and end lines of a decoding log, by their ordinal."""
+def parse_timing(lines: DataFrame, order: list[str], value: str = "value", pattern: str = "yyyy-MM-dd HH:mm:ss,SSS") -> DataFrame:
+    """(ordinal, seconds): the n-th start line and the n-th end line of a decoding log belong together."""
+    from voxloom.operators.ordering import global_index
+
     stamp = F.to_timestamp(F.regexp_extract(value, r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3})", 1), pattern)
-    marks = lines.filter(F.col(value).rlike("decoding (start|end)")).select(order, stamp.alias("t"), F.col(value).contains("decoding start").alias("is_start"))
-    n = F.row_number().over(Window.partitionBy("is_start").orderBy(order))
-    marks = marks.withColumn("n", n)
-    a = marks.filter("is_start").select("n", F.col("t").alias("a"))
-    b = marks.filter("not is_start").select("n", F.col("t").alias("b"))
-    return a.join(b, "n").select("n", (F.col("b").cast("double") - F.col("a").cast("double")).alias("seconds"))
+    marks = lambda what, name: global_index(lines.filter(F.col(value).contains(what)).select(*order, stamp.alias(name)), order).select("ordinal", name)
+    a, b = marks("decoding start", "a"), marks("decoding end", "b")
+    return a.join(b, "ordinal").select("ordinal", (F.col("b").cast("double") - F.col("a").cast("double")).alias("seconds"))
 
 
 # Lines to write
