@@ -351,7 +351,7 @@ def epoch_shuffle(s, d):
     return S.shuffled(read_table(s, d, "documents").select("doc_id"), "doc_id", 10, 5)
 
 
-@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, (i - (300 * 4) % n + n) % n AS place FROM o WHERE (i - (300 * 4) % n + n) % n < 300")
+@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT doc_id, n, (i - (300 * 4) % n + n) % n AS first FROM o) SELECT doc_id, unnest(range(first, 300, n)) AS place FROM p WHERE first < 300")
 def epoch_window(s, d):
     """The fifth short epoch of 300 items, running on over passes."""
     o = global_index(read_table(s, d, "documents").select("doc_id"), ["doc_id"])
