@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 PAD_INT, PAD_FLOAT = -32768, 0.0
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once a row; inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -62,16 +67,19 @@ def gain_db(x: Column, db: Column) -> Column:
 
 def peak_normalised(x: Column, target: float = 1.0) -> Column:
     """Scaled so that the largest magnitude is ``target``; all-zero arrays stay."""
-    peak = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    return F.when(peak > 0, F.transform(x, lambda v: v * target / peak)).otherwise(x)
+    scaled = lambda peak: F.when(peak > 0, F.transform(x, lambda v: v * target / peak)).otherwise(x)
+    return let(F.array_max(F.transform(x, lambda v: F.abs(v))), scaled)
 
 
 def with_noise(x: Column, noise: Column, snr_db: Column) -> Column:
     """Adds noise, repeated to the length, at a signal-to-noise ratio."""
     n = F.size(noise)
-    fitted = F.transform(x, lambda v, i: F.get(noise, F.pmod(i, n)))
-    scale = F.sqrt(dot(x, x) / (dot(fitted, fitted) + 1e-20) * F.pow(F.lit(10.0), -snr_db / 10))
-    return F.zip_with(x, fitted, lambda a, b: a + b * scale)
+
+    def mix(fitted: Column) -> Column:
+        scale = F.sqrt(dot(x, x) / (dot(fitted, fitted) + 1e-20) * F.pow(F.lit(10.0), -snr_db / 10))
+        return let(scale, lambda k: F.zip_with(x, fitted, lambda a, b: a + b * k))
+
+    return let(F.transform(x, lambda v, i: F.get(noise, F.pmod(i, n))), mix)
 
 
 def reflected(x: Column, length: Column) -> Column:
@@ -89,12 +97,16 @@ def mixed(x: Column, y: Column, gain: float) -> Column:
 def si_snr(ref: Column, est: Column) -> Column:
     """Scale-invariant signal-to-noise ratio in dB of mean-free signals."""
     n = F.size(ref)
-    centre = lambda v: F.transform(v, lambda e: e - F.aggregate(v, F.lit(0.0), lambda s, q: s + q) / n)
-    r, e = centre(ref), centre(est)
-    alpha = dot(r, e) / (dot(r, r) + 1e-20)
-    target = alpha * alpha * dot(r, r)
-    noise = dot(e, e) - 2 * alpha * dot(r, e) + target
-    return 10 * F.log10((target + 1e-20) / (noise + 1e-20))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, q: s + q) / n
+    centred = lambda v: let(mean(v), lambda m: F.transform(v, lambda e: e - m))
+    sums = lambda p: F.struct(dot(p["r"], p["r"]).alias("rr"), dot(p["e"], p["e"]).alias("ee"), dot(p["r"], p["e"]).alias("re"))
+
+    def ratio(d: Column) -> Column:
+        alpha = d["re"] / (d["rr"] + 1e-20)
+        target = alpha * alpha * d["rr"]
+        return 10 * F.log10((target + 1e-20) / (d["ee"] - 2 * alpha * d["re"] + target + 1e-20))
+
+    return let(let(F.struct(centred(ref).alias("r"), centred(est).alias("e")), sums), ratio)
 
 
 #: The twelve semitones from C.

@@ -44,11 +44,14 @@ def strict_join(dfs: list[DataFrame], key: str, keys: DataFrame | None = None, c
     if keys is not None:
         parts = [p.join(keys.select(key).distinct(), key, "left_semi") for p in parts]
     if check:
-        wanted = keys.select(key).distinct() if keys is not None else parts[0].select(key)
-        for p in parts:
-            odd = wanted.select(key).exceptAll(p.select(key)).union(p.select(key).exceptAll(wanted.select(key))).take(1)
-            if odd:
-                raise KeyMismatch(f"key {odd[0][0]!r} is not in every relation")
+        sources = [p.select(key) for p in parts] + ([keys.select(key).distinct()] if keys is not None else [])
+        # One aggregation over all keys: every source must hold each key equally often.
+        tagged = reduce(lambda a, b: a.union(b), [k.withColumn("__src", F.lit(i)) for i, k in enumerate(sources)])
+        times = [F.count_if(F.col("__src") == i) for i in range(len(sources))]
+        uneven = reduce(lambda a, b: a | b, [times[0] != t for t in times[1:]]) if len(times) > 1 else F.lit(False)
+        odd = tagged.groupBy(key).agg(uneven.alias("__odd")).filter("__odd").take(1)
+        if odd:
+            raise KeyMismatch(f"key {odd[0][0]!r} is not in every relation")
     return reduce(lambda a, b: a.join(b, key), parts)
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators.arrays import let
+
 
 def frames(x: Column, length: int, shift: int, centred: bool = False) -> Column:
     """Overlapping frames of ``length`` every ``shift``; a tail shorter than a frame is dropped.
@@ -35,10 +37,10 @@ def _dot(a: Column) -> Column:
 
 def voiced_frames(x: Column, length: int, shift: int, threshold: float = 0.01) -> Column:
     """Whether each frame's power exceeds ``threshold`` times the mean power; one true if shorter than a frame."""
-    f = frames(x, length, shift)
-    power = F.transform(f, lambda v: _dot(v) / length)
-    mean = F.aggregate(power, F.lit(0.0), lambda s, v: s + v) / F.size(power)
-    return F.when(F.size(x) < length, F.array(F.lit(True))).otherwise(F.transform(power, lambda p: (p > mean * threshold) | (mean == 0)))
+    power = F.transform(frames(x, length, shift), lambda v: _dot(v) / length)
+    mean = lambda p: F.aggregate(p, F.lit(0.0), lambda s, v: s + v) / F.size(p)
+    above = lambda p: let(mean(p), lambda m: F.transform(p, lambda v: (v > m * threshold) | (m == 0)))
+    return F.when(F.size(x) < length, F.array(F.lit(True))).otherwise(let(power, above))
 
 
 def deltas(df: DataFrame, by: list[str], t: str, x: str, width: int = 2) -> DataFrame:
@@ -151,12 +153,16 @@ def dtw(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 def trim_bounds(x: Column, drop_db: float, margin: int) -> Column:
     """struct(start, end) of samples louder than the loudest less ``drop_db``, widened by ``margin`` and clamped."""
-    power = F.transform(x, lambda v: v * v)
-    least = F.array_max(power) * (10 ** (-drop_db / 10))
-    loud = F.transform(power, lambda p: p > least)
-    first = F.array_position(loud, True) - 1
-    last = F.size(x) - F.array_position(F.reverse(loud), True) + 1
-    return F.when(F.array_contains(loud, True), F.struct(F.greatest(first - margin, F.lit(0)).alias("start"), F.least(last + margin, F.size(x)).alias("end")))
+
+    def bounds(loud: Column) -> Column:
+        first = F.array_position(loud, True) - 1
+        last = F.size(loud) - F.array_position(F.reverse(loud), True) + 1
+        return F.when(F.array_contains(loud, True), F.struct(F.greatest(first - margin, F.lit(0)).alias("start"), F.least(last + margin, F.size(loud)).alias("end")))
+
+    def loud(power: Column) -> Column:
+        return let(F.array_max(power) * (10 ** (-drop_db / 10)), lambda least: F.transform(power, lambda p: p > least))
+
+    return let(let(F.transform(x, lambda v: v * v), loud), bounds)
 
 
 def overlap_add(df: DataFrame, by: list[str], start: str, values: str) -> DataFrame:

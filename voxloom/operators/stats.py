@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators.arrays import let
+
 EPS = 1e-20
 
 
@@ -61,12 +63,11 @@ def normalise(df: DataFrame, feats: str, stats: DataFrame, by: list[str] | None
 def row_normalise(feats: Column, norm_var: bool = True, floor: float = EPS) -> Column:
     """One array by its own mean and deviation (floor on the variance)."""
     n = F.size(feats)
-    mean = F.aggregate(feats, F.lit(0.0), lambda a, x: a + x) / n
-    centred = F.transform(feats, lambda x: x - mean)
-    if not norm_var:
-        return centred
-    var = F.aggregate(feats, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean
-    return F.transform(centred, lambda x: x / F.sqrt(F.greatest(var, F.lit(floor))))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    squares = F.aggregate(feats, F.lit(0.0), lambda a, x: a + x * x)
+    std = lambda m: F.sqrt(F.greatest(squares / n - m * m, F.lit(floor))) if norm_var else F.lit(1.0)
+    made = let(total(feats) / n, lambda m: F.struct(m.alias("m"), std(m).alias("s")))
+    return let(made, lambda p: F.transform(feats, lambda x: (x - p["m"]) / p["s"]))
 
 
 def finite(c: Column) -> Column:
