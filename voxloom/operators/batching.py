@@ -196,10 +196,11 @@ def spread_tail(df: DataFrame, least: int, order: list) -> DataFrame:
     first = sizes[-1]["batch"]
     head, tail = df.filter(F.col("batch") < first), df.filter(F.col("batch") >= first)
     indexed = global_index(tail, order)
-    at, upto = F.lit(None).cast("bigint"), sum(rest)
-    for i, n in enumerate(rest):
-        upto -= n
-        at = F.coalesce(at, F.when(F.col("ordinal") >= upto, F.lit(sizes[1]["batch"] - i)))
+    bounds = [0]
+    for n in reversed(rest[1:]):
+        bounds.append(bounds[-1] + n)
+    # The place among the bounds of the few batches that can change.
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("ordinal"))) - 1 + F.lit(first).cast("bigint")
     return head.unionByName(indexed.withColumn("batch", at).drop("ordinal"))
 
 

@@ -122,17 +122,23 @@ def assignment(df: DataFrame, key: str, cost: str, missing: float = 1000.0) -> D
     """
     kind = df.schema[key].dataType.simpleString()
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        refs, hyps = sorted(f["ref"].unique()), sorted(f["hyp"].unique())
+    def match(pairs: list) -> list[dict]:
+        refs, hyps = sorted({p["ref"] for p in pairs}), sorted({p["hyp"] for p in pairs})
         table = np.full((len(refs), len(hyps)), missing)
-        for r, h, c in zip(f["ref"], f["hyp"], f[cost]):
-            table[refs.index(r), hyps.index(h)] = missing if c is None or c != c else c
+        for p in pairs:
+            c = p["cost"]
+            table[refs.index(p["ref"]), hyps.index(p["hyp"])] = missing if c is None or c != c else c
         turned = len(refs) > len(hyps)
         chosen = best_assignment(table.T if turned else table)
-        pairs = [(refs[j], hyps[i]) if turned else (refs[i], hyps[j]) for i, j in enumerate(chosen)]
-        return pd.DataFrame([(f[key].iat[0], r, h) for r, h in sorted(pairs)], columns=[key, "ref", "hyp"])
+        return [{"ref": refs[j], "hyp": hyps[i]} if turned else {"ref": refs[i], "hyp": hyps[j]} for i, j in enumerate(chosen)]
 
-    return df.select(key, F.col("ref").cast("bigint").alias("ref"), F.col("hyp").cast("bigint").alias("hyp"), F.col(cost).cast("double").alias(cost)).groupBy(key).applyInPandas(run, f"{key} {kind}, ref bigint, hyp bigint")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "matched": [match(list(p)) for p in b["pairs"]]})
+
+    pair = F.struct(F.col("ref").cast("bigint").alias("ref"), F.col("hyp").cast("bigint").alias("hyp"), F.col(cost).cast("double").alias("cost"))
+    packed = df.filter("ref is not null and hyp is not null").groupBy(key).agg(F.collect_list(pair).alias("pairs"))
+    return packed.mapInPandas(run, f"{key} {kind}, matched array<struct<ref:bigint,hyp:bigint>>").select(key, F.inline("matched"))
 
 
 def entity_scores(truth: DataFrame, guess: DataFrame, by: list[str]) -> DataFrame:
