@@ -346,7 +346,7 @@ LEX = Lexicon.of(["Vervok", "Tandek", "Rerkovsky", "Surkovsky", "Lorkovsky", "Il
         ("model hash 8101-0941-8789", []), ("checkpoint 20210947-3358", []), ("at 192.0.2.179", []), ("00:00:10,074 --> 00:00:15,000", []), ("version 2.1.13 on 2023-01-09", []),
         ("passport\nno. 961-79-3861", ["idnum"]), ("Steuer-ID: 23248271Z", ["idnum"]), ("tax id is k-203 777 86 that", ["idnum"]), ("carte d'identité no 0648\n4472 3887", ["idnum"]), ("passport control is open", []), ("catalogue number 8456-058", []),
         ("i live at 96 chidour lane", ["address"]), ("Adresse: Vaintstr. 46", ["address"]), ("habite au 230 bis, avenue Grunt", ["address"]), ("vive en Calle Slud 9, 1º B", ["address"]), ("A road recording of 6 epochs The long street", []), ("they moved to 12 Tandek Street, Flat 3", ["address"]),
-        ("the reader was Tandek Rerkovsky, recorded at home", ["name"]), ("my name is Rerkovsky, Vervok", ["name"]), ("thank you Dr. Nooo, go on", ["name"]), ("mein Name ist Foo B. Barsen", ["name"]), ("this is nolo patz speaking", ["name"]),
+        ("the reader was Tandek Rerkovsky, recorded at home", ["name"]), ("my name is Rerkovsky, Vervok", ["name"]), ("thank you Dr. Nooo, go on", ["name"]), ("mein Name ist Foo B. Barsen", ["name"]), ("this is nolo patz speaking", ["name"]), ("lu par leshida oroddelson", ["name"]), ("lu par un ami", []),
         ("the Tandek corpus has 68 hours", []), ("see the Rerkovsky recipe for details", []), ("thank you very much", []), ("this is the end", []), ("vervok.rerkovsky@example.org", ["email"]), ("", []),
     ],
 )
