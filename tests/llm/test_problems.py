@@ -332,6 +332,22 @@ def test_leaks_against_search(spark):
     assert leaked_items(d.limit(0), q).count() == 0 and leaked_items(d, q.limit(0)).count() == 0
 
 
+def edited(words, step, first):
+    """Every step-th word from the first one replaced."""
+    return [f"zz{i}" if i % step == first else w for i, w in enumerate(words)]
+
+
+def test_edited_copies_beside_an_exact_one(spark):
+    item = [f"q{i}" for i in range(60)]
+    texts = {0: item, **{k: edited(item, 7, 3) for k in range(1, 9)}, 9: [f"other{i}" for i in range(80)], 10: edited(item, 5, 4)}
+    d = spark.createDataFrame([(k, " ".join(w), "en") for k, w in texts.items()], "doc_id bigint, text string, lang string").repartition(3)
+    q = spark.createDataFrame([(1, " ".join(item), "en")], "item_id bigint, text string, lang string")
+    want = {k: align(w, item) for k, w in texts.items() if k < 9}
+    assert {r.doc_id: (r.score, r.equal_words, r.longest_run) for r in leaked_items(d, q).collect()} == want
+    alone = {r.doc_id: (r.score, r.equal_words, r.longest_run) for r in leaked_items(d.filter("doc_id > 0"), q).collect()}
+    assert alone == {k: v for k, v in want.items() if k}
+
+
 # 10. Personal information
 
 LEX = Lexicon.of(["Vervok", "Tandek", "Rerkovsky", "Surkovsky", "Lorkovsky", "Ilolmarez"])

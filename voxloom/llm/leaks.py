@@ -1,12 +1,10 @@
 """Held-out passages that leak into corpus documents.
 
-Method: rare n-gram seeds and local alignment. One pass over the corpus finds every n-gram of
-words that a document shares with any item. Of these the number of documents with each is
-counted, over the whole corpus; for every stretch of ``run`` words of an item the n-gram that
-the fewest documents hold is its seed. A document with a run of that length holds the seed of
-that stretch, so no such document is lost, while phrases that all documents share bring no
-candidates. Seeds join documents to items, and each pair is aligned by Smith-Waterman over
-words, which also scores edited and paraphrased copies.
+Method: n-gram seeds and local alignment. One pass over the corpus finds every n-gram of words
+that a document shares with any item. Each of them is a seed, however many documents hold it:
+whether a document and an item are aligned depends on the two alone, not on what else lies in
+the table. Every pair with a seed is aligned by Smith-Waterman over words, many pairs at once,
+which also scores edited and paraphrased copies. A run of SEED words or more is never missed.
 
 The items are a stated query set. They are taken in blocks of bounded size, each broadcast to
 one pass over the corpus, so a larger set takes more passes and no more memory.
@@ -17,20 +15,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.words import comparison_words
-from voxloom.session import cut_table
 
 #: Words of an n-gram seed, of the run that makes a leak, and kept around the n-grams found.
 SEED, RUN, AROUND = 5, 12, 20
 #: Items in one block.
 BLOCK_ITEMS = 20_000
-#: An item stretch that no document holds whole has a seed only if so few documents hold it.
-RARE_SHARE, RARE_DOCS = 0.001, 20
+#: Pairs of words that one round of alignments compares at most (one pair of texts at least).
+ROUND_CELLS = 2_000_000
+#: Pairs gathered before they are aligned.
+ROUND_PAIRS = 20_000
 #: Scores of the alignment: a pair of equal words, of different words, a word left out.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -51,52 +49,77 @@ def _grams(ids: np.ndarray, n: int) -> np.ndarray:
         return g.view(np.int64)
 
 
-def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """(score, equal words on the best path, longest run of equal words anywhere) of two word lists.
+def align_many(xs: list[np.ndarray], ys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, equal words on the best path, longest run of equal words anywhere) of pairs of word ids.
 
-    Smith-Waterman by rows: the running gap along a row is a prefix maximum, so each row is a
-    few array operations.
+    Ids of ``ys`` are 0 or more; -1 in ``xs`` is a word of no item. Smith-Waterman by rows of x,
+    all pairs abreast (last axis): the running gap along a row is a prefix maximum. Shorter texts
+    are padded with ids that equal nothing, which never raises a score.
     """
-    number = {w: i for i, w in enumerate(dict.fromkeys(b))}
-    x = np.array([number.get(w, -1) for w in a])
-    y = np.array([number[w] for w in b])
-    m = len(y)
-    ramp = np.arange(m + 1) * -GAP
-    score, equal, run = np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
-    best, best_equal, longest = 0, 0, 0
-    for i in range(len(x)):
+    n, m, k = max(map(len, xs)), max(map(len, ys)), len(xs)
+    x, y = np.full((n, k), -1, dtype=np.int32), np.full((m, k), -2, dtype=np.int32)
+    for j, (a, b) in enumerate(zip(xs, ys)):
+        x[: len(a), j], y[: len(b), j] = a, b
+    place = np.arange(m + 1, dtype=np.int32)[:, None]
+    ramp = place * np.int32(-GAP)
+    score, equal, run, longest = (np.zeros((m + 1, k), dtype=np.int32) for _ in range(4))
+    best, best_equal, pair = np.zeros(k, dtype=np.int32), np.zeros(k, dtype=np.int32), np.arange(k)
+    for i in range(n):
         same = y == x[i]
-        new_run = np.zeros(m + 1, dtype=np.int64)
-        new_run[1:] = np.where(same, run[:-1] + 1, 0)
+        new_run = np.zeros_like(run)
+        new_run[1:] = (run[:-1] + 1) * same
         run = new_run
-        longest = max(longest, int(run.max()))
-        diag = score[:-1] + np.where(same, MATCH, MISMATCH)
-        up = score[1:] + GAP
-        new = np.zeros(m + 1, dtype=np.int64)
+        np.maximum(longest, run, out=longest)
+        diag = score[:-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH))
+        up = score[1:] + np.int32(GAP)
+        new, new_equal = np.zeros_like(score), np.zeros_like(equal)
         new[1:] = np.maximum(np.maximum(diag, up), 0)
-        new_equal = np.zeros(m + 1, dtype=np.int64)
-        new_equal[1:] = np.where(new[1:] == 0, 0, np.where(diag >= up, equal[:-1] + same, equal[1:]))
+        new_equal[1:] = np.where(diag >= up, equal[:-1] + same, equal[1:]) * (new[1:] > 0)
         # Gaps along the row: the best earlier cell less the distance.
         lifted = new + ramp
-        top = np.maximum.accumulate(lifted)
-        source = np.maximum.accumulate(np.where(lifted == top, np.arange(m + 1), 0))
-        by_gap = top - ramp
-        better = by_gap > new
-        new_equal = np.where(better, new_equal[source], new_equal)
-        new = np.where(better, by_gap, new)
-        score, equal = new, new_equal
-        j = int(score.argmax())
-        if score[j] > best:
-            best, best_equal = int(score[j]), int(equal[j])
-    return best, best_equal, longest
-
-
-def _shared_stretches(docs: DataFrame, vocab: dict[str, int], grams: np.ndarray, kind: str) -> DataFrame:
-    """(doc, stretch, words, grams): the stretches of documents around n-grams of the items."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, grams))
+        top = np.maximum.accumulate(lifted, axis=0)
+        source = np.maximum.accumulate((lifted == top) * place, axis=0)
+        # A cell without a better earlier one is its own source.
+        score, equal = top - ramp, np.take_along_axis(new_equal, source, axis=0)
+        j = score.argmax(axis=0)
+        s = score[j, pair]
+        better = s > best
+        best, best_equal = np.where(better, s, best), np.where(better, equal[j, pair], best_equal)
+    return best, best_equal, longest.max(axis=0)
+
+
+def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """(score, equal words on the best path, longest run of equal words anywhere) of two word lists."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(b))}
+    score, equal, run = align_many([np.array([number.get(w, -1) for w in a])], [np.array([number[w] for w in b])])
+    return int(score[0]), int(equal[0]), int(run[0])
+
+
+def _rounds(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Indexes of pairs to align abreast: of like lengths, within ROUND_CELLS with their padding."""
+    take, n, m = [], 0, 0
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+        a, b = max(n, sizes[i][0]), max(m, sizes[i][1])
+        if take and (len(take) + 1) * a * b > ROUND_CELLS:
+            yield take
+            take, a, b = [], *sizes[i]
+        take.append(i)
+        n, m = a, b
+    if take:
+        yield take
+
+
+def _aligned(docs: DataFrame, vocab: dict[str, int], items: list[tuple[int, np.ndarray]], kind: str) -> DataFrame:
+    """(doc, item, score, equal_words, longest_run, item_words): the stretches of documents around
+    n-grams of the items, aligned with every item that holds one of these n-grams."""
+    found = [np.unique(_grams(ids, SEED)) for _, ids in items]
+    grams, holder = np.concatenate(found), np.repeat(np.arange(len(items)), [len(g) for g in found])
+    order = np.argsort(grams, kind="stable")
+    grams, first = np.unique(grams[order], return_index=True)
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, items, grams, np.append(first, len(order)), holder[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, wanted = shared.value
+        number, stated, wanted, first, holder = shared.value
         get = number.get
         for b in batches:
             keys = b.column(0)
@@ -113,41 +136,52 @@ def _shared_stretches(docs: DataFrame, vocab: dict[str, int], grams: np.ndarray,
                 whole &= known[k : k + len(whole)]
             at = np.flatnonzero(whole)
             g = _grams(ids, SEED)[at]
-            p = np.searchsorted(wanted, g)
-            hit = wanted[np.minimum(p, len(wanted) - 1)] == g
-            at, g = at[hit], g[hit]
+            p = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
+            hit = wanted[p] == g
+            at, p = at[hit], p[hit]
             if not len(at):
                 continue
             doc = np.searchsorted(begin, at, side="right") - 1
             head = np.ones(len(at), dtype=bool)
             head[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > AROUND)
             heads = np.append(np.flatnonzero(head), len(at))
-            rows = []
+
+            def scored(pairs: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+                for take in _rounds([(hi - lo, len(stated[i][1])) for _, i, lo, hi in pairs]):
+                    some = [pairs[t] for t in take]
+                    score, equal, longest = align_many([ids[lo:hi] for *_, lo, hi in some], [stated[i][1] for _, i, *_ in some])
+                    item = pa.array([stated[i][0] for _, i, *_ in some], pa.int64())
+                    words = pa.array([len(stated[i][1]) for _, i, *_ in some], pa.int32())
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([d for d, *_ in some])), item, *(pa.array(c, pa.int32()) for c in (score, equal, longest)), words], names=["doc", "item", "score", "equal_words", "longest_run", "item_words"])
+
+            pairs = []
             for s, e in zip(heads[:-1].tolist(), heads[1:].tolist()):
                 d = int(doc[s])
-                lo = max(0, int(at[s] - begin[d]) - AROUND)
-                hi = int(at[e - 1] - begin[d]) + SEED + AROUND
-                rows.append((d, int(at[s] - begin[d]), " ".join(texts[d][lo:hi]), g[s:e].tolist()))
-            d, stretch, words, gs = zip(*rows)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(d)), pa.array(stretch, pa.int32()), pa.array(words, pa.string()), pa.array(gs, pa.list_(pa.int64()))], names=["doc", "stretch", "words", "grams"])
+                lo = max(int(begin[d]), int(at[s]) - AROUND)
+                hi = min(int(begin[d] + size[d]), int(at[e - 1]) + SEED + AROUND)
+                # Every item with one of the stretch's n-grams, common or rare.
+                with_it = np.unique(np.concatenate([holder[first[q] : first[q + 1]] for q in np.unique(p[s:e]).tolist()]))
+                pairs += [(d, i, lo, hi) for i in with_it.tolist()]
+                if len(pairs) >= ROUND_PAIRS:
+                    yield from scored(pairs)
+                    pairs = []
+            yield from scored(pairs)
 
-    return docs.mapInArrow(run, f"doc {kind}, stretch int, words string, grams array<bigint>")
+    return docs.mapInArrow(run, f"doc {kind}, item bigint, score int, equal_words int, longest_run int, item_words int")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_key, item_key, score, equal_words, longest_run, item_words) of aligned documents and items.
 
-    One row per document and item that share a seed; of several stretches the best counts.
-    ``longest_run`` is the longest run of consecutive equal words; at RUN and above no pair is
-    missed. Edited copies are found by an n-gram that at most RARE_SHARE of the documents (or
-    RARE_DOCS) hold. Null, empty and short texts share nothing. Repeated keys are merged.
+    One row per document and item that share SEED consecutive words; of several stretches the
+    best counts. ``longest_run`` is the longest run of consecutive equal words. Null, empty and
+    short texts share nothing. Repeated keys are merged.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_key].dataType.simpleString()
     rows = docs.select(F.col(doc_key).alias("doc"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     stated = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("item is not null")
     blocks = -(-stated.count() // BLOCK_ITEMS)
-    rare = max(RARE_DOCS, int(RARE_SHARE * docs.count())) if blocks else 0
     out = None
     for block in range(blocks):
         part = stated.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
@@ -155,45 +189,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
         if not part:
             continue
         vocab = {w: i for i, w in enumerate(sorted({w for _, ws in part for w in ws}))}
-        marks = [(item, _grams(np.array([vocab[w] for w in ws]), SEED)) for item, ws in part]
-        grams = np.unique(np.concatenate([g for _, g in marks]))
-        found = cut_table(_shared_stretches(rows, vocab, grams, kind))
-        # Documents with each n-gram; one that most documents hold is pre-aggregated map-side.
-        held = found.select("doc", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("n_docs"))
-        places = spark.createDataFrame(
-            pd.DataFrame({"item": np.concatenate([np.full(len(g), i, dtype=np.int64) for i, g in marks]), "pos": np.concatenate([np.arange(len(g)) for _, g in marks]), "gram": np.concatenate([g for _, g in marks])})
-        )
-        # The rarest n-gram of each stretch of RUN words; a shorter item is one stretch.
-        width = RUN - SEED + 1
-        last = places.groupBy("item").agg(F.max("pos").alias("last"))
-        counted = places.join(held, "gram", "left").select("item", "pos", "gram", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
-        windows = Window.partitionBy("item").orderBy("pos").rowsBetween(0, width - 1)
-        met = F.when(F.col("n_docs").between(1, rare), F.struct("n_docs", "pos", "gram"))
-        seeds = (
-            counted.withColumn("least", F.min(F.struct("n_docs", "pos", "gram")).over(windows))
-            .withColumn("seed", F.when(F.col("least.n_docs") > 0, F.col("least")).otherwise(F.min(met).over(windows)))
-            .join(last, "item")
-            .filter(F.col("pos") <= F.greatest(F.col("last") - (width - 1), F.lit(0)))
-            .filter("seed.n_docs > 0")
-            .select("item", F.col("seed.gram").alias("gram"))
-            .distinct()
-        )
-        pairs = found.select("doc", "stretch", F.explode(F.array_distinct("grams")).alias("gram")).join(seeds, "gram").select("doc", "stretch", "item").distinct()
-        passages = spark.createDataFrame([(i, " ".join(ws)) for i, ws in part], "item bigint, item_text string")
-        todo = pairs.join(found.select("doc", "stretch", "words"), ["doc", "stretch"]).join(passages, "item")
-        aligned = todo.select("doc", "item", "words", "item_text").mapInPandas(_aligned(), f"doc {kind}, item bigint, score int, equal_words int, longest_run int, item_words int")
+        aligned = _aligned(rows, vocab, [(item, np.array([vocab[w] for w in ws])) for item, ws in part], kind)
         out = aligned if out is None else out.union(aligned)
     if out is None:
         return spark.createDataFrame([], f"{doc_key} {kind}, {item_key} bigint, score int, equal_words int, longest_run int, item_words int")
     best = out.groupBy("doc", "item").agg(F.max(F.struct("score", "equal_words")).alias("b"), F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"))
     return best.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "b.score", "b.equal_words", "longest_run", "item_words")
-
-
-def _aligned():
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pairs = [(w.split(" "), t.split(" ")) for w, t in zip(b["words"], b["item_text"])]
-            res = [(*align(w, t), len(t)) for w, t in pairs]
-            yield pd.concat([b[["doc", "item"]].reset_index(drop=True), pd.DataFrame(res, columns=["score", "equal_words", "longest_run", "item_words"])], axis=1)
-
-    return run
