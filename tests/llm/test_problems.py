@@ -348,6 +348,16 @@ def test_edited_copies_beside_an_exact_one(spark):
     assert alone == {k: v for k, v in want.items() if k}
 
 
+def test_edited_copies_of_a_recurring_passage(spark):
+    item = [f"q{i}" for i in range(40)]
+    copy = edited(item, 11, 5)
+    texts = {k: [f"a{k}x{i}" for i in range(5)] + copy + [f"b{k}x{i}" for i in range(5)] for k in range(60)}
+    q = spark.createDataFrame([(1, " ".join(item), "en")], "item_id bigint, text string, lang string")
+    for n in (10, 60):  # the number of copies makes no difference to any of them
+        d = spark.createDataFrame([(k, " ".join(texts[k]), "en") for k in range(n)], "doc_id bigint, text string, lang string").repartition(3)
+        assert {r.doc_id: (r.score, r.equal_words, r.longest_run) for r in leaked_items(d, q).collect()} == {k: align(texts[k], item) for k in range(n)}
+
+
 # 10. Personal information
 
 LEX = Lexicon.of(["Vervok", "Tandek", "Rerkovsky", "Surkovsky", "Lorkovsky", "Ilolmarez"])

@@ -126,7 +126,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and held-out items that share a rare n-gram, with their alignment."""
+    """Documents and held-out items that share an n-gram of words, with their alignment."""
     return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "heldout_items"))
 
 
