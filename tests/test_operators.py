@@ -211,3 +211,37 @@ def test_ctc_forward_sums_all_paths():
         if out == [1, 2]:
             total += math.exp(sum(logp[t, p] for t, p in enumerate(path)))
     assert abs(C.ctc_forward(logp, [1, 2]) - math.log(total)) < 1e-9
+
+
+def warped_by_cells(a, b):
+    """(cost, steps) of the best path; of equal costs the fewest steps."""
+    best = {(-1, -1): (0.0, 0)}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            c, n = min(best.get(p, (math.inf, 0)) for p in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
+            best[i, j] = (c + abs(a[i] - b[j]), n + 1)
+    return best[len(a) - 1, len(b) - 1]
+
+
+def test_warping_against_all_cells():
+    import numpy as np
+
+    rnd = random.Random(12)
+    for n, m in [(1, 1), (1, 7), (7, 1), (5, 5), (13, 40), (64, 64)]:
+        for draw in (lambda: float(rnd.randint(0, 3)), rnd.random):
+            a, b = [draw() for _ in range(n)], [draw() for _ in range(m)]
+            cost, steps = W.dtw_cost(np.array(a)[:, None], np.array(b)[:, None])
+            want = warped_by_cells(a, b)
+            assert abs(cost - want[0]) < 1e-9 and steps == want[1]
+
+
+def test_whole_vectors_are_warped(spark, tmp_path):
+    from voxloom.plans.sequence_queries import QUERIES
+
+    rnd = random.Random(13)
+    rows = [(i, 0, [rnd.random() if k >= 24 else 0.0 for k in range(64)]) for i in range(4)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.cost, r.mean_cost) for r in QUERIES["dtw_cost"](spark, str(tmp_path)).collect()}
+    for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect():
+        cost, steps = warped_by_cells(r.embedding, r.embedding[::-1])
+        assert abs(got[r.vec_id][0] - cost) < 1e-5 and abs(got[r.vec_id][1] - cost / steps) < 1e-5

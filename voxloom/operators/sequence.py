@@ -124,13 +124,19 @@ def dtw_cost(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     """Total distance and length of the best warping path of two sequences of vectors, exact."""
     d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
     n, m = d.shape
-    cost, steps = np.full((n + 1, m + 1), np.inf), np.zeros((n + 1, m + 1), dtype=int)
-    cost[0, 0] = 0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best = min((cost[i - 1, j - 1], steps[i - 1, j - 1]), (cost[i - 1, j], steps[i - 1, j]), (cost[i, j - 1], steps[i, j - 1]))
-            cost[i, j], steps[i, j] = best[0] + d[i - 1, j - 1], best[1] + 1
-    return float(cost[n, m]), int(steps[n, m])
+    # Anti-diagonals i + j = k of the table with its border, held by i; the cells of one need only the two before.
+    cost, steps = [np.full(n + 1, np.inf) for _ in range(2)], [np.zeros(n + 1, dtype=int) for _ in range(2)]
+    cost[0][0] = 0
+    for k in range(2, n + m + 1):
+        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
+        best, taken = cost[0][i - 1], steps[0][i - 1]
+        for c, s in ((cost[1][i - 1], steps[1][i - 1]), (cost[1][i], steps[1][i])):
+            less = (c < best) | ((c == best) & (s < taken))
+            best, taken = np.where(less, c, best), np.where(less, s, taken)
+        new, new_steps = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
+        new[i], new_steps[i] = best + d[i - 1, k - i - 1], taken + 1
+        cost, steps = [cost[1], new], [steps[1], new_steps]
+    return float(cost[1][n]), int(steps[1][n])
 
 
 def dtw(df: DataFrame, key: str, a: str, b: str) -> DataFrame:

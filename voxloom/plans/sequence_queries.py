@@ -143,8 +143,8 @@ def n_best_events(s, d):
 
 @query()
 def dtw_cost(s, d):
-    """Exact dynamic time warping of each vector with its reverse (rows only)."""
-    x = signals(s, d).select("vec_id", F.slice("x", 1, 24).alias("a"), F.reverse(F.slice("x", 1, 24)).alias("b"))
+    """Exact dynamic time warping of each whole vector with its reverse (rows only)."""
+    x = signals(s, d).select("vec_id", F.col("x").alias("a"), F.reverse("x").alias("b"))
     return W.dtw(x, "vec_id", "a", "b").select("vec_id", R6("cost").alias("cost"), R6("mean_cost").alias("mean_cost"))
 
 
