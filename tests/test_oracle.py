@@ -1,5 +1,8 @@
 """Every core query with SQL gives what DuckDB gives; the others run and give rows."""
 
+import re
+from collections import Counter
+
 import pytest
 
 from voxloom.registry import collect
@@ -19,3 +22,17 @@ def test_equals_sql(name, same):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_gives_rows(name, spark):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def texts_of(spark):
+    from voxloom.plans.relation_queries import texts
+
+    return {r.uttid: (r.text, r.lang) for r in texts(spark, SMALL, "lang").collect()}
+
+
+def test_whole_tables_of_events_and_orders(spark, tables):
+    n, seconds = tables.execute("SELECT count(*), sum(1 + event_id % 7) FROM events").fetchone()
+    assert [tuple(r) for r in QUERIES["decoding_times_all"](spark, SMALL).collect()] == [(float(seconds), n)]

@@ -89,7 +89,17 @@ def report_records(s, d):
 @query("SELECT round(sum(1 + event_id % 7), 3)::DOUBLE AS seconds, count(*) AS n FROM events WHERE event_id % 10 = 0")
 def decoding_times(s, d):
     """Pairs of start and end lines of a log."""
-    e = read_table(s, d, "events").filter("event_id % 10 = 0").select("event_id", F.col("ts").cast("timestamp").alias("t"))
+    return _timed(read_table(s, d, "events").filter("event_id % 10 = 0"))
+
+
+@query()
+def decoding_times_all(s, d):
+    """Pairs of start and end lines of a log of all events."""
+    return _timed(read_table(s, d, "events"))
+
+
+def _timed(events):
+    e = events.select("event_id", F.col("ts").cast("timestamp").alias("t"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss,SSS")
     lines = F.array(F.concat(stamp(F.col("t")), F.lit(" (asr:1) INFO: decoding start")), F.concat(stamp(F.timestamp_add("SECOND", (1 + F.col("event_id") % 7).cast("int"), F.col("t"))), F.lit(" (asr:2) INFO: decoding end")))
     rows = e.select("event_id", F.posexplode(lines).alias("p", "value"))
