@@ -79,7 +79,16 @@ def random_sequences(s, d):
 @query(f"WITH {TEXTS} SELECT uttid AS id, lang AS speaker, upper(text) AS ref, text AS hyp, length(text) AS c FROM txt WHERE lang = 'fr' AND regexp_full_match(text, '[^ \\t\\n\\r].*[^ \\t\\n\\r]')")
 def report_records(s, d):
     """Records of a scoring report, from its lines."""
-    t = texts(s, d, "lang").filter("lang = 'fr'").filter(F.col("text").rlike(r"^[^ \t\n\r].*[^ \t\n\r]$"))
+    return _reported(texts(s, d, "lang").filter("lang = 'fr'").filter(F.col("text").rlike(r"^[^ \t\n\r].*[^ \t\n\r]$")))
+
+
+@query()
+def report_records_all(s, d):
+    """Records of a report of all texts (without SQL: scripts and line breaks differ there)."""
+    return _reported(texts(s, d, "lang"))
+
+
+def _reported(t):
     lines = F.array(F.concat(F.lit("Speaker sentences "), "lang"), F.concat(F.lit("id: "), "uttid"), F.concat(F.lit("Scores: (#C #S #D #I) "), F.length("text").cast("string"), F.lit(" 1 2 3")), F.concat(F.lit("REF: "), F.upper("text")), F.concat(F.lit("HYP: "), "text"))
     rows = t.select("uttid", F.posexplode(lines).alias("p", "value"))
     out = formats.parse_report(rows, ["uttid", "p"])

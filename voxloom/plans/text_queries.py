@@ -111,7 +111,17 @@ def label_distribution(s, d):
 @query(f"WITH {TEXTS} SELECT uttid, trim(regexp_replace(regexp_replace(upper(text), '\\[[^\\]]*\\]|<[^>]*>', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM txt WHERE text IS NOT NULL AND lang IN ('en', 'es', 'ru')")
 def cleaned_text(s, d):
     """A chain of cleaners."""
-    return texts(s, d, "lang").filter("text is not null and lang in ('en', 'es', 'ru')").select("uttid", T.clean(F.col("text"), ["upper", "no_tags", "whitespace"]).alias("text"))
+    return _cleaned(texts(s, d, "lang").filter("lang in ('en', 'es', 'ru')"))
+
+
+@query()
+def cleaned_text_all(s, d):
+    """A chain of cleaners over all texts (without SQL: scripts differ there)."""
+    return _cleaned(texts(s, d))
+
+
+def _cleaned(t):
+    return t.filter("text is not null").select("uttid", T.clean(F.col("text"), ["upper", "no_tags", "whitespace"]).alias("text"))
 
 
 @query(
@@ -129,8 +139,18 @@ def hangul_spelled(s, d):
 @query(f"WITH {TEXTS} SELECT uttid, regexp_replace(regexp_replace(upper(text), ' +', ' ', 'g'), '\\(\\(', '(', 'g') || ' (' || uttid || ')' AS line, trim(regexp_replace(regexp_replace(text, '[()▁]', '', 'g'), ' +', ' ', 'g')) AS stripped, regexp_replace(text, '[!-/:-@\\[-`{{-~]', '', 'g') AS bare FROM txt WHERE lang = 'en' AND text IS NOT NULL")
 def normalised_trn(s, d):
     """Trn lines, stripped marks, no punctuation."""
+    return _normalised(texts(s, d, "lang").filter("lang = 'en'"))
+
+
+@query()
+def normalised_trn_all(s, d):
+    """Trn lines of all texts (without SQL: scripts differ there)."""
+    return _normalised(texts(s, d))
+
+
+def _normalised(t):
     c = F.col("text")
-    return texts(s, d, "lang").filter("lang = 'en' and text is not null").select("uttid", F.concat(T.normalise_trn(c), F.lit(" ("), "uttid", F.lit(")")).alias("line"), T.strip_marks(c).alias("stripped"), T.without_punctuation(c).alias("bare"))
+    return t.filter("text is not null").select("uttid", F.concat(T.normalise_trn(c), F.lit(" ("), "uttid", F.lit(")")).alias("line"), T.strip_marks(c).alias("stripped"), T.without_punctuation(c).alias("bare"))
 
 
 @query(
@@ -218,7 +238,17 @@ def speaker_to_utterances(s, d):
 )
 def stm_lines(s, d):
     """K7: stm lines."""
+    return _stm(s, d, texts(s, d, "lang").filter("lang = 'en'"))
+
+
+@query()
+def stm_lines_all(s, d):
+    """K7: stm lines of all texts (without SQL: scripts differ there)."""
+    return _stm(s, d, texts(s, d))
+
+
+def _stm(s, d, t):
     from voxloom.sources.formats import stm_line
 
-    rows = texts(s, d, "lang").filter("text is not null and lang = 'en'").join(speakers(s, d), "uttid").join(segments(s, d), "uttid").filter("recid is not null and endtime > starttime")
+    rows = t.filter("text is not null").join(speakers(s, d), "uttid").join(segments(s, d), "uttid").filter("recid is not null and endtime > starttime")
     return rows.select("uttid", stm_line("recid", "spk", "starttime", "endtime", "text").alias("line"))
