@@ -60,3 +60,30 @@ def test_report_of_all_texts(spark):
     got = {r.id: (r.speaker, r.hyp, r.ref, r.c) for r in QUERIES["report_records_all"](spark, SMALL).collect() if r.id in t}
     own = lambda x: x.lstrip(" \t\n\r\x0b\f").rstrip(" ")
     assert got == {u: (lang, own(x), own(x.upper()), len(x)) for u, (x, lang) in t.items()}
+
+
+def char_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edits_of_all_pairs(spark):
+    from voxloom.plans.scoring_queries import versions
+
+    pairs = {r.uttid: (r.ref, r.hyp) for r in versions(spark, SMALL).collect()}
+    got = {r.uttid: r.edits for r in QUERIES["char_edits_all"](spark, SMALL).collect()}
+    strip = lambda x: x.replace(" ", "")
+    assert got == {u: None if a is None or b is None else 0 if a == b else char_distance(strip(a), strip(b)) for u, (a, b) in pairs.items()}
+
+
+def test_word_edits_of_long_pairs(spark, tmp_path):
+    a = [f"w{i}" for i in range(300)]
+    b = [f"x{i}" if i % 3 == 0 else w for i, w in enumerate(a)][:280]
+    rows = [("u", " ".join(a), 2), ("u", " ".join(b), 1)]
+    spark.createDataFrame(rows, "uttid string, text string, loaded_at int").write.parquet(f"{tmp_path}/utt_text.parquet")
+    assert [tuple(r) for r in QUERIES["word_edits"](spark, str(tmp_path)).collect()] == [("u", 300, char_distance(a, b))]
+    assert [(r.edits, r.length) for r in QUERIES["wer_micro"](spark, str(tmp_path)).collect()] == [(char_distance(a, b), 300)]

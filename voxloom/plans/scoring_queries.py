@@ -58,7 +58,16 @@ def wer_micro(s, d):
 @query(f"WITH {_PAIRS} SELECT uttid, CAST(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', '')) AS BIGINT) AS edits, length(replace(ref, ' ', '')) AS n FROM pr WHERE regexp_full_match(ref || hyp, '[ -~]*')")
 def char_edits(s, d):
     """Character edit distance without blanks, of plain texts."""
-    p = versions(s, d).filter(F.concat("ref", "hyp").rlike("^[ -~]*$"))
+    return _char_edits(versions(s, d).filter(F.concat("ref", "hyp").rlike("^[ -~]*$")))
+
+
+@query()
+def char_edits_all(s, d):
+    """Character edit distance without blanks, of all pairs (without SQL: levenshtein counts bytes there); null where a text is."""
+    return _char_edits(versions(s, d))
+
+
+def _char_edits(p):
     return p.select("uttid", C.char_distance(F.col("ref"), F.col("hyp")).cast("bigint").alias("edits"), F.length(F.replace("ref", F.lit(" "))).cast("bigint").alias("n"))
 
 
