@@ -381,6 +381,16 @@ def test_found_kinds(text, kinds):
     assert sorted({k for _, _, k in spans}) == kinds
 
 
+@pytest.mark.parametrize("text", ["text five, five, zero, one, nine, three, two", "call vier-acht-zwei-drei-neun-sechs-eins", "al uno\ndos\ntres\ncuatro\nseis\nocho\nnueve", "un deux trois quatre cinq six sept"])
+def test_spoken_numbers_however_parted(text):
+    assert [k for *_, k in Finder(LEX).spans(text, "en")] == ["phone"]
+
+
+def test_a_number_far_behind_its_cue_is_redacted_whole():
+    text = "phone: " + "- " * 14 + "01632 960 9621 then"
+    assert redact(text, Finder(LEX).spans(text, "en")) == "phone: " + "- " * 14 + "[PHONE] then"
+
+
 def test_redaction_keeps_the_rest():
     text = "Hi Ｘ​! mail a​b@x.org or +1 204 555 0147\n002\tnext"
     assert redact(text, Finder(LEX).spans(text, "en")) == "Hi Ｘ​! mail [EMAIL] or [PHONE]\n002\tnext"
