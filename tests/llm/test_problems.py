@@ -10,7 +10,7 @@ from voxloom.llm.leaks import align, leaked_items
 from voxloom.llm.lookalike import consistent_forms, look_alike
 from voxloom.llm.overlap import WordIndex, cross_split_pairs, within_edits
 from voxloom.llm.packing import best_fit_plan, pack
-from voxloom.llm.personal import Finder, Lexicon, find_personal, redact
+from voxloom.llm.personal import Finder, Lexicon, find_personal, iban, luhn, redact
 from voxloom.llm.pieces import Limits, RangeMaximum, cut_item, cut_pieces
 from voxloom.llm.queries import ORACLE, QUERIES
 from voxloom.llm.splits import components, grouped_splits, plan_places, speaker_splits, tied_speakers
@@ -391,6 +391,51 @@ def test_a_number_far_behind_its_cue_is_redacted_whole():
     assert redact(text, Finder(LEX).spans(text, "en")) == "phone: " + "- " * 14 + "[PHONE] then"
 
 
+REAL = Lexicon.of(
+    "Anna Maria John Peter Thomas Michael Sarah Laura Julia Daniel Olga Pierre Carlos Kowalski Müller Schmidt Fernandez Garcia Martinez Johnson Williams Dubois Lefebvre Moreau Schneider Wagner Petrov Ivanova Smith Nilsson".split(),
+    ["We looked at the garden before noon and nobody asked whether the station was closed. Several people noticed how quickly the weather changed near the river last summer."],
+)
+# Wordings written for this test alone; no cue or shape of the finder was chosen from them.
+UNSEEN = [
+    ("You can write to us under helpdesk@city-library.example.", "email"), ("drop a line: k.meyer (at) mail.example.de", "email"), ("forward it to rosa underscore lind at posteo dot example", "email"), ("<a href='mailto:info+news@shop.example.fr'>", "email"), ("cc: J.O'Neil%40corp.example.com", "email"),
+    ("our hotline +49 30 901820 is open", "phone"), ("Rückruf unter 0171/2345678 erbeten", "phone"), ("joignable au 01 42 68 53 00", "phone"), ("dial (415) 555-0132 for the desk", "phone"), ("fax 020 7946 0018", "phone"), ("ring nine one one five five five zero one two", "phone"),
+    ("Mi móvil es 612 345 678", "phone"), ("WhatsApp: +34 612 345 678", "phone"),
+    ("card number 5555 5555 5555 4444 expires in May", "idnum"), ("IBAN GB82 WEST 1234 5698 7654 32", "idnum"), ("social security 219-09-9999", "idnum"), ("NIF 12345678Z del cliente", "idnum"), ("n° de sécurité sociale 2 69 05 49 588 157 80", "idnum"), ("Personalausweis L01X00T47", "idnum"), ("his passport C01X00T478 was lost", "idnum"),
+    ("deliver it to 221 Baker Street", "address"), ("Sie zog in die Goethestraße 12", "address"), ("rendez-vous au 14 rue des Lilas", "address"), ("quedamos en calle Mayor 5", "address"), ("the shop at 1600 Pine Avenue", "address"), ("Büro: Lindenallee 4a, 10115 Berlin", "address"),
+    ("Professor Okafor opened the session", "name"), ("a talk given by Anna Petrov", "name"), ("Frau Schönberger hat angerufen", "name"), ("Mme Lachapelle est absente", "name"), ("Yours truly, Peter Schmidt", "name"), ("regards, Imogen Hathaway", "name"), ("the author is Tobias Lindqvist", "name"), ("la señora Echeverría no vino", "name"),
+    ("hosted by Femi Adeyemi", "name"), ("Michael Obuya won the race", "name"), ("ich bin Laura Neumann", "name"), ("we met Sarah Johnson there", "name"), ("narrated by Quentin Abernathy", "name"), ("Ludwig van Moreau sang", "name"), ("Smith, John was absent", "name"), ("It was written by Olga Brandt", "name"),
+]
+UNSEEN_NONE = [
+    "Thank you Everyone, go on", "This is Radio speaking", "see you at noon at example dot com", "the build 4.1.2 took 12:30:45", "order 1234-5678-9012-3456 shipped", "row 4111111111111112 is wrong", "at 10.0.0.1 on 2021-03-04", "the Anna corpus has 40 hours", "a model by the Smith toolkit", "we drove down the long road", "ping @anna_k for help",
+    "the report was read by everyone", "thanks to all of you", "Hello World, this is a test", "sha 9f86d081 and 884c7d65", "chapter 3 place 2", "page 100-22-13 of 7", "dear readers of this page", "the passport office is closed", "ISBN 978-3-16-148410-0", "GB82 WEST 1234 5698 7654 33", "von Anfang an dabei", "la calle estaba vacía", "asked twice before lunch", "interview with the manager",
+]
+
+
+def test_wordings_not_chosen_from():
+    finder = Finder(REAL)
+    missed = [t for t, kind in UNSEEN if kind not in {k for *_, k in finder.spans(t, "en")}]
+    false = [(t, s) for t in UNSEEN_NONE if (s := finder.spans(t, "en"))]
+    extra = [t for t, kind in UNSEEN if {k for *_, k in finder.spans(t, "en")} - {kind}]
+    assert len(missed) <= len(UNSEEN) // 10 and len(false) <= 1 and len(extra) <= 1, (missed, false, extra)
+
+
+def test_numbers_pass_their_own_check():
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+    assert iban("DE89 3704 0044 0532 0130 00".lower()) and not iban("de88 3704 0044 0532 0130 00")
+    kinds = lambda t: [k for *_, k in Finder(REAL).spans(t, "en")]
+    assert kinds("12345678Z") == ["idnum"] and kinds("12345678A") == [] and kinds("078-05-1120") == ["idnum"] and kinds("666-05-1120") == []
+    assert kinds("dni 12345678A") == ["idnum"]  # a cue vouches for a mistyped number
+
+
+def test_classifier_of_names_on_names_it_was_not_fitted_on(spark):
+    names = sorted({r.name.lower() for r in spark.read.parquet(f"{SMALL}/name_lexicon.parquet").collect() if r.name})
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").filter("text is not null").collect()]
+    half = Lexicon.of(names[::2], texts)
+    assert sum(half.value(n) > 0 for n in names[1::2]) >= 0.85 * len(names[1::2])
+    plain = "garden curtain thursday weather bottle morning quickly however nobody station between".split()
+    assert sum(half.value(w) > 0 for w in plain) <= 1
+
+
 def test_redaction_keeps_the_rest():
     text = "Hi Ｘ​! mail a​b@x.org or +1 204 555 0147\n002\tnext"
     assert redact(text, Finder(LEX).spans(text, "en")) == "Hi Ｘ​! mail [EMAIL] or [PHONE]\n002\tnext"
