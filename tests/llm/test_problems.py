@@ -11,11 +11,12 @@ from voxloom.llm.lookalike import consistent_forms, look_alike
 from voxloom.llm.overlap import WordIndex, cross_split_pairs, within_edits
 from voxloom.llm.packing import best_fit_plan, pack
 from voxloom.llm.personal import Finder, Lexicon, find_personal, iban, luhn, redact
-from voxloom.llm.pieces import Limits, RangeMaximum, cut_item, cut_pieces
-from voxloom.llm.queries import ORACLE, QUERIES
+from voxloom.llm.pieces import Limits, RangeMaximum, cut_item, cut_pieces, cut_units, strengths
+from voxloom.llm.queries import ORACLE, QUERIES, current_texts
 from voxloom.llm.splits import components, grouped_splits, plan_places, speaker_splits, tied_speakers
 from voxloom.llm.terms import marked_terms, ngram_counts
 from voxloom.llm.words import comparison_words
+from voxloom.operators.versions import current_version
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -110,30 +111,97 @@ def distinct(n):
     return "".join(chr(0x4E00 + i) for i in range(n))
 
 
+def plain_cuts(value, longest, overlap, share):
+    """The rule of cut_units by looking at every position."""
+    best = lambda i, j: max(range(i, j + 1), key=lambda k: (value[k], k))
+    n, out, start = len(value) - 1, [], 0
+    while n - start > longest:
+        low = start + max(overlap + 1, int(longest * share))
+        end = best(low, start + longest)
+        if value[end] <= 0 and low - 1 > start + overlap and value[best(start + overlap + 1, low - 1)] > value[end]:
+            end = best(start + overlap + 1, low - 1)
+        out.append((start, end))
+        begin = best(max(start + 1, end - 2 * overlap), end - overlap)
+        start = begin if value[begin] > 0 else next((i for i in range(end - overlap + 1, end) if value[i] > 0), begin)
+    return [*out, (start, n)]
+
+
+def test_cuts_equal_the_rule_by_brute_force():
+    rnd = random.Random(31)
+    import numpy as np
+
+    for _ in range(300):
+        v = np.array([rnd.choice([0, 0, 0, 0, -2, -1, 2, 3, 4]) for _ in range(rnd.randint(1, 400))], dtype=np.int8)
+        longest = rnd.randint(4, 80)
+        overlap = rnd.randint(1, longest // 3)
+        assert cut_units(v, longest, overlap, 0.5) == plain_cuts(v.tolist(), longest, overlap, 0.5)
+
+
+def check_pieces(text, start, end, pieces, lim):
+    """Limits, cover, overlap, one array for text and time, no empty piece, no needless cut inside words."""
+    value = strengths(text or "")
+    timed = start is not None and end is not None and end > start
+    ms, at, last = (end - start if timed else 0), 0, None
+    for k, (t, a, b) in enumerate(pieces):
+        if timed:
+            assert 0 < b - a <= lim.ms and (last is None or a < last)
+            last = b
+        if not text:
+            continue
+        assert t and len(t) <= lim.chars
+        if timed:
+            p = round((a - start) * len(text) / ms - 0.5 + 1e-9) if ms * 4 > lim.ms * len(text) else round((a - start) * len(text) / ms)
+        else:
+            p = text.find(t, max(0, at - 2 * lim.overlap_chars))
+        assert 0 <= p <= at and text[p : p + len(t)] == t
+        q = p + len(t)
+        for cut in (p, q):
+            if 0 < cut < len(text) and ms * 4 <= lim.ms * len(text):
+                assert value[cut] != -2 or (value[max(1, cut - 8) : cut + 1] == -2).all()
+        at = max(at, q)
+    assert not text or at == len(text)
+    assert not timed or (pieces[0][1] == start and pieces[-1][2] == end)
+
+
 @pytest.mark.parametrize(
     "text,start,end",
     [
         (" ".join(f"word{i}" for i in range(300)), None, None), (distinct(2000), 0, 50_000), (" ".join(f"Hallo Welt{i}." for i in range(90)), 1000, 95_000), (None, 0, 95_500), ("ab", 0, 200_000), ("", 5, 30_006),
-        ("。".join(distinct(800)), None, None), (" ".join(f"a{i}" for i in range(9000)), 0, 10**7), (distinct(401), 0, 7_200_000),
+        ("。".join(distinct(800)), None, None), (" ".join(f"a{i}" for i in range(9000)), 0, 10**7), (distinct(401), 0, 7_200_000), ("hello world", 0, 90_000), (" ".join(chr(0x4E00 + i) + "\u0301\u0323" for i in range(300)), 7, 61_007), ("x" * 390 + "\u0301" * 30 + "y" * 100, None, None),
     ],
 )
 def test_pieces_cover_and_stay_within_limits(text, start, end):
-    lim = Limits()
-    pieces = cut_item(text, start, end, lim)
+    pieces = cut_item(text, start, end, Limits())
     assert len(pieces) > 1
-    for t, a, b in pieces:
-        assert t is None or len(t) <= lim.chars
-        assert a is None or 0 < b - a <= lim.ms
-    if start is not None:
-        assert pieces[0][1] == start and pieces[-1][2] == end
-        assert all(x[2] - y[1] in (1000, 999, 1001) for x, y in zip(pieces, pieces[1:]))
-    if text:
-        at = 0
-        for t, *_ in pieces:  # every piece begins within or right after the text before
-            i = text.find(t, max(0, at - 45))
-            assert 0 <= i <= at
-            at = max(at, i + len(t))
-        assert at == len(text)
+    check_pieces(text, start, end, pieces, Limits())
+    if start is not None:  # a second or more is shared, and the pieces' times are those of their texts
+        assert all(x[2] - y[1] >= 999 for x, y in zip(pieces, pieces[1:]))
+
+
+def test_words_and_letters_stay_whole():
+    text = " ".join("wörd" * 3 + str(i) for i in range(200))
+    words = set(text.split())
+    for t, *_ in cut_item(text, 0, 120_000, Limits()):
+        assert set(t.split()) <= words
+    marks = "e\u0301o\u0323\u0300" * 300
+    for t, *_ in cut_item(marks, None, None, Limits()):
+        assert t[0] in "eo" and (t[-1] in "\u0301\u0300")
+
+
+def test_all_pieces_of_the_tables(spark):
+    rows = QUERIES["p2_pieces"](spark, SMALL).collect()
+    seg = {r.uttid: (r.starttime, r.endtime) for r in current_version(spark.read.parquet(f"{SMALL}/segments.parquet"), ["uttid"], keep=["starttime", "endtime"]).collect()}
+    texts = {r.uttid: r.text for r in current_texts(spark, SMALL).collect()}
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.uttid, r.piece)):
+        got.setdefault(r.uttid, []).append((r.text, r.start_ms, r.end_ms))
+    assert set(got) == set(seg) | set(texts)
+    for u, pieces in got.items():
+        s, e = (None if x is None or x != x else int(x * 1000 + 0.5) for x in seg.get(u, (None, None)))
+        if len(pieces) == 1:
+            assert pieces[0][0] == texts.get(u) and len(texts.get(u) or "") <= 400
+        else:
+            check_pieces(texts.get(u), s, e, pieces, Limits())
 
 
 def test_piece_rows(spark):

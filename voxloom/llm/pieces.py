@@ -1,13 +1,20 @@
 """Cutting oversized utterances into numbered pieces under two limits, at natural boundaries.
 
-Method: every position of a text gets the strength of the boundary there (sentence end, word
-end, inside a word). A sparse table over the strengths answers "strongest boundary between i
-and j" in constant time. Each cut is the strongest boundary in the window of permissible
-lengths, the rightmost among equals; the next piece starts the overlap before the cut.
+Method: every position of a text gets the strength of the boundary there (sentence end, clause
+end, word end, inside a word, before a combining mark). A sparse table over the strengths
+answers "strongest boundary between i and j" in constant time. Each cut is the strongest
+boundary in the window of permissible lengths, the rightmost among equals; the next piece
+starts the overlap before the cut.
+
+Text and time share one array of boundaries: time runs evenly over the characters, and the
+times of a piece are those of its first and last position. Where a few characters already
+fill the time limit, the positions are parts of characters, and a piece holds every character
+that it touches; a segment without text is one such stretch.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,59 +36,89 @@ class Limits:
     overlap_ms: int = 1_000
     #: A piece is at least this share of the longest permissible one, so that pieces stay few.
     least_share: float = 0.5
+    #: Positions within the time limit where characters are longer than a quarter of it.
+    parts: int = 300
+
+
+#: Strengths of boundaries.
+SENTENCE, CLAUSE, WORD, INSIDE, PART, MARK = 4, 3, 2, 0, -1, -2
+
+
+def _joins(code: int) -> bool:
+    """Whether a character belongs to the one before it."""
+    return unicodedata.category(chr(code))[0] == "M" or code in (0x200C, 0x200D) or 0x1F3FB <= code <= 0x1F3FF
 
 
 def strengths(text: str) -> np.ndarray:
-    """Strength of a cut before each position 0..len: 4 sentence end, 3 clause end, 2 word end, 0 inside a word."""
+    """Strength of a cut before each position 0..len."""
     n = len(text)
     s = np.zeros(n + 1, dtype=np.int8)
     if n == 0:
         return s
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    blank = np.fromiter((c.isspace() for c in text), dtype=bool, count=n)
-    prior, here = blank[:-1], blank[1:]
-    s[1:n][here & ~prior] = 2  # after a word, before the blank
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kinds, which = np.unique(codes, return_inverse=True)
+    blank = np.array([chr(c).isspace() for c in kinds.tolist()])[which]
+    joins = np.array([c > 127 and _joins(c) for c in kinds.tolist()])[which]
+    s[1:n][blank[1:] & ~blank[:-1]] = WORD  # after a word, before the blank
     ends = np.isin(codes, [ord(c) for c in SENTENCE_ENDS])
     clause = np.isin(codes, [ord(c) for c in CLAUSE_ENDS])
     wide = codes >= 0x2E80  # scripts without blanks: the mark alone ends the sentence
-    after = np.append(blank[1:], True)
-    s[1:][ends & (after | wide)] = 4
-    s[1:][clause & (after | wide)] = np.maximum(s[1:][clause & (after | wide)], 3)
+    after = np.append(blank[1:], True) | wide
+    s[1:][clause & after] = CLAUSE
+    s[1:][ends & after] = SENTENCE
+    s[:n][joins] = MARK
+    s[1:][codes == 0x200D] = MARK
     return s
 
 
 class RangeMaximum:
-    """Sparse table: position of the greatest value in [i, j], the rightmost among equals."""
+    """Sparse table: position of the greatest value in [i, j], the rightmost among equals.
+
+    Row k holds, for each i, how far from i the place of the maximum of 2**k values lies: two
+    bytes a value and row, for windows of up to ``widest`` values.
+    """
 
     def __init__(self, values: np.ndarray, widest: int):
         self.values = values
-        self.table = [np.arange(len(values))]
+        kind = np.uint16 if widest <= 1 << 16 else np.uint32
+        place = np.arange(len(values))
+        self.table = [np.zeros(len(values), dtype=kind)]
         step = 1
         while 2 * step <= min(widest, len(values)):
-            last = self.table[-1]
-            a, b = last[: len(last) - step], last[step:]
-            self.table.append(np.where(values[a] > values[b], a, b))
+            m = len(place) - step
+            place = np.where(values[place[:m]] > values[place[step:]], place[:m], place[step:])
+            self.table.append((place - np.arange(m)).astype(kind))
             step *= 2
 
     def query(self, i: int, j: int) -> int:
         k = min((j - i + 1).bit_length() - 1, len(self.table) - 1)
-        a, b = int(self.table[k][i]), int(self.table[k][j - (1 << k) + 1])
+        r = j - (1 << k) + 1
+        a, b = i + int(self.table[k][i]), r + int(self.table[k][r])
         return a if self.values[a] > self.values[b] else b
 
 
 def cut_units(value: np.ndarray, longest: int, overlap: int, least_share: float) -> list[tuple[int, int]]:
-    """(start, end) of pieces of at most ``longest`` units over boundaries before units 0..n."""
+    """(start, end) of pieces of at most ``longest`` units over boundaries before units 0..n.
+
+    An end or a start lies inside a word only where its window holds no boundary.
+    """
     n = len(value) - 1
     table = RangeMaximum(value, longest)
-    # Where a piece may start anew: the nearest word end at or before the overlap.
     out, start = [], 0
     while n - start > longest:
         low = start + max(overlap + 1, int(longest * least_share))
-        end = table.query(min(low, start + longest), start + longest)
+        end = table.query(low, start + longest)
+        if value[end] <= INSIDE and low > start + overlap + 1:
+            early = table.query(start + overlap + 1, low - 1)
+            end = early if value[early] > value[end] else end
         out.append((start, end))
-        back = end - overlap
-        near = table.query(max(start + 1, back - overlap // 2), back) if back > start + 1 else back
-        start = near if value[near] > 0 and near > start else max(back, start + 1)
+        # The overlap reaches back to the last boundary before it, or else to the first within it.
+        back, least = end - overlap, max(start + 1, end - 2 * overlap)
+        begin = table.query(least, back) if back >= least else end
+        if value[begin] <= INSIDE and back + 1 < end:
+            inner = [i for i in range(back + 1, end) if value[i] > INSIDE]
+            begin = inner[0] if inner else begin
+        start = begin
     out.append((start, n))
     return out
 
@@ -89,42 +126,28 @@ def cut_units(value: np.ndarray, longest: int, overlap: int, least_share: float)
 def cut_item(text: str | None, start_ms: int | None, end_ms: int | None, limits: Limits) -> list[tuple]:
     """(piece text, piece start, piece end) of one utterance, or one piece where it is within the limits.
 
-    With a text and a segment, time runs evenly over the characters, so both are cut at the
-    same places. A segment without text has no inner boundaries and is cut at full length.
+    Pieces are whole stretches of the text, never empty where the text is not, and together
+    cover it. Consecutive ones share the longer of both overlaps, up to a third of a piece.
     """
     chars = len(text) if text else 0
     timed = start_ms is not None and end_ms is not None and end_ms > start_ms
     ms = end_ms - start_ms if timed else 0
     if chars <= limits.chars and ms <= limits.ms:
         return [(text, start_ms if timed else None, end_ms if timed else None)]
-    # The pieces of a speechless or nearly speechless stretch are cut by the millisecond.
-    if timed and ms > limits.ms and (chars == 0 or ms / chars > limits.ms / 4):
-        step, pieces, at = limits.ms - limits.overlap_ms, [], 0
-        while ms - at > limits.ms:
-            pieces.append((at, at + limits.ms))
-            at += step
-        pieces.append((at, ms))
-        places = [(round(a * chars / ms), round(b * chars / ms)) for a, b in pieces]
-        return [((text[p:q] if text is not None else None), start_ms + a, start_ms + b) for (a, b), (p, q) in zip(pieces, places)]
-    per_char = ms / chars if timed else 0.0
-    longest = limits.chars
-    if timed and ms > 0:
-        # A piece's time begins the overlap before its cut; the text before the cut is the text's overlap.
-        longest = min(longest, int((limits.ms - limits.overlap_ms) / per_char) if per_char * chars > limits.ms else longest)
-    longest = max(longest, 2)
-    overlap = min(limits.overlap_chars, longest // 3)
-    spans = cut_units(strengths(text), longest, overlap, limits.least_share)
-    out, last_end = [], None
-    for p, q in spans:
-        if not timed:
-            out.append((text[p:q], None, None))
-            continue
-        b = start_ms + (round(q * per_char) if q < chars else ms)
-        a = start_ms if last_end is None else max(start_ms, last_end - limits.overlap_ms)
-        a = max(a, b - limits.ms)
-        out.append((text[p:q], a, b))
-        last_end = b
-    return out
+    value = strengths(text) if chars else np.zeros(2, dtype=np.int8)
+    units, parts = max(chars, 1), 1
+    if ms * 4 > limits.ms * units:  # parts of characters as positions
+        parts = -(-ms * limits.parts // (units * limits.ms))
+        fine = np.full(units * parts + 1, PART, dtype=np.int8)
+        fine[::parts] = value
+        value, units = fine, units * parts
+    longest, overlap = limits.chars * parts, limits.overlap_chars * parts if parts == 1 else 0
+    if timed:
+        longest = min(longest, max((limits.ms - 1) * units // ms, 2))
+        overlap = max(overlap, -(-limits.overlap_ms * units // ms))
+    spans = cut_units(value, longest, min(overlap, longest // 3), limits.least_share)
+    at = [(start_ms + round(p * ms / units), start_ms + round(q * ms / units)) if timed else (None, None) for p, q in spans]
+    return [(text[p // parts : -(-q // parts)] if chars else text, a, b) for (p, q), (a, b) in zip(spans, at)]
 
 
 def cut_pieces(items: DataFrame, limits: Limits = Limits()) -> DataFrame:
