@@ -14,7 +14,7 @@ from voxloom.llm.personal import Finder, Lexicon, find_personal, iban, luhn, red
 from voxloom.llm.pieces import Limits, RangeMaximum, cut_item, cut_pieces, cut_units, strengths
 from voxloom.llm.queries import ORACLE, QUERIES, current_texts
 from voxloom.llm.splits import components, grouped_splits, plan_places, speaker_splits, tied_speakers
-from voxloom.llm.terms import marked_terms, ngram_counts
+from voxloom.llm.terms import marked_terms, ngram_counts, suffix_array
 from voxloom.llm.words import comparison_words
 from voxloom.operators.versions import current_version
 
@@ -215,7 +215,7 @@ def test_piece_rows(spark):
 # 4. Terms
 
 
-@pytest.mark.parametrize("max_n", [1, 3])
+@pytest.mark.parametrize("max_n", [1, 3, 6])
 def test_ngram_counts_against_counting(spark, max_n):
     rnd = random.Random(5)
     texts = [" ".join(rnd.choice("abcA") for _ in range(rnd.randint(0, 12))) for _ in range(80)] + [None, "", " \t\n", "a\ta\ra  a", "a b", "hot " * 500]
@@ -235,6 +235,23 @@ def test_ngram_counts_against_counting(spark, max_n):
     assert marked_terms(df.limit(0), "text").count() == 0
 
 
+def test_suffix_array_against_sorting():
+    rnd = random.Random(11)
+    import numpy as np
+
+    for _ in range(60):
+        records = [[rnd.choice([0, 0, 1, 2]) for _ in range(rnd.randint(1, 30))] for _ in range(rnd.randint(1, 12))] * rnd.randint(1, 2)
+        ids = np.array([x for r in records for x in r])
+        record = np.repeat(np.arange(len(records)), [len(r) for r in records])
+        suffix = [r[i:] for r in records for i in range(len(r))]
+        want = sorted(range(len(suffix)), key=lambda i: (suffix[i], i))
+        order, shared = suffix_array(ids, record)
+        assert order.tolist() == want
+        for k in range(1, len(want)):
+            a, b = suffix[want[k - 1]], suffix[want[k]]
+            assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 # 5. Packing
 
 

@@ -13,7 +13,7 @@ from voxloom.llm.packing import pack
 from voxloom.llm.personal import find_personal
 from voxloom.llm.pieces import cut_pieces
 from voxloom.llm.splits import speaker_splits, tied_speakers
-from voxloom.llm.terms import marked_terms
+from voxloom.llm.terms import marked_terms, ngram_counts
 from voxloom.operators.versions import current_version
 from voxloom.session import read_table
 
@@ -92,6 +92,15 @@ def p4_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return marked_terms(current_texts(spark, d), "text", max_n=2).filter("n = 2").select("term", "occurrences", "records")
 
 
+#: Longest n-grams of p4_ngrams, and their least number of occurrences.
+MOST_WORDS, LEAST_OCCURRENCES = 6, 20
+
+
+def p4_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Recurring passages: all n-grams of one to six terms that occur at least so often."""
+    return ngram_counts(current_texts(spark, d), "text", max_n=MOST_WORDS).filter((F.col("n") > 0) & (F.col("occurrences") >= LEAST_OCCURRENCES))
+
+
 #: The dsets of evaluation and of training utterances.
 EVALUATION, TRAINING = ("valid", "test", "test_other"), ("train", "train_sp")
 
@@ -157,7 +166,7 @@ counts AS (
   FROM occ GROUP BY term)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_report": p6_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p4_ngrams": p4_ngrams, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_report": p6_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLE: dict[str, str] = {
     "p1_found": r"""
 WITH RECURSIVE named AS (
@@ -186,6 +195,10 @@ GROUP BY opt_id, uttid, batch_bins, n
 HAVING count(*) = n AND sum(CASE WHEN kind = 'numel' THEN list_aggregate(shape, 'product') ELSE shape[1] END) > batch_bins""",
     "p4_found": _TERMS + "SELECT term, mark FROM counts WHERE mark IS NOT NULL",
     "p4_terms": _TERMS + "SELECT term, occurrences, records, mark FROM counts",
+    "p4_ngrams": _TERMS
+    + """, sizes AS (SELECT unnest(range(1, 7)) AS n),
+grams AS (SELECT uttid, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS term FROM pieces, sizes WHERE len(w) >= n)
+SELECT CAST(n AS INTEGER) AS n, term, count(*) AS occurrences, count(DISTINCT uttid) AS records FROM grams GROUP BY n, term HAVING count(*) >= 20""",
     "p4_bigrams": _TERMS + """, pairs AS (SELECT uttid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM pieces WHERE len(w) > 1)
 SELECT term, count(*) AS occurrences, count(DISTINCT uttid) AS records FROM pairs GROUP BY term""",
 }

@@ -1,12 +1,14 @@
 """Occurrences of terms and word n-grams over a collection, and the number of records with each.
 
 Method: suffix array with common-prefix intervals. Each partition sorts the suffixes of its
-token sequence (never beyond a record) and finds the lengths of the prefixes that neighbours
-share. The n-grams are the intervals in which neighbours share n tokens or more; an interval's
-length is the number of occurrences. A record that occurs twice in an interval is counted
-once: for each suffix the preceding suffix of the same record in the array is looked up, and
-where both lie in one interval, one is subtracted. A record lies in one partition whole, so
-the counts of the partitions add up; only one row per n-gram and partition is shuffled.
+records, whole to the end of each record, by prefix doubling over the groups that are not yet
+told apart, and finds how long a prefix neighbours share. The n-grams of any n are the
+intervals in which neighbours share n tokens or more; an interval's length is the number of
+occurrences. A record that occurs twice in an interval is counted once: for each suffix the
+preceding suffix of the same record in the array is looked up, and where both lie in one
+interval, one is subtracted. Single terms are the intervals for n = 1 of the same array. A
+record lies in one partition whole, so the counts of the partitions add up; only one row per
+n-gram and partition is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +25,60 @@ from voxloom.session import cut_table
 
 _BREAK = re.compile(r"[ \t\n\r]+")
 #: Tokens that one suffix array takes; a partition with more of them gives several arrays.
-ARRAY_TOKENS = 2_000_000
+ARRAY_TOKENS = 1_000_000
+
+
+def suffix_array(ids: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, shared): the suffixes in order, each up to the end of its record, and the number
+    of tokens that each shares with the one before it.
+
+    ``record`` does not decrease. Equal suffixes stay in text order, so by record.
+    """
+    size = len(ids)
+    ends = np.flatnonzero(np.append(record[1:] != record[:-1], True)) + 1
+    left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(size)  # tokens up to the end of the record
+
+    def first_place(values: np.ndarray) -> np.ndarray:
+        """For sorted values, the place of the first equal one."""
+        head = np.ones(len(values), dtype=bool)
+        head[1:] = values[1:] != values[:-1]
+        return np.flatnonzero(head)[np.cumsum(head) - 1]
+
+    # A rank is the place of the first suffix with the same first ``depth`` tokens.
+    rank = np.empty(size, dtype=np.int64)
+    order = np.argsort(ids, kind="stable")
+    rank[order] = first_place(ids[order])
+    levels, depth = [rank.astype(np.int32)], 1
+    while True:
+        group = np.bincount(rank, minlength=size)
+        open_ = np.flatnonzero(group[rank] > 1)
+        if not (left[open_] > depth).any():
+            break
+        ahead = np.zeros(len(open_), dtype=np.int64)  # 0: the record ends before
+        goes_on = left[open_] > depth
+        ahead[goes_on] = rank[open_[goes_on] + depth] + 1
+        key = rank[open_] * (size + 1) + ahead
+        by_key = np.argsort(key, kind="stable")
+        key = key[by_key]
+        base = rank[open_][by_key]
+        rank[open_[by_key]] = base + first_place(key) - first_place(base)
+        depth *= 2
+        levels.append(rank.astype(np.int32))
+    order = np.argsort(rank, kind="stable")
+    # Shared prefixes from the ranks of all depths, the greatest first.
+    a, b = order[:-1].copy(), order[1:].copy()
+    length = np.zeros(max(size - 1, 0), dtype=np.int64)
+    most = np.minimum(left[a], left[b])
+    for k in range(len(levels) - 1, -1, -1):
+        # Beyond the end of either record nothing is compared; the last place stands in for it.
+        same = (length < most) & (levels[k][np.minimum(a, size - 1)] == levels[k][np.minimum(b, size - 1)])
+        step = np.where(same, np.minimum(1 << k, most - length), 0)
+        length += step
+        a += step
+        b += step
+    shared = np.zeros(size, dtype=np.int64)
+    shared[1:] = length
+    return order, shared
 
 
 def count_ngrams(ids: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -31,25 +86,7 @@ def count_ngrams(ids: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tu
     size = len(ids)
     if not size:
         return
-    # Prefix doubling on ranks; a suffix that ends early sorts first.
-    rank, depth = ids.astype(np.int64), 1
-    while depth < max_n:
-        ahead = np.zeros(size, dtype=np.int64)
-        inside = np.flatnonzero(record[depth:] == record[:-depth]) if depth < size else np.zeros(0, dtype=np.int64)
-        ahead[inside] = rank[inside + depth] + 1
-        rank = np.unique(rank * (int(rank.max()) + 2) + ahead, return_inverse=True)[1].astype(np.int64)
-        depth *= 2
-    order = np.argsort(rank, kind="stable")  # equal prefixes stay in text order, so by record
-    # Shared prefix of neighbours, in tokens, up to max_n.
-    shared = np.zeros(size, dtype=np.int64)
-    alive = np.ones(size - 1, dtype=bool)
-    left, right = order[:-1], order[1:]
-    for k in range(max_n):
-        a, b = left + k, right + k
-        ok = alive & (a < size) & (b < size)
-        a, b = np.minimum(a, size - 1), np.minimum(b, size - 1)
-        alive = ok & (ids[a] == ids[b]) & (record[a] == record[left]) & (record[b] == record[right])
-        shared[1:] += alive
+    order, shared = suffix_array(ids, record)
     at = record[order]
     by_record = np.argsort(at, kind="stable")
     earlier = np.full(size, -1, dtype=np.int64)
