@@ -47,6 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def cut_table(df: DataFrame) -> DataFrame:
     """Cut lineage with a written table: columnar and compressed, for wide or reused rows."""
+    return cut_table_at(df)[0]
+
+
+def cut_table_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """A written table and its path, for ``drop_table``."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
