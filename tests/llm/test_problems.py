@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from voxloom.llm.packing import best_fit_plan, pack
 from voxloom.llm.personal import Finder, Lexicon, find_personal, iban, luhn, redact
 from voxloom.llm.pieces import Limits, RangeMaximum, cut_item, cut_pieces, cut_units, strengths
 from voxloom.llm.queries import ORACLE, QUERIES, current_texts
-from voxloom.llm.splits import components, grouped_splits, plan_places, speaker_splits, tied_speakers
+from voxloom.llm.splits import components, grouped_splits, place_block, speaker_splits, tied_speakers
 from voxloom.llm.terms import marked_terms, ngram_counts, suffix_array
 from voxloom.llm.words import comparison_words
 from voxloom.operators.versions import current_version
@@ -87,9 +88,46 @@ def test_grouped_splits_are_stratified_and_whole(spark):
     assert abs(share["rare"].count("test") / 200 - 0.1) < 0.03
 
 
-def test_a_hot_class_takes_few_plan_rows():
-    plan = plan_places([{"label": "x", "class": 1, "count": 10_000_000, "size": 1.0, "vector": {"x": 1.0}}], {"a": 0.8, "b": 0.1, "c": 0.1})
-    assert len(plan) < 2000
+def test_components_are_placed_by_their_own_vectors():
+    # Alike in size and rarest label, unlike in the rest: the common labels must be shared out too.
+    vectors = {f"c{i:03}": {"rare": 1, ("x" if i % 2 else "y"): 9} for i in range(200)}
+    total = {"rare": 200, "x": 900, "y": 900}
+    shares = [0.8, 0.1, 0.1]
+    out = place_block(vectors, {k: [n * p for p in shares] for k, n in total.items()}, [2000 * p for p in shares], shares)
+    for label, n in total.items():
+        got = [sum(v.get(label, 0) for c, v in vectors.items() if out[c] == s) for s in range(3)]
+        assert all(abs(g - n * p) <= (1 if label == "rare" else 0.05 * n) for g, p in zip(got, shares)), (label, got)
+
+
+@pytest.mark.parametrize("block", [60, 100_000])
+def test_worst_deviation_of_any_label(spark, monkeypatch, block):
+    """However many blocks and stages, each label's shares are met within few of its largest components."""
+    monkeypatch.setattr("voxloom.llm.splits.BLOCK", block)
+    monkeypatch.setattr("voxloom.llm.splits.LARGE", 100)
+    monkeypatch.setattr("voxloom.llm.splits.STAGE", 4)
+    rnd = random.Random(12)
+    rows = []
+    for c in range(900):
+        for k in range(min(int(rnd.paretovariate(0.9)), 600)):
+            rows.append((f"r{c}-{k}", f"c{c}", rnd.choices(["a", "b", "c", "d", f"tail{c % 70}"], [50, 20, 10, 5, 1])[0]))
+    rows += [(f"hot{k}", "hot", "a") for k in range(len(rows) // 2)]  # a third of all rows
+    df = spark.createDataFrame(rows, "record string, component string, label string").repartition(6)
+    shares = {"train": 0.8, "valid": 0.1, "test": 0.1}
+    out = grouped_splits(df, shares).collect()
+    assert len(out) == len(rows)
+    where, label_of = {r.record: r.split for r in out}, {r: x for r, _, x in rows}
+    of_comp, largest, total = {}, {}, {}
+    for r, c, x in rows:
+        of_comp.setdefault(c, set()).add(where[r])
+    assert all(len(s) == 1 for s in of_comp.values())
+    for (c, x), n in Counter((c, x) for _, c, x in rows).items():
+        largest[x] = max(largest.get(x, 0), n)
+        total[x] = total.get(x, 0) + n
+    got = Counter((where[r], x) for r, x in label_of.items())
+    for x in "abcd":
+        assert all(abs(got[s, x] - p * total[x]) <= max((0.03 if block > 1000 else 0.08) * total[x], 2) for s, p in shares.items() if s != "train" or x != "a"), (x, total[x], {s: got[s, x] for s in shares})
+    whole = Counter(where.values())
+    assert all(abs(whole[s] - p * len(rows)) <= 0.02 * len(rows) for s, p in shares.items()), whole
 
 
 # 2. Pieces

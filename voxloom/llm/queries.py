@@ -12,7 +12,7 @@ from voxloom.llm.overlap import cross_split_pairs
 from voxloom.llm.packing import pack
 from voxloom.llm.personal import find_personal
 from voxloom.llm.pieces import cut_pieces
-from voxloom.llm.splits import speaker_splits, tied_speakers
+from voxloom.llm.splits import speaker_places, speaker_splits
 from voxloom.llm.terms import marked_terms, ngram_counts
 from voxloom.operators.versions import current_version
 from voxloom.session import read_table
@@ -22,16 +22,39 @@ def current_texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return current_version(read_table(spark, d, "utt_text"), ["uttid"], keep=["text", *columns])
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    tied = tied_speakers(read_table(spark, d, "utt2spk"))
-    a, b = tied.withColumnRenamed("speaker", "spk_a"), tied.withColumnRenamed("speaker", "spk_b")
-    return a.join(b, "component").filter("spk_a < spk_b").select("spk_a", "spk_b")
+#: Proportions of the splits.
+SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
+
+
+def corpus_labels(spark: SparkSession, d: str) -> DataFrame:
+    return current_texts(spark, d, "source", "lang").select("uttid", F.concat_ws("|", "source", "lang").alias("label"))
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     """A split for every utterance: 80/10/10, stratified by corpus and language."""
-    labels = current_texts(spark, d, "source", "lang").select("uttid", F.concat_ws("|", "source", "lang").alias("label"))
-    return speaker_splits(read_table(spark, d, "utt2spk"), labels, {"train": 0.8, "valid": 0.1, "test": 0.1})
+    return speaker_splits(read_table(spark, d, "utt2spk"), corpus_labels(spark, d), SHARES).select("uttid", "split")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the speakers that were placed together, as one component in one split."""
+    placed = speaker_places(read_table(spark, d, "utt2spk"), corpus_labels(spark, d), SHARES)
+    a, b = placed.withColumnRenamed("speaker", "spk_a").alias("a"), placed.withColumnRenamed("speaker", "spk_b").alias("b")
+    same = (F.col("a.component") == F.col("b.component")) & F.col("a.split").eqNullSafe(F.col("b.split"))
+    return a.join(b, same & (F.col("spk_a") < F.col("spk_b"))).select("spk_a", "spk_b")
+
+
+def p1_components(spark: SparkSession, d: str) -> DataFrame:
+    """One row per component of speakers, with its split and number of speakers; pairs need not be listed for it."""
+    placed = speaker_places(read_table(spark, d, "utt2spk"), corpus_labels(spark, d), SHARES)
+    return placed.groupBy("component").agg(F.min("split").alias("split"), F.count("*").alias("n_speakers"))
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Utterances of each label, and the share of them that each split got."""
+    labels = corpus_labels(spark, d)
+    rows = p1_splits(spark, d).join(labels, "uttid", "left").withColumn("label", F.coalesce("label", F.lit("none")))
+    share = [F.avg((F.col("split") == s).cast("int")).alias(s) for s in SHARES]
+    return rows.groupBy("label").agg(F.count("*").alias("n"), *share)
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +189,7 @@ counts AS (
   FROM occ GROUP BY term)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p4_ngrams": p4_ngrams, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_report": p6_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_components": p1_components, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p5_fill": p5_fill, "p4_found": p4_found, "p4_terms": p4_terms, "p4_bigrams": p4_bigrams, "p4_ngrams": p4_ngrams, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_report": p6_report, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLE: dict[str, str] = {
     "p1_found": r"""
 WITH RECURSIVE named AS (

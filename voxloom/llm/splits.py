@@ -2,33 +2,37 @@
 
 Method: grouped iterative stratification. Entities that share a record or an origin form
 components (alternating star contraction, all rows stay on the executors). Each component's
-records are aggregated to a label vector. Components are placed in the order of the rarest
-label they still owe, the largest first, into the split that needs that label most.
-
-The placing runs over a histogram, not over components: components with the same rarest
-label and the same size class are alike, and the histogram has at most
-labels x size classes rows whatever the number of components. Each component then takes a
-planned place by its rank within its class.
+records are aggregated to its label vector. Whole components are placed by their own vectors:
+the rarest outstanding label first, its largest components first, each into the split that
+needs that label most, relative to its share and as far as the component fits there; every
+placing lowers the needs for all labels of the component.
+
+Placing runs in stages from large components to small ones. The few components above 1/LARGE
+of all records are placed in one block; then follow sizes STAGE times smaller at each stage,
+in blocks of components with the same rarest label, side by side on the executors. A block's
+needs are its part of what the splits still need after the stages before, so what large
+components leave uneven the smaller ones even out. A block holds about BLOCK label counts
+however many components there are, and no number of labels or components is capped.
 """
 
 from __future__ import annotations
 
-import bisect
-import math
+import heapq
+from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.session import cut, cut_table
+from voxloom.session import cut_table, cut_table_at, drop_table
 
 #: What stands for no speaker.
 PLACEHOLDERS = ("", "<na>", "unk")
 #: Prefix of speed-perturbed copies: sp<factor>-, once or more.
 COPY_PREFIX = r"^(sp[0-9]+(\.[0-9]+)?-)+"
-#: Sizes up to EXACT_SIZES are classes of their own; larger ones fall in steps of SIZE_STEP.
-EXACT_SIZES, SIZE_STEP = 64, 1.02
-#: Most labels planned for; rarer ones beyond it share this many hashed labels.
-MOST_LABELS = 4096
+#: Components of more than 1/LARGE of all records make the first stage; each further stage takes
+#: sizes down to 1/STAGE of the last one's. BLOCK is the number of label counts in a block.
+LARGE, STAGE, BLOCK = 2_000, 32, 100_000
 
 
 def speaker_name(c: Column) -> Column:
@@ -48,8 +52,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the number of nodes, a round moves each edge twice, and no node's neighbours are gathered
     in one task: each star needs only the least neighbour, which is aggregated map-side.
     """
-    edges = edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct()
-    edges = cut_table(edges)
+    spark = edges.sparkSession
+    edges, path = cut_table_at(edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct())
+    mark = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -57,11 +62,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        new = cut_table(small)
-        # Ended when the edges are stars whose centres are their least nodes: no round changes them.
-        changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() + (new.count() != edges.count())
-        edges = new
-        if not changed:
+        edges, new_path = cut_table_at(small)
+        drop_table(spark, path)
+        path, last = new_path, mark
+        # Ended when the edges are stars whose centres are their least nodes: no round changes
+        # them. The edges are a set, so their number and two sums of hashes tell sets apart.
+        mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.hash("b", "a").cast("bigint"))).first())
+        if mark == last or not mark[0]:
             break
     else:
         raise RuntimeError("the components did not settle")
@@ -90,123 +97,167 @@ def tied_speakers(df: DataFrame, utt: str = "uttid", speaker: str = "spkid") ->
     return joined.select("speaker", F.coalesce("root", "speaker").alias("component"))
 
 
-def size_class(n: Column) -> Column:
-    over = F.lit(EXACT_SIZES) + F.floor(F.log(n / EXACT_SIZES) / math.log(SIZE_STEP))
-    return F.when(n <= EXACT_SIZES, n).otherwise(over).cast("int")
-
-
-def plan_places(classes: list[dict], shares: dict[str, float]) -> list[tuple]:
-    """Iterative stratification over a histogram.
+def place_block(vectors: dict[str, dict[str, int]], need: dict[str, list[float]], room: list[float], shares: list[float]) -> dict[str, int]:
+    """Iterative stratification of the components of one block: the number of each one's split.
 
-    ``classes``: label, size class, number of components, mean size, and ``vector``, the mean
-    label vector of a component. Returns (label, size class, first rank, split): the
-    components from that rank on go to that split, up to the next entry's rank.
+    ``vectors``: label counts of each component; ``need``: what each split needs of a label;
+    ``room``: what it needs of records. A label of which no component fits a split's need
+    cannot be told apart by it; such components go where most room is left.
     """
-    total: dict[str, float] = {}
-    for c in classes:
-        for label, n in c["vector"].items():
-            total[label] = total.get(label, 0.0) + n * c["count"]
-    whole = sum(c["count"] * c["size"] for c in classes)
-    need = {s: {label: share * n for label, n in total.items()} for s, share in shares.items()}
-    room = {s: share * whole for s, share in shares.items()}
-    owed: dict[str, list[dict]] = {}
-    for c in classes:
-        owed.setdefault(c["label"], []).append(c)
-    plan = []
-    # The rarest label first; within it large components first, as small ones fill what is left.
-    for label in sorted(owed, key=lambda x: (total.get(x, 0.0), x)):
-        for c in sorted(owed[label], key=lambda c: -c["class"]):
-            left, rank = c["count"], 0
-            while left:
-                split = max(shares, key=lambda s: (need[s].get(label, 0.0), room[s], shares[s], s))
-                others = [need[s].get(label, 0.0) for s in shares if s != split]
-                # As many alike components as fit before another split needs the label more.
-                lead = need[split].get(label, 0.0) - max(others, default=0.0)
-                step = max(c["vector"].get(label, 0.0), 1e-9)
-                n = min(left, max(1, int(lead // step), left // 32))
-                plan.append((label, c["class"], rank, split))
-                for x, v in c["vector"].items():
-                    need[split][x] = need[split].get(x, 0.0) - v * n
-                room[split] -= c["size"] * n
-                rank, left = rank + n, left - n
-    return plan
+    need = {label: list(n) for label, n in need.items()}
+    room = list(room)
+    size = {c: sum(v.values()) for c, v in vectors.items()}
+    holders, outstanding = defaultdict(list), defaultdict(int)
+    for c, v in vectors.items():
+        for label, n in v.items():
+            holders[label].append(c)
+            outstanding[label] += n
+    total = dict(outstanding)
+    usable = {label: n * min(shares) >= 1 for label, n in outstanding.items()}
+    heap = [(n, label) for label, n in outstanding.items()]
+    heapq.heapify(heap)
+    out: dict[str, int] = {}
+    splits = range(len(shares))
+    while heap:
+        n, label = heapq.heappop(heap)
+        if n != outstanding[label]:
+            if outstanding[label]:
+                heapq.heappush(heap, (outstanding[label], label))
+            continue
+        for c in sorted((c for c in holders[label] if c not in out), key=lambda c: (-vectors[c][label], -size[c], c)):
+            have, n = (need[label], vectors[c][label]) if usable[label] else (room, size[c])
+            fits = [s for s in splits if have[s] >= n and room[s] >= size[c]]
+            # The most needed as a part of the split's share, so that components of all sizes
+            # go to all splits; where it fits in none, the greatest need. Splits less than this
+            # component apart are told apart by the needs for all its labels.
+            if fits:
+                most = max(have[s] / shares[s] for s in fits) - n / min(shares)
+                near = [s for s in fits if have[s] / shares[s] >= most]
+                best = max(near, key=lambda s: (sum(k / total[x] ** 2 * need[x][s] for x, k in vectors[c].items()) / shares[s], room[s] / shares[s], shares[s], -s)) if len(near) > 1 else near[0]
+            else:
+                best = max(splits, key=lambda s: (have[s], room[s], shares[s], -s))
+            out[c] = best
+            room[best] -= size[c]
+            for other, k in vectors[c].items():
+                need[other][best] -= k
+                outstanding[other] -= k
+    return out
 
 
 def grouped_splits(records: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """(record, split) for rows (record, component, label), one row per record.
+    """(record, component, split) for rows (record, component, label), one row per record.
 
     Every component lies in one split. A record with a null component is a component of its
-    own; a null label counts as the label ``none``. An empty table gives no rows.
+    own (its ``component`` is null in the result too); a null label counts as the label
+    ``none``. An empty table gives no rows.
     """
-    rows = records.select("record", F.coalesce("component", F.concat(F.lit("record:"), F.col("record").cast("string"))).alias("component"), F.coalesce("label", F.lit("none")).alias("label"))
-    rows = cut_table(rows)
-    totals = rows.groupBy("label").agg(F.count("*").alias("of_label"))
-    order = Window.orderBy(F.desc("of_label"), "label")
-    if totals.limit(MOST_LABELS + 1).count() > MOST_LABELS:
-        keep = totals.orderBy(F.desc("of_label"), "label").limit(MOST_LABELS).select("label", F.lit(True).alias("kept"))
-        rows = rows.join(F.broadcast(keep), "label", "left").withColumn("label", F.when(F.col("kept"), F.col("label")).otherwise(F.concat(F.lit("other-"), F.pmod(F.xxhash64("label"), F.lit(MOST_LABELS)).cast("string")))).drop("kept")
-        totals = rows.groupBy("label").agg(F.count("*").alias("of_label"))
-    cells = rows.groupBy("component", "label").agg(F.count("*").alias("n")).join(F.broadcast(totals), "label")
-    comps = cells.groupBy("component").agg(
-        F.sum("n").alias("size"),
-        F.min_by("label", F.struct("of_label", "label")).alias("rarest"),
-        F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("vector"),
-    ).withColumn("class", size_class(F.col("size")))
-    comps = cut_table(comps.select("component", "size", "rarest", "class", "vector"))
-    # The histogram: one row per (rarest label, size class, label), bounded by labels and classes.
-    parts = comps.select("rarest", "class", F.explode("vector").alias("label", "n")).groupBy("rarest", "class", "label").agg(F.sum("n").alias("n"))
-    heads = comps.groupBy("rarest", "class").agg(F.count("*").alias("count"), F.avg("size").alias("size"))
-    classes = {(h["rarest"], h["class"]): {"label": h["rarest"], "class": h["class"], "count": h["count"], "size": h["size"], "vector": {}} for h in heads.collect()}
-    for p in parts.collect():
-        c = classes[p["rarest"], p["class"]]
-        c["vector"][p["label"]] = p["n"] / c["count"]
-    plan: dict[tuple, tuple[list[int], list[str]]] = {}
-    for label, cls, rank, split in plan_places(list(classes.values()), shares):
-        ranks, splits = plan.setdefault((label, cls), ([], []))
-        ranks.append(rank)
-        splits.append(split)
-    places = records.sparkSession.sparkContext.broadcast(plan)
-
-    # Rank of each component within its class: a distributed sort, then counts per partition.
-    ordered = comps.select("component", "rarest", "class").repartitionByRange("rarest", "class", "component").sortWithinPartitions("rarest", "class", "component")
-    ordered = cut(ordered.withColumn("pid", F.spark_partition_id()))
-    edge = ordered.groupBy("pid", "rarest", "class").agg(F.count("*").alias("n")).collect()  # at most partitions + classes rows
-    before: dict[tuple, int] = {}
-    seen: dict[tuple, int] = {}
-    for e in sorted(edge, key=lambda e: e["pid"]):
-        k = (e["rarest"], e["class"])
-        before[(e["pid"], *k)] = seen.get(k, 0)
-        seen[k] = seen.get(k, 0) + e["n"]
-
-    def place(batches):
-        at: dict[tuple, int] = {}
-        for b in batches:
-            out = []
-            for pid, label, cls in zip(b["pid"].tolist(), b["rarest"].tolist(), b["class"].tolist()):
-                k = (pid, label, cls)
-                at[k] = rank = at.get(k, before.get(k, 0) - 1) + 1
-                ranks, splits = places.value[label, cls]
-                out.append(splits[bisect.bisect_right(ranks, rank) - 1])
-            b["split"] = out
-            yield b[["component", "split"]]
-
-    split_of = ordered.mapInPandas(place, "component string, split string")
-    return rows.join(split_of, "component").select("record", "split")
-
-
-def speaker_splits(df: DataFrame, labels: DataFrame, shares: dict[str, float], utt: str = "uttid", speaker: str = "spkid") -> DataFrame:
-    """(utterance, split) of every utterance of a speaker list, each once.
+    own = F.concat(F.lit("record:"), F.col("record").cast("string"))
+    rows = cut_table(records.select("record", F.col("component").alias("tied"), F.coalesce("component", own).alias("component"), F.coalesce("label", F.lit("none")).alias("label")))
+    placed = place_components(rows.groupBy("component", "label").agg(F.count("*").alias("n")), shares)
+    return rows.join(placed, "component").select("record", F.col("tied").alias("component"), "split")
+
+
+def _placer(whole: list[float], shares: list[float]):
+    """Places the components of one block, given as rows of label counts."""
+
+    def place(f: pd.DataFrame) -> pd.DataFrame:
+        vectors: dict[str, dict[str, int]] = defaultdict(dict)
+        for c, label, n in zip(f["component"], f["label"], f["n"].tolist()):
+            vectors[c][label] = n
+        label = f.groupby("label", sort=False).agg(n=("n", "sum"), ratio=("ratio", "first"))
+        need = {x: [n * float(r) for r in ratio] for x, n, ratio in zip(label.index, label["n"].tolist(), label["ratio"])}
+        size = float(f["n"].sum())
+        split = place_block(vectors, need, [size * w for w in whole], shares)
+        out = f[["component", "label", "n"]].copy()
+        out["place"] = [split[c] for c in f["component"]]
+        out["head"] = f["label"] == f["rarest"]
+        return out
+
+    return place
+
+
+def place_components(cells: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(component, split) for label vectors in rows (component, label, n)."""
+    names, parts = list(shares), list(shares.values())
+    cells = cut_table(cells)
+    totals = cut_table(cells.groupBy("label").agg(F.sum("n").alias("of_label")))
+    # The vectors stay in rows, each with its component's size, number of labels and rarest label.
+    whole_component = Window.partitionBy("component")
+    least = F.min(F.struct("of_label", "label")).over(whole_component)
+    cells = cut_table(cells.join(totals, "label").select("component", "label", "n", F.sum("n").over(whole_component).alias("size"), F.count("*").over(whole_component).alias("entries"), least["label"].alias("rarest")))
+    first = cells.agg(F.sum("n").alias("n"), F.max("size").alias("most")).first()
+    empty = cells.sparkSession.createDataFrame([], "component string, split string")
+    if not first["n"]:
+        return empty
+    bounds, low = [], first["n"] / LARGE
+    while low >= 1:
+        bounds.append(low)
+        low /= STAGE
+    done: list[DataFrame] = []  # (component, label, n, place, head) of the stages before
+    high = None
+    for low in [*bounds, 0.0]:
+        stage = cells.filter((F.col("size") > low) & (F.col("size") <= high if high else F.lit(True)))
+        high = low
+        if low >= first["most"]:
+            continue
+        placed = done[0] if done else None
+        for d in done[1:]:
+            placed = placed.union(d)
+        # What each split still needs of a label, as a share of what is still to be placed of it.
+        of = lambda s: F.sum(F.when(F.col("place") == s, F.col("n")).otherwise(0))
+        if placed is None:
+            ratios = totals.select("label", F.array(*[F.lit(float(p)) for p in parts]).alias("ratio"))
+            whole = [float(p) for p in parts]
+        else:
+            gone = placed.groupBy("label").agg(*[of(s).alias(f"p{s}") for s in range(len(parts))])
+            rest = totals.join(gone, "label", "left").fillna(0, [f"p{s}" for s in range(len(parts))])
+            left = F.col("of_label") - sum((F.col(f"p{s}") for s in range(len(parts))), F.lit(0))
+            ratios = rest.select("label", F.array(*[(F.lit(float(p)) * F.col("of_label") - F.col(f"p{s}")) / F.greatest(left, F.lit(1)) for s, p in enumerate(parts)]).alias("ratio"))
+            sums = placed.agg(*[of(s) for s in range(len(parts))]).first()
+            remaining = max(first["n"] - sum(sums), 1)
+            whole = [(p * first["n"] - g) / remaining for p, g in zip(parts, sums)]
+        # Blocks: one for the first stage; then by the rarest label, labels with much in several
+        # blocks, those with little together in one.
+        if bounds and low != bounds[0]:
+            per = stage.filter(F.col("label") == F.col("rarest")).groupBy("rarest").agg(F.sum("entries").alias("e"))
+            few = per.filter(F.col("e") < BLOCK).agg(F.sum("e").alias("e")).first()["e"] or 0
+            shared = max(1, -(-int(few) // BLOCK))
+            blocks = per.select("rarest", F.ceil(F.col("e") / BLOCK).alias("salts"), (F.col("e") < BLOCK).alias("few"))
+            block = F.when(F.col("few"), F.concat(F.lit("few:"), F.pmod(F.xxhash64("rarest"), F.lit(shared)).cast("string"))).otherwise(F.concat(F.lit("own:"), F.pmod(F.xxhash64("component"), F.col("salts")).cast("string"), F.lit(":"), F.col("rarest")))
+            stage = stage.join(blocks, "rarest").withColumn("block", block)
+        else:
+            stage = stage.withColumn("block", F.lit("large"))
+
+        entries = stage.join(ratios, "label").select("block", "component", "label", "n", "rarest", "ratio")
+        done.append(cut_table(entries.groupBy("block").applyInPandas(_placer(whole, parts), "component string, label string, n bigint, place int, head boolean")))
+    out = empty
+    for d in done:
+        out = out.union(d.filter("head").select("component", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("place") + 1).alias("split")))
+    return out
+
+
+def speaker_splits(df: DataFrame, labels: DataFrame, shares: dict[str, float], utt: str = "uttid", speaker: str = "spkid", tied: DataFrame | None = None) -> DataFrame:
+    """(utterance, component, split) of every utterance of a speaker list, each once.
 
     No speaker, nor any speaker tied to it, lies in two splits. An utterance without a named
     speaker goes with the speaker of the utterance it is a copy of, or else with its copies.
     ``labels`` has (utterance, label), one row per utterance. Null utterances are left out.
+    ``tied`` are the rows of ``tied_speakers`` where they are at hand.
     """
     named = df.select(F.col(utt).alias("u"), speaker_name(F.col(speaker)).alias("speaker")).filter("u is not null")
     by_utt = named.groupBy("u").agg(F.min("speaker").alias("speaker"))
-    comp = tied_speakers(df, utt, speaker)
+    comp = tied if tied is not None else tied_speakers(df, utt, speaker)
     utts = by_utt.join(comp, "speaker", "left").select("u", without_prefix(F.col("u")).alias("base"), "component")
     utts = cut_table(utts)
     origin = utts.filter("component is not null").groupBy("base").agg(F.min("component").alias("origin"))
-    utts = utts.filter("component is null").join(origin, "base", "left").select("u", F.coalesce("origin", F.concat(F.lit("utt:"), F.col("base"))).alias("component")).union(utts.filter("component is not null").select("u", "component"))
-    rows = utts.join(labels.select(F.col(labels.columns[0]).alias("u"), F.col(labels.columns[1]).alias("label")), "u", "left")
-    return grouped_splits(rows.withColumnRenamed("u", "record"), shares).withColumnRenamed("record", utt)
+    loose = utts.filter("component is null").join(origin, "base", "left").select("u", F.coalesce("origin", F.concat(F.lit("utt:"), F.col("base"))).alias("component"))
+    all_ = loose.union(utts.filter("component is not null").select("u", "component"))
+    rows = all_.join(labels.select(F.col(labels.columns[0]).alias("u"), F.col(labels.columns[1]).alias("label")), "u", "left")
+    return grouped_splits(rows.withColumnRenamed("u", "record"), shares).select(F.col("record").alias(utt), "component", "split")
+
+
+def speaker_places(df: DataFrame, labels: DataFrame, shares: dict[str, float], utt: str = "uttid", speaker: str = "spkid") -> DataFrame:
+    """(speaker, component, split) of every listed speaker; split is null for one without utterances."""
+    tied = cut_table(tied_speakers(df, utt, speaker))
+    split = speaker_splits(df, labels, shares, utt, speaker, tied).filter("component is not null").groupBy("component").agg(F.min("split").alias("split"))
+    return tied.join(split, "component", "left").select("speaker", "component", "split")
