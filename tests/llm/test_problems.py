@@ -372,12 +372,18 @@ def test_cross_split_pairs_against_all_pairs(spark):
     [
         ("ｍorninｇ", "en", "morning"), ("pre­fix a​b", "en", "prefix ab"), ("a b　c d", "en", "a b c d"), ("éţ", "fr", "éţ"), ("Τhe сat", "en", "The cat"), ("МНМ", "en", "MHM"), ("лемyй", "ru", "лемуй"),
         ("В шал asr", "ru", "В шал asr"), ("слово in text", "en", "слово in text"), ("on с тобой", "en", "on с тобой"), ("ẹ́", "yo", "ẹ́"), ("ﾘﾄﾞ 形空で", "ja", "リド 形空で"), ("👩‍🚀 ok", "en", "👩‍🚀 ok"), ("plain", "en", "plain"), ("", "en", ""), (None, "en", None),
+        ("κalo", "en", "kalo"), ("ӏist", "en", "list"), ("Ꭺpple", "en", "Apple"), ("ɑpple", "en", "apple"), ("ℌello", "en", "Hello"), ("𝐡ello", "en", "hello"), ("ab\ufe0f", "en", "ab"), ("❤\ufe0f 1\ufe0f\u20e3", "en", "❤\ufe0f 1\ufe0f\u20e3"), ("[ɡɑːt]", "en", "[ɡɑːt]"), ("x\U000e0041", "en", "x"), ("ᎪᎻᏼ", None, "ᎪᎻᏼ"), ("ℓ = 2 ℃", "en", "l = 2 ℃"),
     ],
 )
 def test_look_alike(odd, lang, form):
     assert look_alike(odd, lang) == form
 
 
+def test_classes_of_plain_and_other_values(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "a\u0488b"), (3, "cd"), (4, "c\u0301d")], "id int, text string")
+    assert {r.id: r.form for r in consistent_forms(df, "id", "text").collect()} == {1: "ab", 2: "ab", 3: "cd", 4: "ćd"}
+
+
 def test_forms_are_equal_for_equal_looks(spark):
     rows = [(1, "café no", "fr"), (2, "café no", "fr"), (3, "café nо", "fr"), (4, "cafe no", "fr"), (5, None, "fr"), (6, "", None), (7, "Café no", "fr"), (1, "café no", "fr")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id int, text string, lang string, mapped string")

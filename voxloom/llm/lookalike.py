@@ -1,10 +1,11 @@
 """One consistent form for texts that look alike but hold different characters.
 
-Method: every text is mapped letter by letter to the script of its word (width forms folded,
-blanks unified, invisible characters dropped, look-alike letters replaced, accents composed).
-The mapped values are grouped under the accent-sensitive Unicode collation in SQL, which holds
-canonically equal strings together; each class gets one member as its form, and the form is
-joined back.
+Method: every text is mapped letter by letter to the script of its word (width forms and font
+variants folded, blanks unified, invisible characters dropped, look-alike letters replaced,
+accents composed). The mapped values are grouped under the accent-sensitive Unicode collation
+in SQL, which holds canonically equal strings together; each class gets one member as its
+form, and the form is joined back. Two ASCII values are equal under the collation only if
+they are the same, so those are grouped only that equal a value with other characters.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ from pyspark.sql import functions as F
 
 # Letters of other scripts that imitate Latin ones, in pairs "other Latin".
 _CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw"
-_GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa γy ιi νv οo ρp υu"
+_CYRILLIC_MORE = "ӀI ӏl"
+_GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa γy ιi κk νv οo ρp υu"
 _ARMENIAN = "ՕO ՏS ԼL ՍU հh ոn սu օo ցg զq յj"
+_CHEROKEE = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎥI ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ"
+# Phonetic letters in the place of plain ones, in words of otherwise plain letters.
+_PHONETIC = {"ɑ": "a", "ɡ": "g", "ı": "i", "ꞓ": "c"}
 # Scripts of the languages met in speech corpora; others go by the text itself.
 _SCRIPT_OF = {"en": "Latin", "es": "Latin", "de": "Latin", "fr": "Latin", "yo": "Latin", "ru": "Cyrillic", "el": "Greek", "ja": "Kana"}
 # Latin letters that no ordinary letter of the other script looks like.
 _NOT_RUSSIAN = set("SIJQWsijhdqw")
 
-_TO_LATIN = {p[0]: p[1] for p in f"{_CYRILLIC} {_GREEK} {_ARMENIAN}".split()}
+_PHONETIC_TABLE = {ord(a): b for a, b in _PHONETIC.items()}
+_TO_LATIN = {p[0]: p[1] for p in f"{_CYRILLIC} {_CYRILLIC_MORE} {_GREEK} {_ARMENIAN} {_CHEROKEE}".split()}
 
 
 def _into(pairs: str, without: set[str] = frozenset()) -> dict[str, str]:
@@ -36,14 +42,23 @@ def _into(pairs: str, without: set[str] = frozenset()) -> dict[str, str]:
 
 
 _INTO = {"Latin": _TO_LATIN, "Cyrillic": _into(_CYRILLIC, _NOT_RUSSIAN), "Greek": _into(_GREEK)}
-_SCRIPTS = {"Latin": regex.compile(r"\p{Latin}"), "Cyrillic": regex.compile(r"\p{Cyrillic}"), "Greek": regex.compile(r"\p{Greek}"), "Armenian": regex.compile(r"\p{Armenian}"), "Kana": regex.compile(r"[\p{Katakana}\p{Hiragana}\p{Han}]")}
+_SCRIPTS = {"Latin": regex.compile(r"\p{Latin}"), "Cyrillic": regex.compile(r"\p{Cyrillic}"), "Greek": regex.compile(r"\p{Greek}"), "Armenian": regex.compile(r"\p{Armenian}"), "Cherokee": regex.compile(r"\p{Cherokee}"), "Kana": regex.compile(r"[\p{Katakana}\p{Hiragana}\p{Han}]")}
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _WIDTH = re.compile(r"[\uff01-\uffee]+")
 _BLANK = re.compile(r"[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
-_INVISIBLE = re.compile(r"[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200e\u200f\u202a-\u202e\u2060-\u206f\u3164\ufeff\uffa0\ufff9-\ufffb]")
+_INVISIBLE = re.compile(r"[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200e\u200f\u202a-\u202e\u2060-\u206f\u3164\ufeff\uffa0\ufff9-\ufffb\U0001bca0-\U0001bca3\U0001d173-\U0001d17a]")
+# Selectors and tags mean something behind signs and in flags; behind plain characters they are invisible.
+_SELECTOR = regex.compile(r"(?<=[\x00-\x7f]|^)(?![\ufe0f]\u20e3)[\ufe00-\ufe0f\U000e0000-\U000e0fff]+")
+_FONT = regex.compile(r"[\u2102-\u2138\u2145-\u2149\U0001d400-\U0001d7ff]+")
+_PHONETIC_WORD = regex.compile(r"(?<![\p{L}\p{M}ˈˌː/\[])(?=\p{L}*[a-zA-Z]{2})[a-zA-Zɑɡıꞓ]*[ɑɡꞓ][a-zA-Zɑɡıꞓ]*(?![\p{L}\p{M}ˈˌː/\]])")
 # Joiners mean something between emoji and in scripts that join; elsewhere they are invisible.
 _JOINER = regex.compile(r"(?<![\p{Extended_Pictographic}\ufe0f\p{Arabic}\p{Syriac}\p{Mongolian}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Emoji_Modifier}])[\u200c\u200d]")
-_ODD = regex.compile(r"[\p{Cc}\p{Cf}\u034f\u115f\u1160\u3164\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\uff01-\uffee]")
+_ODD = regex.compile(r"[\p{Cc}\p{Cf}\u034f\u115f\u1160\u3164\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\uff01-\uffee\ufe00-\ufe0f\u2102-\u2149ɑɡꞓ\U0001d173-\U0001d17a\U0001d400-\U0001d7ff\U0001bca0-\U0001bca3\U000e0000-\U000e0fff]")
+
+
+def _font(m: regex.Match) -> str:
+    """Letters and digits of another font as plain ones; other signs stay."""
+    return "".join(unicodedata.normalize("NFKC", c) if unicodedata.decomposition(c).startswith("<font>") else c for c in m[0])
 
 
 def _scripts(word: str) -> dict[str, int]:
@@ -90,6 +105,9 @@ def look_alike(text: str | None, lang: str | None = None) -> str | None:
             text = _BLANK.sub(" ", text)
             text = _JOINER.sub("", text)
             text = _INVISIBLE.sub("", text)
+            text = _SELECTOR.sub("", text)
+            text = _FONT.sub(_font, text)
+            text = _PHONETIC_WORD.sub(lambda m: m[0].translate(_PHONETIC_TABLE), text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
     else:
