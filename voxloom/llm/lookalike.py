@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.session import cut_table
+
 # Letters of other scripts that imitate Latin ones, in pairs "other Latin".
 _CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw"
 _CYRILLIC_MORE = "ӀI ӏl"
@@ -132,16 +134,22 @@ def consistent_forms(df: DataFrame, key: str, text: str, lang: str | None = None
             mapped = [look_alike(t, g) for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mapped, pa.string())], names=["k", "t", "mapped"])
 
-    mapped = rows.mapInArrow(run, f"k {kind}, t string, mapped string")
+    # Written once, as the mapped values are read twice.
+    mapped = cut_table(rows.mapInArrow(run, f"k {kind}, t string, mapped string"))
+    values = cut_table(mapped.filter(r"mapped RLIKE '[^\\x00-\\x7F]'").select("mapped").distinct())
+    bare = F.regexp_replace("mapped", r"[^\x00-\x7F]", "")
+    plain = cut_table(values.select(bare.alias("plain"), "mapped").filter("plain COLLATE UNICODE = mapped COLLATE UNICODE").select("plain").distinct())
+    values = values.union(mapped.join(plain, F.col("mapped") == F.col("plain"), "left_semi").select("mapped").distinct())
     variants = spark.sql(
         """
         SELECT explode(members) AS mapped, form FROM (
           SELECT collect_set(mapped) AS members, min_by(mapped, struct(length(mapped), mapped)) AS form
-          FROM (SELECT DISTINCT mapped FROM {mapped} WHERE mapped IS NOT NULL)
-          GROUP BY mapped COLLATE UNICODE)
+          FROM {values} GROUP BY mapped COLLATE UNICODE)
         WHERE size(members) > 1
         """,
-        mapped=mapped,
+        values=values,
     ).filter("mapped <> form")
+    # Written too, so that its size is known: Spark broadcasts it only if it is small.
+    variants = cut_table(variants)
     joined = mapped.join(variants, "mapped", "left")
     return joined.select(F.col("k").alias(key), F.col("t").alias(text), F.coalesce("form", "mapped").alias("form"))
