@@ -487,6 +487,33 @@ def test_edited_copies_of_a_recurring_passage(spark):
         assert {r.doc_id: (r.score, r.equal_words, r.longest_run) for r in leaked_items(d, q).collect()} == {k: align(texts[k], item) for k in range(n)}
 
 
+def test_short_items_are_their_own_seeds(spark):
+    items = {1: "alpha beta", 2: "gamma", 3: "one two three four", 4: "one two three four five six", 5: " "}
+    docs = {1: "x alpha beta y", 2: "beta alpha", 3: "so gamma", 4: "one two three four", 5: "one two three", 6: "zero one two three four five", 7: ""}
+    d = spark.createDataFrame([(k, t, "en") for k, t in docs.items()], "doc_id bigint, text string, lang string")
+    q = spark.createDataFrame([(k, t, "en") for k, t in items.items()], "item_id bigint, text string, lang string")
+    assert {(r.doc_id, r.item_id) for r in leaked_items(d, q).collect()} == {(1, 1), (3, 2), (4, 3), (6, 3), (6, 4)}
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies of 12 to 60 words of which a fifth or less is inserted, deleted or replaced."""
+    rnd = random.Random(13)
+    items = [[f"q{i}w{rnd.randint(0, 50)}" for _ in range(rnd.randint(12, 60))] for i in range(60)]
+    docs = []
+    for k in range(1200):
+        w = list(items[k % 60])
+        for _ in range(rnd.randint(0, len(w) // 5)):
+            p = rnd.randrange(len(w))
+            w[p : p + 1] = rnd.choice([[], [f"new{k}"], [w[p], f"more{k}"]])
+        docs.append((k, " ".join([f"a{k}x{i}" for i in range(30)] + w + [f"b{k}x{i}" for i in range(30)]), "en"))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    q = spark.createDataFrame([(i, " ".join(w), "en") for i, w in enumerate(items)], "item_id bigint, text string, lang string")
+    found = {(r.doc_id, r.item_id) for r in leaked_items(d, q).collect()}
+    recall = sum((k, k % 60) in found for k in range(1200)) / 1200
+    print("recall of edited copies", recall)
+    assert recall >= 0.95 and all(i == k % 60 for k, i in found)
+
+
 # 10. Personal information
 
 LEX = Lexicon.of(["Vervok", "Tandek", "Rerkovsky", "Surkovsky", "Lorkovsky", "Ilolmarez"])

@@ -4,7 +4,8 @@ Method: n-gram seeds and local alignment. One pass over the corpus finds every n
 that a document shares with any item. Each of them is a seed, however many documents hold it:
 whether a document and an item are aligned depends on the two alone, not on what else lies in
 the table. Every pair with a seed is aligned by Smith-Waterman over words, many pairs at once,
-which also scores edited and paraphrased copies. A run of SEED words or more is never missed.
+which also scores edited and paraphrased copies. A run of SEED words or more is never missed;
+an item of fewer words is its own seed, and found where a document holds it whole.
 
 The items are a stated query set. They are taken in blocks of bounded size, each broadcast to
 one pass over the corpus, so a larger set takes more passes and no more memory.
@@ -112,14 +113,19 @@ def _rounds(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
 def _aligned(docs: DataFrame, vocab: dict[str, int], items: list[tuple[int, np.ndarray]], kind: str) -> DataFrame:
     """(doc, item, score, equal_words, longest_run, item_words): the stretches of documents around
     n-grams of the items, aligned with every item that holds one of these n-grams."""
-    found = [np.unique(_grams(ids, SEED)) for _, ids in items]
-    grams, holder = np.concatenate(found), np.repeat(np.arange(len(items)), [len(g) for g in found])
-    order = np.argsort(grams, kind="stable")
-    grams, first = np.unique(grams[order], return_index=True)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, items, grams, np.append(first, len(order)), holder[order]))
+    seeds = []  # of each length: the grams, and the items that hold them
+    for n in sorted({min(len(ids), SEED) for _, ids in items}):
+        some = [i for i, (_, ids) in enumerate(items) if min(len(ids), SEED) == n]
+        found = [np.unique(_grams(items[i][1], n)) for i in some]
+        grams, holder = np.concatenate(found), np.repeat(some, [len(g) for g in found])
+        order = np.argsort(grams, kind="stable")
+        grams, first = np.unique(grams[order], return_index=True)
+        seeds.append((n, grams, np.append(first, len(order)), holder[order]))
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, items, seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, stated, wanted, first, holder = shared.value
+        number, stated, seeds = shared.value
+        least = seeds[0][0]
         get = number.get
         for b in batches:
             keys = b.column(0)
@@ -128,19 +134,26 @@ def _aligned(docs: DataFrame, vocab: dict[str, int], items: list[tuple[int, np.n
             begin = np.concatenate([[0], np.cumsum(size + 1)])
             ids = np.full(int(begin[-1]), -1, dtype=np.int64)
             for w, s in zip(texts, begin.tolist()):
-                if len(w) >= SEED:
+                if len(w) >= least:
                     ids[s : s + len(w)] = [get(x, -1) for x in w]
             known = ids >= 0
-            whole = np.ones(max(len(ids) - SEED + 1, 0), dtype=bool)
-            for k in range(SEED):
-                whole &= known[k : k + len(whole)]
-            at = np.flatnonzero(whole)
-            g = _grams(ids, SEED)[at]
-            p = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
-            hit = wanted[p] == g
-            at, p = at[hit], p[hit]
+            places, marks = [], []
+            for k, (n, wanted, *_) in enumerate(seeds):
+                whole = np.ones(max(len(ids) - n + 1, 0), dtype=bool)
+                for j in range(n):
+                    whole &= known[j : j + len(whole)]
+                at = np.flatnonzero(whole)
+                g = _grams(ids, n)[at]
+                p = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
+                hit = wanted[p] == g
+                places.append(at[hit])
+                marks.append(p[hit] * len(seeds) + k)
+            at, p = np.concatenate(places), np.concatenate(marks)
             if not len(at):
                 continue
+            if len(seeds) > 1:
+                order = np.argsort(at, kind="stable")
+                at, p = at[order], p[order]
             doc = np.searchsorted(begin, at, side="right") - 1
             head = np.ones(len(at), dtype=bool)
             head[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > AROUND)
@@ -160,7 +173,7 @@ def _aligned(docs: DataFrame, vocab: dict[str, int], items: list[tuple[int, np.n
                 lo = max(int(begin[d]), int(at[s]) - AROUND)
                 hi = min(int(begin[d] + size[d]), int(at[e - 1]) + SEED + AROUND)
                 # Every item with one of the stretch's n-grams, common or rare.
-                with_it = np.unique(np.concatenate([holder[first[q] : first[q + 1]] for q in np.unique(p[s:e]).tolist()]))
+                with_it = np.unique(np.concatenate([seeds[k][3][seeds[k][2][q] : seeds[k][2][q + 1]] for q, k in (divmod(x, len(seeds)) for x in np.unique(p[s:e]).tolist())]))
                 pairs += [(d, i, lo, hi) for i in with_it.tolist()]
                 if len(pairs) >= ROUND_PAIRS:
                     yield from scored(pairs)
@@ -173,9 +186,9 @@ def _aligned(docs: DataFrame, vocab: dict[str, int], items: list[tuple[int, np.n
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_key, item_key, score, equal_words, longest_run, item_words) of aligned documents and items.
 
-    One row per document and item that share SEED consecutive words; of several stretches the
-    best counts. ``longest_run`` is the longest run of consecutive equal words. Null, empty and
-    short texts share nothing. Repeated keys are merged.
+    One row per document and item that share SEED consecutive words, or all words of a shorter
+    item; of several stretches the best counts. ``longest_run`` is the longest run of
+    consecutive equal words. Null, empty and blank texts share nothing. Repeated keys are merged.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_key].dataType.simpleString()
@@ -185,7 +198,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     out = None
     for block in range(blocks):
         part = stated.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        part = [(r["item"], w) for r in part if len(w := comparison_words(r["text"], r["lang"])) >= SEED]
+        part = [(r["item"], w) for r in part if (w := comparison_words(r["text"], r["lang"]))]
         if not part:
             continue
         vocab = {w: i for i, w in enumerate(sorted({w for _, ws in part for w in ws}))}
