@@ -3,13 +3,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxloom.llm.encode import DEFAULT_RANKS, PATTERN, encode_corpus
 from voxloom.llm.leaks import align, leaked_items
 from voxloom.llm.lookalike import consistent_forms, look_alike
-from voxloom.llm.overlap import WordIndex, cross_split_pairs, within_edits
+from voxloom.llm.overlap import WordIndex, cross_split_pairs, edit_distances, spans_of
 from voxloom.llm.packing import best_fit_plan, pack
 from voxloom.llm.personal import Finder, Lexicon, find_personal, iban, luhn, redact
 from voxloom.llm.pieces import Limits, RangeMaximum, cut_item, cut_pieces, cut_units, strengths
@@ -332,11 +333,38 @@ def test_index_finds_every_run():
     import pyarrow as pa
 
     query = [rnd.choice("abcde") for _ in range(60)]
-    at, low, high = index.runs(index.numbers(pa.array(query)), 3)
-    got = {i: h - lo for i, lo, h in zip(at.tolist(), low.tolist(), high.tolist())}
-    for i in range(58):
-        want = sum(t[j : j + 3] == query[i : i + 3] for t in texts for j in range(len(t) - 2))
-        assert got.get(i, 0) == want
+    for n in (1, 3, 4):
+        at = np.arange(60 - n)
+        low, high = index.runs(index.numbers(pa.array(query)), at, np.full(len(at), n))
+        assert (high - low).tolist() == [sum(t[j : j + n] == query[i : i + n] for t in texts for j in range(len(t) - n + 1)) for i in range(60 - n)]
+
+
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def within_edits(a, b, most):
+    return word_distance(a, b) <= most
+
+
+def test_edit_distances_of_many_pairs():
+    rnd = random.Random(21)
+    xs = [[rnd.randint(0, 4) for _ in range(rnd.randint(1, 25))] for _ in range(400)]
+    ys = [[y for v in x for y in rnd.choice([[v], [v], [v], [], [v, 9], [7]])] or [1] for x in xs]
+    most = np.array([rnd.randint(0, 8) for _ in xs])
+    got = edit_distances([np.array(x) for x in xs], [np.array(y) for y in ys], most)
+    for x, y, m, g in zip(xs, ys, most, got):
+        d = word_distance(x, y)
+        assert g == d if d <= m else g > m
+
+
+def test_spans():
+    assert spans_of(np.array([1, 2, 3, 4, 9, 5, 6, 7]), np.array([1, 2, 3, 4, 5, 6, 7]), 2) == (2, 7)
 
 
 def test_cross_split_pairs_against_all_pairs(spark):

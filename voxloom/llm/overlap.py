@@ -2,14 +2,15 @@
 
 Method: a full-text index of the evaluation texts (suffix order and Burrows-Wheeler transform
 over words, in shards of bounded size). The training texts are streamed through backward
-search, which gives the places of every run of words that a shard shares with them. Runs that
-continue each other are merged to maximal matches, and the matches of a pair of texts are
-counted; pairs with enough of them are compared word by word.
+search. Each hit is widened to a maximal match, and the matches of a pair of texts are merged
+to spans and counted, once the pair is known to be near.
 
-A pair within the allowed number of edits k over N words (N of the longer text) shares at
-least N - (q - 1) - q k runs of q words, as each edit spoils at most q of them, so no pair is
-lost by asking for that many, or for one where the bound is lower: with k <= N / 5 and q = 3
-it is at least one for every N of ten words or more.
+A pair within k edits shares a part unchanged of any k + 1 parts without overlap, as each edit
+spoils one of them at most. So a text is cut into one part more than a near text may have
+edits, and only these parts are searched: of three words or more, as k is at most a fifth of
+the words of the longer text. Of three ways to cut, which give the spare words to different
+parts, the one with the fewest hits is taken where the first has more than FEW_HITS. Pairs with a hit at a possible distance are compared by an
+exact, banded edit distance, many pairs abreast. No pair is lost, however common its words.
 
 Equal texts are compared once: the index holds, and the stream brings, one row per distinct
 text, and members are joined back to the pairs of texts found.
@@ -36,8 +37,10 @@ from voxloom.session import checkpoint_dir, cut_table
 RUN = 3
 #: Words in one shard of the index, and training words held at once.
 SHARD_WORDS, BLOCK_WORDS = 500_000, 1_000_000
-#: Hits expanded at once; blocks with more are expanded in slices.
-SLICE_HITS = 4_000_000
+#: Hits expanded at once; blocks with more are expanded in slices. Pairs compared abreast.
+SLICE_HITS, ABREAST, ABREAST_WORDS = 2_000_000, 4_000, 400_000
+#: Hits of a text up to which no other way to cut it is tried.
+FEW_HITS = 16
 
 
 class WordIndex:
@@ -69,7 +72,7 @@ class WordIndex:
         self.suffixes = np.argsort(rank, kind="stable")
         before = symbols[self.suffixes - 1]
         self.keys = np.sort(before * n + np.arange(n))
-        self.symbols, self.vocab, self._number = symbols, vocab, number
+        self.symbols, self.vocab, self._number, self._heads = symbols, vocab, number, None
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Symbols of words; -1 where the index does not hold the word."""
@@ -78,19 +81,25 @@ class WordIndex:
         table = np.fromiter((get(w, -1) for w in coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
         return table[coded.indices.to_numpy()]
 
-    def runs(self, symbols: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, first row, end row) of every run of q symbols that the index holds."""
+    def runs(self, symbols: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first row, end row) of the runs of symbols that begin at ``at``; equal where the index holds none."""
         n = len(self.symbols)
-        at = np.arange(len(symbols) - q + 1) if len(symbols) >= q else np.zeros(0, dtype=np.int64)
-        for k in range(q):
-            at = at[symbols[at + k] > 0]
-        low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), n, dtype=np.int64)
-        for k in range(q - 1, -1, -1):
-            c = symbols[at + k] * n
-            low, high = np.searchsorted(self.keys, c + low), np.searchsorted(self.keys, c + high)
-            alive = low < high
-            at, low, high = at[alive], low[alive], high[alive]
-        return at, low, high
+        if self._heads is None:  # where the suffixes that start with each symbol begin
+            self._heads = np.searchsorted(self.keys, np.arange(len(self.vocab) + 2) * n)
+        last = symbols[at + length - 1]
+        low, high = self._heads[np.maximum(last, 0)], self._heads[np.maximum(last, 0) + 1]
+        low[last <= 0] = high[last <= 0] = 0
+        live = np.flatnonzero(low < high)
+        for k in range(1, int(length.max()) if len(at) else 0):
+            # The k-th symbol from the end of each run that is that long.
+            live = live[length[live] > k]
+            c = symbols[at[live] + length[live] - 1 - k]
+            low[live[c <= 0]] = high[live[c <= 0]] = 0
+            live, c = live[c > 0], c[c > 0] * n
+            low[live] = a = np.searchsorted(self.keys, c + low[live])
+            high[live] = b = np.searchsorted(self.keys, c + high[live])
+            live = live[a < b]
+        return low, np.maximum(low, high)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -102,75 +111,146 @@ class WordIndex:
         self, z = cls.__new__(cls), np.load(io.BytesIO(data), allow_pickle=False)
         self.start, self.suffixes, self.keys, self.symbols = z["start"], z["suffixes"], z["keys"], z["symbols"]
         self.vocab = z["vocab"].tobytes().decode().split("\n")
-        self._number = {w: i + 1 for i, w in enumerate(self.vocab)}
+        self._number, self._heads = {w: i + 1 for i, w in enumerate(self.vocab)}, None
         return self
 
 
-def within_edits(a: list[int], b: list[int], most: int) -> bool:
-    """Whether at most ``most`` words must be inserted, deleted or replaced; banded."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    far = most + 1
-    row = [j if j <= most else far for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        new = [far] * (len(b) + 1)
-        if i <= most:
-            new[0] = i
-        best = new[0]
-        for j in range(lo, hi + 1):
-            v = row[j - 1] if x == b[j - 1] else 1 + min(row[j - 1], row[j], new[j - 1])
-            new[j] = v
-            best = min(best, v)
-        if best > most:
-            return False
-        row = new
-    return row[len(b)] <= most
+def edit_distances(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Words to insert, delete or replace between pairs of texts; anything above ``most`` where it is more.
+
+    All pairs abreast (last axis), by rows of x, over the diagonals within the greatest ``most``.
+    """
+    k, band = len(xs), int(most.max())
+    nx, ny = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    rows, far = int(nx.max()), np.int32(1 << 20)
+    x, y = np.full((rows, k), -1, dtype=np.int64), np.full((max(rows + 2 * band, int(ny.max()) + band) + 1, k), -2, dtype=np.int64)
+    for j, (a, b) in enumerate(zip(xs, ys)):
+        x[: len(a), j], y[band : band + len(b), j] = a, b
+    # Cell d of row i stands for i words of x and i + d - band of y.
+    offset = np.arange(2 * band + 1)[:, None]
+    cost = np.where(offset >= band, offset - band, far).astype(np.int32) * np.ones(k, dtype=np.int32)
+    out = np.where(nx == 0, ny, far)
+    ramp = offset.astype(np.int32)
+    for i in range(1, rows + 1):
+        place = i + offset - band  # words of y
+        window = y[i - 1 : i + 2 * band]  # word of y before each place
+        new = cost + (window != x[i - 1])
+        new[place[:, 0] <= 0] = far
+        new[:-1] = np.minimum(new[:-1], cost[1:] + 1)
+        if i <= band:
+            new[band - i] = i
+        new[place[:, 0] < 0] = far
+        # Insertions along the row: the least earlier cell plus the distance.
+        cost = np.minimum.accumulate(new - ramp, axis=0) + ramp
+        done = np.flatnonzero(nx == i)
+        if len(done):
+            d = ny[done] - i + band
+            ok = (d >= 0) & (d <= 2 * band)
+            out[done[ok]] = cost[d[ok], done[ok]]
+    return out
+
+
+def spans_of(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, int]:
+    """(maximal matches, matched words) of RUN words or more, on the diagonals that ``most`` edits reach."""
+    spans = words = 0
+    for d in range(-most, most + 1):
+        a, b = (x[-d:], y) if d < 0 else (x, y[d:])
+        m = min(len(a), len(b))
+        if m < RUN:
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], a[:m] == b[:m], [False]])))
+        run = edge[1::2] - edge[::2]
+        run = run[run >= RUN]
+        spans, words = spans + len(run), words + int(run.sum())
+    return spans, words
+
+
+def most_edits(n: np.ndarray, share_pct: int) -> np.ndarray:
+    """Edits allowed between a text of n words and the longest text that can be near it."""
+    longest = n.copy()
+    while (more := longest + 1 - (longest + 1) * share_pct // 100 <= n).any():
+        longest = longest + more
+    return longest * share_pct // 100
+
+
+def parts_of(n: np.ndarray, share_pct: int) -> np.ndarray:
+    """Number of parts of which one stays unchanged: one more than the edits allowed."""
+    return most_edits(n, share_pct) + 1
+
+
+def _seeds(index: WordIndex, symbols: np.ndarray, begin: np.ndarray, share_pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, first row, end row) of the parts searched, of the cut with the fewest hits."""
+    n = np.diff(begin)
+    parts = parts_of(n, share_pct)
+
+    def cut(some: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
+        of = np.repeat(parts[some], parts[some])
+        text = np.repeat(some, parts[some])
+        first = np.repeat(np.cumsum(parts[some]) - parts[some], parts[some])
+        number = np.arange(len(text)) - first
+        # All words are used: some parts are one word longer than others.
+        length = n[text] // of + ((number + turn * of // 3) % of < n[text] % of)
+        at = np.cumsum(length) - length
+        at += begin[text] - at[first]
+        low, high = index.runs(symbols, at, length)
+        return text, at, low, high
+
+    best = cut(np.flatnonzero(n), 0)
+    for turn in (1, 2):
+        hits = np.bincount(best[0], weights=best[3] - best[2], minlength=len(n))
+        many = np.flatnonzero(hits > FEW_HITS)
+        if len(many):
+            other = cut(many, turn)
+            fewer = np.bincount(other[0], weights=other[3] - other[2], minlength=len(n)) < hits
+            old, new = ~(fewer & (hits > FEW_HITS))[best[0]], fewer[other[0]]
+            best = tuple(np.concatenate([b[old], o[new]]) for b, o in zip(best, other))
+    found = best[2] < best[3]
+    order = np.argsort(best[0][found], kind="stable")
+    return tuple(b[found][order] for b in best)
 
 
 def _search(index: WordIndex, words: pa.Array, begin: np.ndarray, share_pct: int) -> Iterator[tuple[int, int, int, int]]:
     """(training text, index text, maximal matches, matched words) of near pairs in a block."""
     symbols = index.numbers(words)
-    text_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    at, low, high = index.runs(symbols, RUN)
-    one_text = text_of[at] == text_of[at + RUN - 1]
-    at, low, high = at[one_text], low[one_text], high[one_text]
-    if not len(at):
-        return
+    text, at, low, high = _seeds(index, symbols, begin, share_pct)
+    there_begin, there_len = index.start[:-1], np.diff(index.start) - 1
+    lengths = np.diff(begin)
     total = np.cumsum(high - low)
-    edges = [0]
-    while edges[-1] < len(at):  # slices end between texts, so that a pair's hits stay together
-        done = total[edges[-1] - 1] if edges[-1] else 0
-        stop = int(np.searchsorted(total, done + SLICE_HITS, side="right"))
-        stop = max(stop, edges[-1] + 1)
-        stop = len(at) if stop >= len(at) else int(np.searchsorted(text_of[at], text_of[at[stop - 1]], side="right"))
-        edges.append(stop)
-    for s, e in zip(edges[:-1], edges[1:]):
-        n = high[s:e] - low[s:e]
-        rows = np.arange(n.sum()) + np.repeat(low[s:e] - (np.cumsum(n) - n), n)
-        here = np.repeat(at[s:e], n)
-        there = index.suffixes[rows]
-        other = np.searchsorted(index.start, there, side="right") - 1
-        text = text_of[here]
-        pair = text * len(index.start) + other
-        diagonal = (here - begin[text]) - (there - index.start[other])
-        order = np.lexsort((here, diagonal, pair))
-        pair, diagonal, here, text, other = pair[order], diagonal[order], here[order], text[order], other[order]
-        fresh = np.ones(len(pair), dtype=bool)
-        fresh[1:] = (pair[1:] != pair[:-1]) | (diagonal[1:] != diagonal[:-1]) | (here[1:] != here[:-1] + 1)
-        heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        hits = np.diff(np.append(heads, len(pair)))
-        spans = np.add.reduceat(fresh.astype(np.int64), heads)
-        t, o = text[heads], other[heads]
-        a_len, b_len = begin[t + 1] - begin[t], index.start[o + 1] - index.start[o] - 1
-        longer = np.maximum(a_len, b_len)
-        most = longer * share_pct // 100
-        enough = (hits >= longer - (RUN - 1) - RUN * most) & (np.abs(a_len - b_len) <= most)
-        for i in np.flatnonzero(enough).tolist():
-            x = symbols[begin[t[i]] : begin[t[i] + 1]].tolist()
-            y = index.symbols[index.start[o[i]] : index.start[o[i] + 1] - 1].tolist()
-            if within_edits(x, y, int(most[i])):
-                yield int(t[i]), int(o[i]), int(spans[i]), int(hits[i] + (RUN - 1) * spans[i])
+    seen: set[tuple[int, int]] = set()  # near pairs of texts whose hits lie in several slices
+    edge = 0
+    while edge < len(at):
+        done = total[edge - 1] if edge else 0
+        stop = max(edge + 1, int(np.searchsorted(total, done + SLICE_HITS, side="right")))
+        n = high[edge:stop] - low[edge:stop]
+        for first in range(0, int(n.max()), SLICE_HITS):  # one part with more hits is taken in slices too
+            m = np.clip(n - first, 0, SLICE_HITS)
+            rows = np.arange(m.sum()) + np.repeat(low[edge:stop] + first - (np.cumsum(m) - m), m)
+            here, t = np.repeat(at[edge:stop], m), np.repeat(text[edge:stop], m)
+            there = index.suffixes[rows]
+            o = np.searchsorted(index.start, there, side="right") - 1
+            a, b = lengths[t], there_len[o]
+            most = np.maximum(a, b) * share_pct // 100
+            # The texts' lengths, and what lies before and behind the hit, differ by no more than the edits.
+            before = np.abs((here - begin[t]) - (there - there_begin[o]))
+            behind = np.abs((begin[t + 1] - here) - (there_begin[o] + b - there))
+            near = before + behind <= most
+            pair = np.unique(t[near] * len(there_len) + o[near])
+            t, o = pair // len(there_len), pair % len(there_len)
+            order = np.lexsort((there_len[o], lengths[t]))
+            size, s = lengths[t[order]], 0
+            while s < len(order):
+                e = min(s + ABREAST, len(order))
+                while e > s + 1 and (e - s) * size[e - 1] > ABREAST_WORDS:
+                    e = s + max(1, min(e - s - 1, ABREAST_WORDS // int(size[e - 1])))
+                some, s = order[s:e], e
+                xs = [symbols[begin[i] : begin[i + 1]] for i in t[some].tolist()]
+                ys = [index.symbols[there_begin[j] : there_begin[j] + there_len[j]] for j in o[some].tolist()]
+                most = np.maximum(lengths[t[some]], there_len[o[some]]) * share_pct // 100
+                for i in np.flatnonzero(edit_distances(xs, ys, most) <= most).tolist():
+                    if (key := (int(t[some[i]]), int(o[some[i]]))) not in seen:
+                        seen.add(key)
+                        yield *key, *spans_of(xs[i], ys[i], int(most[i]))
+        edge = stop
 
 
 def _shard_files(path: str) -> tuple[fs.FileSystem, str]:
@@ -265,14 +345,18 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, lang: str, is_eval: st
 
     ``is_eval`` names a boolean column; rows where it is null belong to neither side. Null and
     short texts take no part; texts equal but for case, punctuation and look-alike characters
-    are pairs with one span; repeated keys give repeated pairs only if the rows differ.
+    are near pairs; repeated rows give repeated pairs.
     """
     keep = keep or []
-    rows = cut_table(comparison_rows(df.filter(F.col(is_eval).isNotNull()), key, text, lang, least_words, [is_eval, *keep]).distinct())
-    classes = rows.groupBy(is_eval, "words").agg(F.min(key).alias("class"))
-    classes = cut_table(classes)
-    found = near_classes(classes.filter(F.col(is_eval)), classes.filter(~F.col(is_eval)), share_pct)
-    members = rows.join(classes, [is_eval, "words"]).select(is_eval, key, "class", *keep)
+    if share_pct >= 50 or least_words < 1 or parts_of(np.array([least_words]), share_pct)[0] > least_words:
+        raise ValueError("so many edits leave no part of a text unchanged")
+    rows = comparison_rows(df.filter(F.col(is_eval).isNotNull()), key, text, lang, least_words, [is_eval, *keep])
+    # The digest stands for the text, so that words are shuffled once, to their class.
+    rows = cut_table(rows.withColumn("class", F.md5("words")))
+    classes = cut_table(rows.groupBy(is_eval, "class").agg(F.first("words").alias("words")))
+    # Written, so that its size is known: Spark broadcasts it only if it is small.
+    found = cut_table(near_classes(classes.filter(F.col(is_eval)), classes.filter(~F.col(is_eval)), share_pct))
+    members = rows.select(is_eval, key, "class", *keep)
     ev = members.filter(F.col(is_eval)).select(F.col(key).alias("eval_key"), F.col("class").alias("eval_class"), *keep)
     tr = members.filter(~F.col(is_eval)).select(F.col(key).alias("train_key"), F.col("class").alias("train_class"))
     return found.join(ev, "eval_class").join(tr, "train_class").select("eval_key", "train_key", *keep, "spans", "matched")
