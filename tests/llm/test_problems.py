@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.encode import DEFAULT_RANKS, PATTERN, encode_corpus
 from voxloom.llm.leaks import align, leaked_items
 from voxloom.llm.lookalike import consistent_forms, look_alike
-from voxloom.llm.overlap import WordIndex, cross_split_pairs, edit_distances, spans_of
+from voxloom.llm.overlap import WordIndex, cross_split_links, cross_split_pairs, edit_distances, spans_of
 from voxloom.llm.packing import best_fit_plan, pack
 from voxloom.llm.personal import Finder, Lexicon, find_personal, iban, luhn, redact
 from voxloom.llm.pieces import Limits, RangeMaximum, cut_item, cut_pieces, cut_units, strengths
@@ -389,9 +389,17 @@ def test_cross_split_pairs_against_all_pairs(spark):
     want = {(a, b) for a, ea, _ in rows if ea for b, eb, _ in rows if eb is False and near(w[a], w[b])}
     got = {(r.eval_key, r.train_key) for r in cross_split_pairs(df, "k", "text", "lang", "ev").collect()}
     assert got == want and ("d1", "d2") in got
+    links = {r.k: r.n_links for r in cross_split_links(df, "k", "text", "lang", "ev").collect()}
+    assert set(links) == {k for k, e, _ in rows if e is not None and len(w[k]) >= 10}
+    assert all(n == sum(k in p for p in want) for k, n in links.items())
     assert cross_split_pairs(df.filter("ev"), "k", "text", "lang", "ev").count() == 0 and cross_split_pairs(df.limit(0), "k", "text", "lang", "ev").count() == 0
 
 
+def test_report_counts_the_pairs(spark):
+    pairs = QUERIES["p6_pairs"](spark, SMALL).groupBy("dset", "source").agg(F.count("*").alias("p"), F.countDistinct("eval_key").alias("u")).collect()
+    assert {tuple(r) for r in pairs} == {tuple(r) for r in QUERIES["p6_report"](spark, SMALL).collect()}
+
+
 # 7. Look-alikes
 
 

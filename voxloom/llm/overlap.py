@@ -340,14 +340,8 @@ def comparison_rows(df: DataFrame, key: str, text: str, lang: str, least_words:
     return df.select(F.col(text).alias("t"), F.col(lang).alias("l"), key, *keep).mapInArrow(run, f"{kinds}, words string")
 
 
-def cross_split_pairs(df: DataFrame, key: str, text: str, lang: str, is_eval: str, least_words: int = 10, share_pct: int = 20, keep: list[str] | None = None) -> DataFrame:
-    """(eval_key, train_key, keep of the evaluation row..., spans, matched) of all near pairs.
-
-    ``is_eval`` names a boolean column; rows where it is null belong to neither side. Null and
-    short texts take no part; texts equal but for case, punctuation and look-alike characters
-    are near pairs; repeated rows give repeated pairs.
-    """
-    keep = keep or []
+def near_rows(df: DataFrame, key: str, text: str, lang: str, is_eval: str, least_words: int, share_pct: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(is_eval, key, class, keep...) of the rows that take part, and the near pairs of classes."""
     if share_pct >= 50 or least_words < 1 or parts_of(np.array([least_words]), share_pct)[0] > least_words:
         raise ValueError("so many edits leave no part of a text unchanged")
     rows = comparison_rows(df.filter(F.col(is_eval).isNotNull()), key, text, lang, least_words, [is_eval, *keep])
@@ -356,7 +350,34 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, lang: str, is_eval: st
     classes = cut_table(rows.groupBy(is_eval, "class").agg(F.first("words").alias("words")))
     # Written, so that its size is known: Spark broadcasts it only if it is small.
     found = cut_table(near_classes(classes.filter(F.col(is_eval)), classes.filter(~F.col(is_eval)), share_pct))
-    members = rows.select(is_eval, key, "class", *keep)
+    return rows.select(is_eval, key, "class", *keep), found
+
+
+def cross_split_links(df: DataFrame, key: str, text: str, lang: str, is_eval: str, least_words: int = 10, share_pct: int = 20, keep: list[str] | None = None) -> DataFrame:
+    """(key, is_eval, class, keep..., n_links): one row per row that takes part.
+
+    ``class`` is the digest of its comparison words, equal for equal texts; ``n_links`` counts
+    the near rows of the other side, without listing them. Rows as in ``cross_split_pairs``.
+    """
+    keep = keep or []
+    rows, found = near_rows(df, key, text, lang, is_eval, least_words, share_pct, keep)
+    sizes = rows.groupBy(is_eval, "class").agg(F.count("*").alias("n"))
+    pairs = found.select(F.col("eval_class"), F.col("train_class"))
+    of_eval = pairs.join(sizes.filter(~F.col(is_eval)).select(F.col("class").alias("train_class"), "n"), "train_class").groupBy(F.col("eval_class").alias("class")).agg(F.sum("n").alias("n_links"))
+    of_train = pairs.join(sizes.filter(F.col(is_eval)).select(F.col("class").alias("eval_class"), "n"), "eval_class").groupBy(F.col("train_class").alias("class")).agg(F.sum("n").alias("n_links"))
+    links = of_eval.withColumn(is_eval, F.lit(True)).union(of_train.withColumn(is_eval, F.lit(False)))
+    return rows.join(links, [is_eval, "class"], "left").select(key, is_eval, "class", *keep, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def cross_split_pairs(df: DataFrame, key: str, text: str, lang: str, is_eval: str, least_words: int = 10, share_pct: int = 20, keep: list[str] | None = None) -> DataFrame:
+    """(eval_key, train_key, keep of the evaluation row..., spans, matched) of all near pairs.
+
+    ``is_eval`` names a boolean column; rows where it is null belong to neither side. Null and
+    short texts take no part; texts equal but for case, punctuation and look-alike characters
+    are near pairs; repeated rows give repeated pairs.
+    """
+    keep = keep or []
+    members, found = near_rows(df, key, text, lang, is_eval, least_words, share_pct, keep)
     ev = members.filter(F.col(is_eval)).select(F.col(key).alias("eval_key"), F.col("class").alias("eval_class"), *keep)
     tr = members.filter(~F.col(is_eval)).select(F.col(key).alias("train_key"), F.col("class").alias("train_class"))
     return found.join(ev, "eval_class").join(tr, "train_class").select("eval_key", "train_key", *keep, "spans", "matched")
