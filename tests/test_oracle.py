@@ -35,19 +35,19 @@ def texts_of(spark):
 
 def test_whole_tables_of_events_and_orders(spark, tables):
     n, seconds = tables.execute("SELECT count(*), sum(1 + event_id % 7) FROM events").fetchone()
-    assert [tuple(r) for r in QUERIES["decoding_times_all"](spark, SMALL).collect()] == [(float(seconds), n)]
+    assert [tuple(r) for r in QUERIES["decoding_times"](spark, SMALL).collect()] == [(float(seconds), n)]
     orders = tables.execute("SELECT o_orderkey, c_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey").fetchall()
-    assert Counter(map(tuple, QUERIES["two_column_join_all"](spark, SMALL).collect())) == Counter(orders)
+    assert Counter(map(tuple, QUERIES["two_column_join"](spark, SMALL).collect())) == Counter(orders)
 
 
 def test_text_queries_over_all_languages(spark):
     t = {u: x for u, (x, _) in texts_of(spark).items() if x is not None}
-    assert {r.uttid: r.text for r in QUERIES["cleaned_text_all"](spark, SMALL).collect()} == {u: re.sub("[ \t\n\r]+", " ", re.sub(r"\[[^\]]*\]|<[^>]*>", "", x.upper())).strip(" ") for u, x in t.items()}
-    got = {r.uttid: (r.line, r.stripped, r.bare) for r in QUERIES["normalised_trn_all"](spark, SMALL).collect()}
+    assert {r.uttid: r.text for r in QUERIES["cleaned_text"](spark, SMALL).collect()} == {u: re.sub("[ \t\n\r]+", " ", re.sub(r"\[[^\]]*\]|<[^>]*>", "", x.upper())).strip(" ") for u, x in t.items()}
+    got = {r.uttid: (r.line, r.stripped, r.bare) for r in QUERIES["normalised_trn"](spark, SMALL).collect()}
     assert got == {u: (re.sub(" +", " ", x.upper()).replace("((", "(") + f" ({u})", re.sub(" +", " ", re.sub("[()▁]", "", x)).strip(" "), re.sub(r"[!-/:-@\[-`{-~]", "", x)) for u, x in t.items()}
     words = {u: [w for w in re.split("[ \t\n\r]+", x) if w] for u, x in t.items()}
-    assert {tuple(r) for r in QUERIES["occurrence_numbers_all"](spark, SMALL).collect()} == {(u, w, i + 1, ws[:i].count(w)) for u, ws in words.items() for i, w in enumerate(ws)}
-    stm = {r.uttid: r.line for r in QUERIES["stm_lines_all"](spark, SMALL).collect()}
+    assert {tuple(r) for r in QUERIES["occurrence_numbers"](spark, SMALL).collect()} == {(u, w, i + 1, ws[:i].count(w)) for u, ws in words.items() for i, w in enumerate(ws)}
+    stm = {r.uttid: r.line for r in QUERIES["stm_lines"](spark, SMALL).collect()}
     from voxloom.plans.relation_queries import segments, speakers
 
     timed = {r.uttid for r in segments(spark, SMALL).filter("recid is not null and endtime > starttime").collect()}
@@ -57,7 +57,7 @@ def test_text_queries_over_all_languages(spark):
 
 def test_report_of_all_texts(spark):
     t = {u: x for u, x in texts_of(spark).items() if x[0] is not None}
-    got = {r.id: (r.speaker, r.hyp, r.ref, r.c) for r in QUERIES["report_records_all"](spark, SMALL).collect() if r.id in t}
+    got = {r.id: (r.speaker, r.hyp, r.ref, r.c) for r in QUERIES["report_records"](spark, SMALL).collect() if r.id in t}
     own = lambda x: x.lstrip(" \t\n\r\x0b\f").rstrip(" ")
     assert got == {u: (lang, own(x), own(x.upper()), len(x)) for u, (x, lang) in t.items()}
 
@@ -75,7 +75,7 @@ def test_edits_of_all_pairs(spark):
     from voxloom.plans.scoring_queries import versions
 
     pairs = {r.uttid: (r.ref, r.hyp) for r in versions(spark, SMALL).collect()}
-    got = {r.uttid: r.edits for r in QUERIES["char_edits_all"](spark, SMALL).collect()}
+    got = {r.uttid: r.edits for r in QUERIES["char_edits"](spark, SMALL).collect()}
     strip = lambda x: x.replace(" ", "")
     assert got == {u: None if a is None or b is None else 0 if a == b else char_distance(strip(a), strip(b)) for u, (a, b) in pairs.items()}
 

@@ -57,14 +57,15 @@ def filter_words(c: Column, vocabulary: list[str], exclude: bool, unknown: str =
 
 #: Names of digits and of Latin letters in Hangul, 0-9 and A-Z in order.
 HANGUL_DIGITS = "영 일 이 삼 사 오 육 칠 팔 구".split()
-HANGUL_LETTERS = "에이 비 시 디 이 에프 지 에이치 아이 제이 케이 엘 엠 엔 오 피 큐 아르 에스 티 유 브이 더블유 엑스 와이 제트".split()
+HANGUL_LETTERS = "에이 비 씨 디 이 에프 지 에이치 아이 제이 케이 엘 엠 엔 오 피 큐 알 에스 티 유 브이 더블유 엑스 와이 지".split()
 
 
 def korean_clean(c: Column) -> Column:
-    """Trimmed, digits and Latin letters spelled in Hangul."""
+    """Trimmed, digits and the letters A-Z and a-z spelled in Hangul; all else stays as it is."""
     names = {str(i): n for i, n in enumerate(HANGUL_DIGITS)} | {chr(65 + i): n for i, n in enumerate(HANGUL_LETTERS)}
+    names |= {k.lower(): n for k, n in names.items()}
     spelled = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    chars = F.regexp_extract_all(F.upper(F.trim(c)), F.lit("(?s)(.)"), F.lit(1))
+    chars = F.regexp_extract_all(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit("(?s)(.)"), F.lit(1))
     return F.array_join(F.transform(chars, lambda x: F.coalesce(F.try_element_at(spelled, x), x)), "")
 
 

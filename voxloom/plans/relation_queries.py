@@ -195,20 +195,10 @@ def enrolment_utterance(s, d):
     return nxt.join(o.select("ordinal", F.col("uttid").alias("enrolment")), "ordinal").select("uttid", "enrolment")
 
 
-@query("SELECT o_orderkey, c_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'")
+@query("SELECT o_orderkey, c_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def two_column_join(s, d):
     """Plain joins on value columns."""
-    return _ordered_by(s, d, read_table(s, d, "orders").filter("o_orderpriority = '1-URGENT'"))
-
-
-@query()
-def two_column_join_all(s, d):
-    """Plain joins on value columns, of all orders."""
-    return _ordered_by(s, d, read_table(s, d, "orders"))
-
-
-def _ordered_by(s, d, o):
-    c, n = (read_table(s, d, t) for t in ("customer", "nation"))
+    o, c, n = (read_table(s, d, t) for t in ("orders", "customer", "nation"))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_custkey", "n_name")
 
 

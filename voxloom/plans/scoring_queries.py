@@ -34,10 +34,28 @@ def versions(s, d):
 
 
 _PAIRS = f"{TEXTS}, old AS (SELECT uttid, text AS hyp FROM (SELECT *, row_number() OVER (PARTITION BY uttid ORDER BY loaded_at NULLS LAST, text NULLS LAST) AS rn FROM utt_text WHERE uttid IS NOT NULL) WHERE rn = 1), pr AS (SELECT uttid, text AS ref, hyp FROM txt JOIN old USING (uttid))"
-# Words become single characters, numbered within their pair, so that the character distance is the word distance.
-_CODED = f"""{_PAIRS}, wd AS (SELECT uttid, ref, hyp, {WORDS_OF.format(c="coalesce(ref, '')")} AS r, {WORDS_OF.format(c="coalesce(hyp, '')")} AS h FROM pr),
-cd AS (SELECT uttid, len(r) AS n_ref, r = h AS same, list_sort(list_distinct(list_concat(r, h))) AS v, r, h FROM wd),
-ed AS (SELECT uttid, n_ref, CASE WHEN same THEN 0 ELSE levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(list_position(v, x) AS INT))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(list_position(v, x) AS INT))), '')) END AS edits FROM cd WHERE same OR len(v) < 128)"""
+
+
+def _coded(units: str, of: str) -> str:
+    """Common table expressions that end in ed(uttid, n_ref, edits).
+
+    Units (words, characters) become single characters, numbered within their pair after the
+    parts that both ends share are cut off, so that the character distance is theirs. A pair
+    with more different units than there are characters of one byte raises an error.
+    """
+    r, h = units.format(c=of.format(c="ref")), units.format(c=of.format(c="hyp"))
+    equal = "list_transform(range(1, least(len(r), len(h)) + 1), lambda i: r[i] = h[i])"
+    cut = f"coalesce(list_position({equal}, false), least(len(r), len(h)) + 1)"
+    code = "array_to_string(list_transform({x}, lambda x: chr(CAST(list_position(v, x) AS INT))), '')"
+    return f"""{_PAIRS}, wd AS (SELECT uttid, ref, hyp, {r} AS r, {h} AS h FROM pr),
+f1 AS (SELECT uttid, len(r) AS n_ref, r = h AS same, list_reverse(r[{cut} : ]) AS r, list_reverse(h[{cut} : ]) AS h FROM wd),
+f2 AS (SELECT uttid, n_ref, same, r[{cut} : ] AS r, h[{cut} : ] AS h FROM f1),
+cd AS (SELECT *, list_sort(list_distinct(list_concat(r, h))) AS v FROM f2),
+ed AS (SELECT uttid, n_ref, CASE WHEN same THEN 0 WHEN len(v) > 127 THEN CAST(error('too many different units in ' || uttid) AS BIGINT) ELSE levenshtein({code.format(x="r")}, {code.format(x="h")}) END AS edits FROM cd)"""
+
+
+_CODED = _coded(WORDS_OF, "coalesce({c}, '')")
+_CODED_CHARS = _coded("regexp_extract_all({c}, '(?s).')", "replace({c}, ' ', '')")
 
 
 @query(f"WITH {_CODED} SELECT uttid, n_ref, CAST(edits AS BIGINT) AS edits FROM ed")
@@ -55,19 +73,10 @@ def wer_micro(s, d):
     return C.error_rate(e, F.col("edits"), F.col("n_ref")).withColumn("rate", F.round("rate", 9))
 
 
-@query(f"WITH {_PAIRS} SELECT uttid, CAST(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', '')) AS BIGINT) AS edits, length(replace(ref, ' ', '')) AS n FROM pr WHERE regexp_full_match(ref || hyp, '[ -~]*')")
+@query(f"WITH {_CODED_CHARS} SELECT uttid, CAST(edits AS BIGINT) AS edits, n_ref AS n FROM ed")
 def char_edits(s, d):
-    """Character edit distance without blanks, of plain texts."""
-    return _char_edits(versions(s, d).filter(F.concat("ref", "hyp").rlike("^[ -~]*$")))
-
-
-@query()
-def char_edits_all(s, d):
-    """Character edit distance without blanks, of all pairs (without SQL: levenshtein counts bytes there); null where a text is."""
-    return _char_edits(versions(s, d))
-
-
-def _char_edits(p):
+    """Character edit distance without blanks; null where a text is."""
+    p = versions(s, d)
     return p.select("uttid", C.char_distance(F.col("ref"), F.col("hyp")).cast("bigint").alias("edits"), F.length(F.replace("ref", F.lit(" "))).cast("bigint").alias("n"))
 
 

@@ -125,20 +125,10 @@ def greedy_segments(s, d):
     return greedy_groups(seg, "recid", ["starttime", "uttid"], "dur", 60.0).groupBy("recid", "batch").agg(F.count("*").alias("n"), F.round(F.sum("dur"), 3).alias("total")).select("recid", F.col("batch").alias("segment"), "n", "total")
 
 
-@query(f"WITH {TEXTS}, w AS (SELECT uttid, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS pos FROM txt WHERE lang = 'es') SELECT uttid, word, pos, row_number() OVER (PARTITION BY uttid, word ORDER BY pos) - 1 AS occurrence FROM w")
+@query(f"WITH {TEXTS}, w AS (SELECT uttid, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS pos FROM txt) SELECT uttid, word, pos, row_number() OVER (PARTITION BY uttid, word ORDER BY pos) - 1 AS occurrence FROM w")
 def occurrence_numbers(s, d):
     """The how-manieth of equal words of an utterance."""
-    return _occurrences(texts(s, d, "lang").filter("lang = 'es'"))
-
-
-@query()
-def occurrence_numbers_all(s, d):
-    """The how-manieth of equal words of an utterance, in all languages."""
-    return _occurrences(texts(s, d))
-
-
-def _occurrences(t):
-    w = t.select("uttid", F.posexplode(T.words(F.col("text"))).alias("pos", "word")).withColumn("pos", (F.col("pos") + 1).cast("bigint"))
+    w = texts(s, d).select("uttid", F.posexplode(T.words(F.col("text"))).alias("pos", "word")).withColumn("pos", (F.col("pos") + 1).cast("bigint"))
     return W.occurrence_number(w, ["uttid", "word"], ["pos"]).select("uttid", "word", "pos", F.col("occurrence").cast("bigint").alias("occurrence"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.plans.relation_queries import SEGMENTS, SPEAKERS, TEXTS, TRAIN_SHAPES, segments, shape_sql, shapes, speakers, texts
+from voxloom.plans.text_queries import UPPER
 from voxloom.session import read_table
 from voxloom.sources import binary, formats, scores, sinks
 
@@ -76,39 +77,23 @@ def random_sequences(s, d):
     return read_table(s, d, "documents").select("doc_id", binary.random_ints("doc_id", 10, 2, 9, 5).alias("numbers"))
 
 
-@query(f"WITH {TEXTS} SELECT uttid AS id, lang AS speaker, upper(text) AS ref, text AS hyp, length(text) AS c FROM txt WHERE lang = 'fr' AND regexp_full_match(text, '[^ \\t\\n\\r].*[^ \\t\\n\\r]')")
-def report_records(s, d):
-    """Records of a scoring report, from its lines."""
-    return _reported(texts(s, d, "lang").filter("lang = 'fr'").filter(F.col("text").rlike(r"^[^ \t\n\r].*[^ \t\n\r]$")))
-
+_OWN = "regexp_replace(regexp_replace({c}, '^[ \\t\\n\\r\\x0b\\f]+', ''), ' +$', '')"
 
-@query()
-def report_records_all(s, d):
-    """Records of a report of all texts (without SQL: scripts and line breaks differ there)."""
-    return _reported(texts(s, d, "lang"))
 
-
-def _reported(t):
+@query(f"WITH {TEXTS} SELECT uttid AS id, lang AS speaker, {_OWN.format(c=UPPER.format(c='text'))} AS ref, {_OWN.format(c='text')} AS hyp, length(text) AS c FROM txt WHERE text IS NOT NULL")
+def report_records(s, d):
+    """Records of a scoring report, from its lines."""
+    t = texts(s, d, "lang").filter("text is not null")
     lines = F.array(F.concat(F.lit("Speaker sentences "), "lang"), F.concat(F.lit("id: "), "uttid"), F.concat(F.lit("Scores: (#C #S #D #I) "), F.length("text").cast("string"), F.lit(" 1 2 3")), F.concat(F.lit("REF: "), F.upper("text")), F.concat(F.lit("HYP: "), "text"))
     rows = t.select("uttid", F.posexplode(lines).alias("p", "value"))
     out = formats.parse_report(rows, ["uttid", "p"])
     return out.select("id", "speaker", "ref", "hyp", formats.parse_scores(F.col("scores"))["c"].alias("c"))
 
 
-@query("SELECT round(sum(1 + event_id % 7), 3)::DOUBLE AS seconds, count(*) AS n FROM events WHERE event_id % 10 = 0")
+@query("SELECT round(sum(1 + event_id % 7), 3)::DOUBLE AS seconds, count(*) AS n FROM events")
 def decoding_times(s, d):
     """Pairs of start and end lines of a log."""
-    return _timed(read_table(s, d, "events").filter("event_id % 10 = 0"))
-
-
-@query()
-def decoding_times_all(s, d):
-    """Pairs of start and end lines of a log of all events."""
-    return _timed(read_table(s, d, "events"))
-
-
-def _timed(events):
-    e = events.select("event_id", F.col("ts").cast("timestamp").alias("t"))
+    e = read_table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("t"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss,SSS")
     lines = F.array(F.concat(stamp(F.col("t")), F.lit(" (asr:1) INFO: decoding start")), F.concat(stamp(F.timestamp_add("SECOND", (1 + F.col("event_id") % 7).cast("int"), F.col("t"))), F.lit(" (asr:2) INFO: decoding end")))
     rows = e.select("event_id", F.posexplode(lines).alias("p", "value"))

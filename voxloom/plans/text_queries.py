@@ -108,49 +108,34 @@ def label_distribution(s, d):
     return V.label_distribution(t, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]"), F.lit(0)))
 
 
-@query(f"WITH {TEXTS} SELECT uttid, trim(regexp_replace(regexp_replace(upper(text), '\\[[^\\]]*\\]|<[^>]*>', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM txt WHERE text IS NOT NULL AND lang IN ('en', 'es', 'ru')")
-def cleaned_text(s, d):
-    """A chain of cleaners."""
-    return _cleaned(texts(s, d, "lang").filter("lang in ('en', 'es', 'ru')"))
-
-
-@query()
-def cleaned_text_all(s, d):
-    """A chain of cleaners over all texts (without SQL: scripts differ there)."""
-    return _cleaned(texts(s, d))
+#: Upper case as in the Unicode tables of Java, of which DuckDB has the single letters only.
+UPPER = "replace(upper({c}), 'ß', 'SS')"
 
 
-def _cleaned(t):
-    return t.filter("text is not null").select("uttid", T.clean(F.col("text"), ["upper", "no_tags", "whitespace"]).alias("text"))
+@query(f"WITH {TEXTS} SELECT uttid, trim(regexp_replace(regexp_replace({UPPER.format(c='text')}, '\\[[^\\]]*\\]|<[^>]*>', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM txt WHERE text IS NOT NULL")
+def cleaned_text(s, d):
+    """A chain of cleaners."""
+    return texts(s, d).filter("text is not null").select("uttid", T.clean(F.col("text"), ["upper", "no_tags", "whitespace"]).alias("text"))
 
 
 @query(
-    "SELECT recid, array_to_string(list_transform(regexp_extract_all(upper(trim(recid)), '(?s)(.)', 1), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN ['"
-    + "','".join(T.HANGUL_DIGITS)
-    + "'][ord(x) - 47] WHEN x BETWEEN 'A' AND 'Z' THEN ['"
-    + "','".join(T.HANGUL_LETTERS)
-    + "'][ord(x) - 64] ELSE x END), '') AS spelled FROM wav_scp"
+    """
+WITH spoken(sign, name) AS (VALUES ('0', '영'), ('1', '일'), ('2', '이'), ('3', '삼'), ('4', '사'), ('5', '오'), ('6', '육'), ('7', '칠'), ('8', '팔'), ('9', '구'),
+  ('A', '에이'), ('B', '비'), ('C', '씨'), ('D', '디'), ('E', '이'), ('F', '에프'), ('G', '지'), ('H', '에이치'), ('I', '아이'), ('J', '제이'), ('K', '케이'), ('L', '엘'), ('M', '엠'),
+  ('N', '엔'), ('O', '오'), ('P', '피'), ('Q', '큐'), ('R', '알'), ('S', '에스'), ('T', '티'), ('U', '유'), ('V', '브이'), ('W', '더블유'), ('X', '엑스'), ('Y', '와이'), ('Z', '지')),
+c AS (SELECT recid, unnest(regexp_extract_all(trim(recid), '(?s).')) AS c, generate_subscripts(regexp_extract_all(trim(recid), '(?s).'), 1) AS i FROM wav_scp WHERE recid IS NOT NULL)
+SELECT recid, string_agg(coalesce(name, c), '' ORDER BY i) AS spelled FROM c LEFT JOIN spoken ON sign = CASE WHEN c BETWEEN 'a' AND 'z' THEN upper(c) ELSE c END GROUP BY recid"""
 )
 def hangul_spelled(s, d):
     """Digits and letters spelled in Hangul."""
     return read_table(s, d, "wav_scp").select("recid", T.korean_clean(F.col("recid")).alias("spelled"))
 
 
-@query(f"WITH {TEXTS} SELECT uttid, regexp_replace(regexp_replace(upper(text), ' +', ' ', 'g'), '\\(\\(', '(', 'g') || ' (' || uttid || ')' AS line, trim(regexp_replace(regexp_replace(text, '[()▁]', '', 'g'), ' +', ' ', 'g')) AS stripped, regexp_replace(text, '[!-/:-@\\[-`{{-~]', '', 'g') AS bare FROM txt WHERE lang = 'en' AND text IS NOT NULL")
+@query(f"WITH {TEXTS} SELECT uttid, regexp_replace(regexp_replace({UPPER.format(c='text')}, ' +', ' ', 'g'), '\\(\\(', '(', 'g') || ' (' || uttid || ')' AS line, trim(regexp_replace(regexp_replace(text, '[()▁]', '', 'g'), ' +', ' ', 'g')) AS stripped, regexp_replace(text, '[!-/:-@\\[-`{{-~]', '', 'g') AS bare FROM txt WHERE text IS NOT NULL")
 def normalised_trn(s, d):
     """Trn lines, stripped marks, no punctuation."""
-    return _normalised(texts(s, d, "lang").filter("lang = 'en'"))
-
-
-@query()
-def normalised_trn_all(s, d):
-    """Trn lines of all texts (without SQL: scripts differ there)."""
-    return _normalised(texts(s, d))
-
-
-def _normalised(t):
     c = F.col("text")
-    return t.filter("text is not null").select("uttid", F.concat(T.normalise_trn(c), F.lit(" ("), "uttid", F.lit(")")).alias("line"), T.strip_marks(c).alias("stripped"), T.without_punctuation(c).alias("bare"))
+    return texts(s, d).filter("text is not null").select("uttid", F.concat(T.normalise_trn(c), F.lit(" ("), "uttid", F.lit(")")).alias("line"), T.strip_marks(c).alias("stripped"), T.without_punctuation(c).alias("bare"))
 
 
 @query(
@@ -234,21 +219,11 @@ def speaker_to_utterances(s, d):
 
 
 @query(
-    f"WITH {TEXTS}, {SPEAKERS}, {SEGMENTS} SELECT uttid, recid || ' 1 ' || spk || ' ' || (((CAST(round(starttime * 1000) AS BIGINT) + 5) // 10) // 100) || '.' || printf('%02d', ((CAST(round(starttime * 1000) AS BIGINT) + 5) // 10) % 100) || ' ' || (((CAST(round(endtime * 1000) AS BIGINT) + 5) // 10) // 100) || '.' || printf('%02d', ((CAST(round(endtime * 1000) AS BIGINT) + 5) // 10) % 100) || ' ' || upper(text) AS line FROM txt JOIN spk USING (uttid) JOIN seg USING (uttid) WHERE text IS NOT NULL AND recid IS NOT NULL AND endtime > starttime AND lang = 'en'"
+    f"WITH {TEXTS}, {SPEAKERS}, {SEGMENTS} SELECT uttid, recid || ' 1 ' || spk || ' ' || (((CAST(round(starttime * 1000) AS BIGINT) + 5) // 10) // 100) || '.' || printf('%02d', ((CAST(round(starttime * 1000) AS BIGINT) + 5) // 10) % 100) || ' ' || (((CAST(round(endtime * 1000) AS BIGINT) + 5) // 10) // 100) || '.' || printf('%02d', ((CAST(round(endtime * 1000) AS BIGINT) + 5) // 10) % 100) || ' ' || {UPPER.format(c='text')} AS line FROM txt JOIN spk USING (uttid) JOIN seg USING (uttid) WHERE text IS NOT NULL AND recid IS NOT NULL AND endtime > starttime"
 )
 def stm_lines(s, d):
     """K7: stm lines."""
-    return _stm(s, d, texts(s, d, "lang").filter("lang = 'en'"))
-
-
-@query()
-def stm_lines_all(s, d):
-    """K7: stm lines of all texts (without SQL: scripts differ there)."""
-    return _stm(s, d, texts(s, d))
-
-
-def _stm(s, d, t):
     from voxloom.sources.formats import stm_line
 
-    rows = t.filter("text is not null").join(speakers(s, d), "uttid").join(segments(s, d), "uttid").filter("recid is not null and endtime > starttime")
+    rows = texts(s, d).filter("text is not null").join(speakers(s, d), "uttid").join(segments(s, d), "uttid").filter("recid is not null and endtime > starttime")
     return rows.select("uttid", stm_line("recid", "spk", "starttime", "endtime", "text").alias("line"))
