@@ -35,6 +35,17 @@ def renamed_apart(dfs: list[DataFrame], key: str) -> list[DataFrame]:
     return out
 
 
+def uneven_keys(dfs: list[DataFrame], key: str) -> DataFrame:
+    """(key, n_1, n_2, ...): the keys that not every relation holds equally often, with how often each does.
+
+    One aggregation over all keys, with map-side counts.
+    """
+    tagged = reduce(lambda a, b: a.union(b), [d.select(key, F.lit(i).alias("__src")) for i, d in enumerate(dfs)])
+    counts = tagged.groupBy(key).agg(*[F.count_if(F.col("__src") == i).alias(f"n_{i + 1}") for i in range(len(dfs))])
+    uneven = reduce(lambda a, b: a | b, [F.col("n_1") != F.col(f"n_{i + 1}") for i in range(1, len(dfs))], F.lit(False))
+    return counts.filter(uneven)
+
+
 def strict_join(dfs: list[DataFrame], key: str, keys: DataFrame | None = None, check: bool = True) -> DataFrame:
     """Inner join of relations that must all hold the same keys; ``keys`` restricts it to some of them.
 
@@ -44,12 +55,7 @@ def strict_join(dfs: list[DataFrame], key: str, keys: DataFrame | None = None, c
     if keys is not None:
         parts = [p.join(keys.select(key).distinct(), key, "left_semi") for p in parts]
     if check:
-        sources = [p.select(key) for p in parts] + ([keys.select(key).distinct()] if keys is not None else [])
-        # One aggregation over all keys: every source must hold each key equally often.
-        tagged = reduce(lambda a, b: a.union(b), [k.withColumn("__src", F.lit(i)) for i, k in enumerate(sources)])
-        times = [F.count_if(F.col("__src") == i) for i in range(len(sources))]
-        uneven = reduce(lambda a, b: a | b, [times[0] != t for t in times[1:]]) if len(times) > 1 else F.lit(False)
-        odd = tagged.groupBy(key).agg(uneven.alias("__odd")).filter("__odd").take(1)
+        odd = uneven_keys(parts + ([keys.select(key).distinct()] if keys is not None else []), key).take(1)
         if odd:
             raise KeyMismatch(f"key {odd[0][0]!r} is not in every relation")
     return reduce(lambda a, b: a.join(b, key), parts)
@@ -144,21 +150,31 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: str, point: str,
 
 
 def contains_join(needles: DataFrame, haystack: DataFrame, needle: str, hay: str, gram: int = 8) -> DataFrame:
-    """Pairs in which ``hay`` contains ``needle``, found over shared character n-grams.
+    """Pairs in which ``hay`` contains ``needle``, found over the rarest character n-gram of each needle.
 
-    Instead of comparing all pairs, the first ``gram`` characters of each needle must stand
-    somewhere in the haystack text: an equality join on n-grams, then the exact test. Needles
-    shorter than that are looked up by their own length.
+    Instead of comparing all pairs, one n-gram of each needle must stand in the haystack text:
+    of all its n-grams the one that the fewest haystack rows hold, so a beginning that many
+    names share is no join key. Then comes the exact test. Needles shorter than ``gram`` are
+    looked up by their own length; empty and null ones match nothing.
     """
-    sizes = [r["n"] for r in needles.filter(F.col(needle) != "").select(F.least(F.length(needle), F.lit(gram)).alias("n")).distinct().collect()]  # at most ``gram`` rows
-    if not sizes:
-        return needles.crossJoin(haystack.limit(0))
-    lead = needles.filter(F.col(needle) != "").withColumn("__g", F.substring(needle, 1, gram))
-
-    def grams_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(hay) - (n - 1))
-        return F.when(F.length(hay) >= n, F.transform(starts, lambda i: F.substring(F.col(hay), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    grams = F.array_distinct(F.flatten(F.array(*[grams_of(n) for n in sizes])))
-    spread = haystack.withColumn("__g", F.explode(grams))
-    return lead.join(spread, "__g").filter(F.col(hay).contains(F.col(needle))).drop("__g")
+    taken = {needle, hay, *needles.columns, *haystack.columns}
+    g, n = (next(x for x in (f"__{c}{i}" for i in range(99)) if x not in taken) for c in "gn")
+
+    def grams(c: str, size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(c) - (size - 1))
+        return F.array_distinct(F.when(F.length(c) >= size, F.transform(starts, lambda i: F.substring(F.col(c), i, F.lit(size)))).otherwise(F.array().cast("array<string>")))
+
+    wanted = needles.filter(F.col(needle) != "")
+    sizes = [r["n"] for r in wanted.select(F.least(F.length(needle), F.lit(gram)).alias("n")).distinct().collect()]  # at most ``gram`` rows
+    out = None
+    for size in sorted(sizes):
+        some = wanted.filter(F.length(needle) >= gram if size == gram else F.length(needle) == size)
+        mine = some.select(needle).distinct().select(needle, F.explode(grams(needle, size)).alias(g))
+        spread = haystack.withColumn(g, F.explode(grams(hay, size)))
+        # How many haystack rows hold each n-gram that a needle has.
+        held = spread.select(g).join(mine.select(g).distinct(), g, "left_semi").groupBy(g).agg(F.count("*").alias(n))
+        # A needle of which an n-gram is held nowhere matches nothing; the inner join may lose it.
+        lead = mine.join(held, g).groupBy(needle).agg(F.min_by(g, F.struct(n, g)).alias(g))
+        found = some.join(lead, needle).join(spread, g).filter(F.col(hay).contains(F.col(needle))).drop(g)
+        out = found if out is None else out.unionByName(found)
+    return needles.crossJoin(haystack.limit(0)) if out is None else out

@@ -96,8 +96,14 @@ def batch_tail_spread(s, d):
     return B.spread_tail(B.fixed_batches(items(s, d), 100, [F.col("ilen"), F.col("uttid")]).drop("ordinal"), 100, [F.col("ilen"), F.col("uttid")]).select("uttid", "batch")
 
 
-@query()
+# The second input's place holds the number of the category, which begins a batch where it changes.
+_BY_CATEGORY = _folded_sql("a[1], b[1]", "NOT (n * x > 20000) AND y = l.b[f.i + 1]", "greatest(x, l.a[f.i + 1]) AS gx, y AS gy, l.a[f.i + 1] AS ox, l.b[f.i + 1] AS oy").replace(
+    _ORD, "o AS (SELECT *, dense_rank() OVER (ORDER BY split_part(uttid, '-', 1)) AS c, row_number() OVER (ORDER BY split_part(uttid, '-', 1), ilen, uttid) AS i FROM it), l AS (SELECT list(uttid ORDER BY i) AS u, list(ilen ORDER BY i) AS a, list(c ORDER BY i) AS b FROM o)"
+)
+
+
+@query(f"SELECT uttid, split_part(uttid, '-', 1) AS cat, batch FROM ({_BY_CATEGORY})")
 def batch_by_category(s, d):
-    """Batches within categories (the corpus code), rows only."""
+    """Batches within categories (the corpus code)."""
     rows = items(s, d).withColumn("cat", F.element_at(F.split("uttid", "-"), 1))
     return B.length_batches(rows, ["ilen"], 20000, [F.col("ilen"), F.col("uttid")], category="cat").select("uttid", "cat", "batch")

@@ -66,6 +66,12 @@ def strict_key_join(s, d):
     return R.strict_join([texts(s, d).drop("loaded_at"), speakers(s, d), seg], "uttid", check=False)
 
 
+@query(f"WITH {TEXTS}, {SPEAKERS}, {SEGMENTS}, k AS (SELECT uttid, 1 AS a, 0 AS b, 0 AS c FROM txt UNION ALL SELECT uttid, 0, 1, 0 FROM spk UNION ALL SELECT uttid, 0, 0, 1 FROM seg) SELECT uttid, CAST(sum(a) AS BIGINT) AS n_1, CAST(sum(b) AS BIGINT) AS n_2, CAST(sum(c) AS BIGINT) AS n_3 FROM k GROUP BY uttid HAVING sum(a) <> sum(b) OR sum(a) <> sum(c)")
+def uneven_keys(s, d):
+    """J1, S16 in strict mode: the keys at which the check of an aligned join fails."""
+    return R.uneven_keys([texts(s, d), speakers(s, d), segments(s, d)], "uttid")
+
+
 @query(f"WITH {TEXTS}, {SPEAKERS} SELECT uttid, text, spk FROM txt JOIN spk USING (uttid)")
 def keyed_subset_join(s, d):
     """J1 with a key list: the keys that both hold, checked to be complete."""

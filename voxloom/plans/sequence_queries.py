@@ -118,9 +118,19 @@ def uniform_word_times(s, d):
     return out.select("uttid", F.col("i").cast("bigint").alias("i"), "t.word", "t.start", "t.duration")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SEGMENTS},
+o AS (SELECT recid, endtime - starttime AS dur, row_number() OVER (PARTITION BY recid ORDER BY starttime, uttid) AS i FROM seg WHERE recid IS NOT NULL AND endtime > starttime),
+l AS (SELECT recid, list(dur ORDER BY i) AS v FROM o GROUP BY recid),
+f(recid, i, g, total) AS (
+  SELECT recid, 1::BIGINT, 0::BIGINT, v[1] FROM l
+  UNION ALL
+  SELECT recid, f.i + 1, g + (total + l.v[f.i + 1] > 60)::INT, CASE WHEN total + l.v[f.i + 1] > 60 THEN l.v[f.i + 1] ELSE total + l.v[f.i + 1] END FROM f JOIN l USING (recid) WHERE f.i < len(l.v)),
+r AS (SELECT recid, g, count(*) AS n, round(sum(l.v[f.i]), 3) AS total FROM f JOIN l USING (recid) GROUP BY recid, g)
+SELECT CAST(row_number() OVER (ORDER BY recid, g) - 1 AS BIGINT) AS segment, recid, n, total FROM r"""
+)
 def greedy_segments(s, d):
-    """Consecutive utterances of a recording up to 60 seconds (rows only: the total restarts at each cut)."""
+    """Consecutive utterances of a recording up to 60 seconds; the total restarts at each cut."""
     seg = segments(s, d).filter("recid is not null and endtime > starttime").select("recid", "uttid", "starttime", (F.col("endtime") - F.col("starttime")).alias("dur"))
     return greedy_groups(seg, "recid", ["starttime", "uttid"], "dur", 60.0).groupBy("recid", "batch").agg(F.count("*").alias("n"), F.round(F.sum("dur"), 3).alias("total")).select("recid", F.col("batch").alias("segment"), "n", "total")
 

@@ -67,9 +67,15 @@ def overlap_buffer(s, d):
     return out.select("user_id", "frame", F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
-@query()
+@query(
+    f"""WITH {_LISTS}, p AS (SELECT user_id, len(v) AS n, unnest(range(0, len(v))) AS i, unnest(v) AS x FROM v),
+a AS (SELECT *, lag(i) OVER w AS before FROM p WHERE x > 50 WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+g AS (SELECT *, sum((before IS NULL OR i - before > 3)::INT) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM a),
+s AS (SELECT user_id, g, min(i) AS lo, least(max(i) + 1, max(n) - 1) AS last FROM g GROUP BY user_id, g)
+SELECT user_id, greatest(lo - 2, coalesce(lag(last) OVER (PARTITION BY user_id ORDER BY g) + 1, 0)) AS first, last FROM s"""
+)
 def activity_segments(s, d):
-    """Stretches of activity with margins (rows only: the margins depend on the stretch before)."""
+    """Stretches of activity with margins."""
     return run_available(X.segmented(ended_events(s, d), "user_id", "event_id", "value", "is_final", 50.0, 3, 2, 1))
 
 
@@ -87,3 +93,12 @@ def block_steps(s, d):
     """Blocks of 16 with a hop of 8 and 4 values of look-ahead."""
     out = run_available(X.blocks(ended_events(s, d), "user_id", "event_id", "value", "is_final", 16, 8, 4))
     return out.select("user_id", "block", "first", "end", F.round("total", 6).alias("total"))
+
+
+@query()
+def streamed_search(s, d):
+    """Block-synchronous beam search over three scores a position, an end not trusted before the last block (tested against brute force)."""
+    v = F.coalesce(F.col("value"), F.lit(0.0))
+    scores = F.array((v % 7) - 6, (v % 11) - 5, (v % 13) - 6)
+    e = ended_events(s, d).withColumn("scores", scores)
+    return run_available(X.block_search(e, "user_id", "event_id", "scores", "is_final", 16, 8, 4, beam=4))
