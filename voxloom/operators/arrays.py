@@ -104,7 +104,9 @@ def si_snr(ref: Column, est: Column) -> Column:
     def ratio(d: Column) -> Column:
         alpha = d["re"] / (d["rr"] + 1e-20)
         target = alpha * alpha * d["rr"]
-        return 10 * F.log10((target + 1e-20) / (d["ee"] - 2 * alpha * d["re"] + target + 1e-20))
+        # Rounding may bring the noise of an exact multiple below zero.
+        noise = F.greatest(d["ee"] - 2 * alpha * d["re"] + target, F.lit(0.0))
+        return 10 * F.log10((target + 1e-20) / (noise + 1e-20))
 
     return let(let(F.struct(centred(ref).alias("r"), centred(est).alias("e")), sums), ratio)
 

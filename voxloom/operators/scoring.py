@@ -229,6 +229,24 @@ def bleu(df: DataFrame, ref: str, hyp: str, most: int = 4) -> DataFrame:
     return s.select(F.when(ok, bp * mean).otherwise(0.0).alias("bleu"), bp.alias("bp"), *[x.alias(f"p{n}") for n, x in enumerate(p, 1)])
 
 
+def chrf(df: DataFrame, ref: str, hyp: str, most: int = 6, beta: float = 2.0) -> DataFrame:
+    """One row (chrf): the character n-gram F score over all pairs, blanks left out.
+
+    Counts of each length are summed over the pairs; precision and recall are averages over the
+    lengths of which there are any, recall weighing ``beta`` times. Null texts count as empty.
+    """
+    chars = lambda c: F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s", ""), F.lit("(?s)."), F.lit(0))
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), chars(ref).alias("r"), chars(hyp).alias("h"))
+    rows = rows.select("__row", F.explode(F.array(*[F.lit(n) for n in range(1, most + 1)])).alias("n"), "r", "h")
+    grams = lambda c: F.when(F.size(c) >= F.col("n"), F.transform(F.sequence(F.lit(1), F.size(c) - F.col("n") + 1), lambda i: F.array_join(F.slice(F.col(c), i, F.col("n")), ""))).otherwise(F.array().cast("array<string>"))
+    both = rows.select("__row", "n", F.explode(F.concat(F.transform(grams("r"), lambda g: F.struct(g.alias("g"), F.lit(0).alias("side"))), F.transform(grams("h"), lambda g: F.struct(g.alias("g"), F.lit(1).alias("side"))))).alias("x"))
+    counts = both.groupBy("__row", "n", "x.g").agg(F.count_if(F.col("x.side") == 0).alias("a"), F.count_if(F.col("x.side") == 1).alias("b"))
+    sums = counts.groupBy("n").agg(F.sum(F.least("a", "b")).alias("m"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    means = sums.agg(F.avg(F.col("m") / F.nullif(F.col("b"), F.lit(0))).alias("p"), F.avg(F.col("m") / F.nullif(F.col("a"), F.lit(0))).alias("r"))
+    p, r = F.coalesce("p", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
+    return means.select(F.coalesce(100 * (1 + beta**2) * p * r / F.nullif(beta**2 * p + r, F.lit(0.0)), F.lit(0.0)).alias("chrf"))
+
+
 def rouge(df: DataFrame, key: str, ref: str, hyp: str, n: int = 1) -> DataFrame:
     """(key, precision, recall, f1) of n-grams, clipped, over stored word arrays."""
     kind = df.schema[key].dataType.simpleString()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = [f"voxloom.plans.{m}_queries" for m in ("interval", "relation", "text", "stat", "sequence", "batch", "scoring", "stream", "source")]
+MODULES = [f"voxloom.plans.{m}_queries" for m in ("interval", "relation", "text", "stat", "sequence", "batch", "scoring", "stream", "source", "chain")]
 
 
 def collect() -> tuple[dict, dict]:
