@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxloom.plans.relation_queries import SEGMENTS, SPEAKERS, TEXTS, TRAIN_SHAPES, segments, shape_sql, shapes, speakers, texts
+from voxloom.plans.sequence_queries import _X, signals
 from voxloom.plans.text_queries import UPPER
-from voxloom.session import read_table
+from voxloom.session import checkpoint_dir, read_table
 from voxloom.sources import binary, formats, scores, sinks
 
 QUERIES, ORACLE = {}, {}
@@ -111,3 +114,101 @@ def shape_lines(s, d):
     """K4: lines of a shape file."""
     rows = shapes(s, d, TRAIN_SHAPES).filter("size(shape) > 0").select("uttid", F.array_join("shape", ",").alias("v"))
     return rows.select("uttid", formats.two_column_line("uttid", "v").alias("line"))
+
+
+# Files written to the shared folder and read back
+
+
+def fresh_folder(s, name: str) -> str:
+    return f"{checkpoint_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_key(c: str):
+    """The name of a file without its folder and ending, as a number."""
+    return F.regexp_extract(c, r"([0-9]+)\.[a-z]+$", 1).cast("bigint")
+
+
+@query(f"WITH {_X} SELECT vec_id, 16000 AS rate, list_transform(x, lambda v: round(v * 1000) / 32768) AS samples FROM x")
+def wav_round_trip(s, d):
+    """PCM files written and read, normalised by their width."""
+    folder = fresh_folder(s, "wav")
+    rows = signals(s, d).select(F.concat("vec_id", F.lit(".wav")).alias("name"), F.transform("x", lambda v: F.round(v * 1000).cast("int")).alias("v"))
+    sinks.write_files(rows, folder, "name", "v", lambda v: binary.encode_wav(v, 16000))
+    return binary.read_wav(s, folder).select(file_key("path").alias("vec_id"), "rate", F.get("samples", 0).alias("samples"))
+
+
+@query(f"WITH {_X} SELECT vec_id, 64 AS length, list_transform(x, lambda v: round(v, 9)) AS values FROM x")
+def npy_round_trip(s, d):
+    """Array files written and read."""
+    folder = fresh_folder(s, "npy")
+    sinks.write_files(signals(s, d).select(F.concat("vec_id", F.lit(".npy")).alias("name"), "x"), folder, "name", "x", binary.encode_npy)
+    return binary.read_npy(s, folder).select(file_key("path").alias("vec_id"), F.get("shape", 0).alias("length"), F.transform("values", lambda v: F.round(v, 9)).alias("values"))
+
+
+@query(f"WITH {_X} SELECT vec_id::VARCHAR AS uttid, 64 AS length, round(list_sum(x), 6) AS total FROM x")
+def ark_round_trip(s, d):
+    """Archives written by partition and read."""
+    folder = fresh_folder(s, "ark")
+    sinks.write_ark(signals(s, d), folder, "vec_id", "x")
+    return binary.read_ark(s, folder).select("uttid", F.get("shape", 0).alias("length"), F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@query(f"WITH {_X}, n AS (SELECT count(*) AS n FROM x) SELECT kind, n FROM n, (VALUES ('ark'), ('npy'), ('sound')) k(kind)")
+def typed_readers(s, d):
+    """Readers by the name of a type, shapes alone where values are not asked for."""
+    x, out = signals(s, d), None
+    for kind, ending, encode in (("sound", "wav", lambda v: binary.encode_wav(v * 100, 8000)), ("npy", "npy", binary.encode_npy)):
+        folder = fresh_folder(s, kind)
+        sinks.write_files(x.select(F.concat("vec_id", F.lit(f".{ending}")).alias("name"), "x"), folder, "name", "x", encode)
+        one = binary.read_typed(s, folder, kind).select(F.lit(kind).alias("kind"))
+        out = one if out is None else out.union(one)
+    folder = fresh_folder(s, "ark")
+    sinks.write_ark(x, folder, "vec_id", "x")
+    out = out.union(binary.read_typed(s, folder, "ark", shape_only=True).filter("shape[0] = 64").select(F.lit("ark").alias("kind")))
+    return out.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT recid AS lyric, 60 + len(recid) % 12 AS midi, 90 + len(recid) % 7 AS tempo FROM wav_scp")
+def musicxml_round_trip(s, d):
+    """Scores written as MusicXML and read again."""
+    folder = fresh_folder(s, "xml")
+    n = F.length("recid")
+    notes = F.array(F.struct(F.lit(0.0).alias("st"), F.lit(1.0).alias("et"), F.col("recid").alias("lyric"), (60 + n % 12).alias("midi")), F.struct(F.lit(1.0).alias("st"), F.lit(2.0).alias("et"), F.lit("").alias("lyric"), F.lit(0).alias("midi")))
+    read_table(s, d, "wav_scp").select(scores.score_xml(90 + n % 7, notes).alias("value"), F.md5("recid").alias("part")).write.partitionBy("part").text(folder)
+    back = scores.read_musicxml(s, f"{folder}/part=*")
+    return back.select(F.get("notes", 0)["lyric"].alias("lyric"), F.get("notes", 0)["midi"].cast("bigint").alias("midi"), F.col("tempo").cast("bigint").alias("tempo"))
+
+
+@query("SELECT uttid, lang FROM utt_text WHERE dset = 'test'")
+def delimited_projection(s, d):
+    """A delimited file read by a declared schema, projected and filtered; texts hold separators and line breaks."""
+    folder = fresh_folder(s, "tsv")
+    read_table(s, d, "utt_text").select("uttid", "dset", "lang", "text").write.csv(folder, sep="\t", header=True, quote='"', escape='"')
+    return formats.read_delimited(s, folder, "uttid string, dset string, lang string, text string", ["uttid", "lang"], "dset = 'test'")
+
+
+@query(f"WITH {SPEAKERS}, {SEGMENTS} SELECT uttid, spk, recid FROM spk JOIN seg USING (uttid) WHERE recid IS NOT NULL")
+def datadir_round_trip(s, d):
+    """K1, K2: a data directory of relations with the same keys, checked, written and read."""
+    both = speakers(s, d).join(segments(s, d).filter("recid is not null"), "uttid").select("uttid", "spk", "recid")
+    folder = fresh_folder(s, "datadir")
+    sinks.write_datadir({n: both.select("uttid", F.col(c).alias("value")) for n, c in (("utt2spk", "spk"), ("utt2rec", "recid"))}, folder)
+    spk, rec = (formats.read_two_column(s, f"{folder}/{n}").select("uttid", F.col("value").alias(c)) for n, c in (("utt2spk", "spk"), ("utt2rec", "recid")))
+    return spk.join(rec, "uttid")
+
+
+@query(f"WITH {_X} SELECT vec_id, 64 AS n, round(list_sum(x) * 2, 6) AS total FROM x")
+def copied_feats(s, d):
+    """K5: arrays transformed and written with their lengths, which are read without the arrays."""
+    folder = fresh_folder(s, "feats")
+    sinks.copy_feats(signals(s, d), folder, "x", [lambda df: df.withColumn("x", F.transform("x", lambda v: v * 2))])
+    back = s.read.parquet(folder)
+    return back.select("vec_id", F.col("x_length").cast("bigint").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@query("WITH c AS (SELECT lang, count(*) AS n FROM utt_text WHERE lang IS NOT NULL GROUP BY lang), r AS (SELECT row_number() OVER (ORDER BY lang) + 2 AS line, '|' || lang || '|' || n || '|' AS text FROM c) SELECT line, text FROM r UNION ALL SELECT * FROM (VALUES (1, '|lang|n|'), (2, '|---|---|'))")
+def markdown_report(s, d):
+    """K8: a table of results as Markdown, one row a line."""
+    counts = read_table(s, d, "utt_text").filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang")
+    lines = sinks.markdown_table(counts).splitlines()
+    return s.createDataFrame(list(enumerate(lines, 1)), "line bigint, text string")

@@ -69,6 +69,35 @@ def decode_ark(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
         at += n * x.itemsize
 
 
+def encode_wav(samples: np.ndarray, rate: int) -> bytes:
+    """16-bit PCM of whole numbers, samples (mono) or channels x samples; what does not fit is clipped."""
+    x = np.atleast_2d(np.asarray(samples)).T
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(x.shape[1])
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.clip(x, -32768, 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def encode_npy(values: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, values, allow_pickle=False)
+    return out.getvalue()
+
+
+def encode_ark(key: str, values: np.ndarray) -> bytes:
+    """An archive entry: a double vector or matrix, or a vector of 32-bit whole numbers."""
+    head = key.encode() + b" \0B"
+    if values.dtype.kind in "iu":
+        rows = np.zeros(len(values), dtype=[("s", "i1"), ("v", "<i4")])
+        rows["s"], rows["v"] = 4, values
+        return head + b"\4" + struct.pack("<i", len(values)) + rows.tobytes()
+    sizes = b"".join(b"\4" + struct.pack("<i", n) for n in values.shape)
+    return head + (b"DV " if values.ndim == 1 else b"DM ") + sizes + np.ascontiguousarray(values, dtype="<f8").tobytes()
+
+
 def read_wav(spark: SparkSession, path: str, normalise: bool = True) -> DataFrame:
     """(path, rate, samples): one row a file, samples by channel."""
 

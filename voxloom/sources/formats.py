@@ -147,3 +147,15 @@ def stm_line(rec: str, spk: str, start: str, end: str, text: str) -> Column:
 
 def ctm_line(rec: str, start: Column, duration: Column, word: Column) -> Column:
     return F.concat_ws(" ", rec, F.lit("1"), seconds_text(start), seconds_text(duration), word)
+
+
+def read_delimited(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, where: Column | str | None = None, separator: str = "\t", header: bool = True) -> DataFrame:
+    """A table of delimited lines with a declared schema: the named columns of the rows that ``where`` keeps.
+
+    Quoted fields may hold the separator, quotes (doubled) and line breaks. Only the columns
+    that are asked for are converted; a line that does not fit the schema fails the query.
+    """
+    rows = spark.read.csv(path, schema=schema, sep=separator, header=header, quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=True)
+    if where is not None:
+        rows = rows.filter(where)
+    return rows.select(*columns) if columns else rows

@@ -59,6 +59,49 @@ def parse_musicxml(text: str) -> tuple[int, list[tuple[float, float, str, int]]]
     return tempo, [tuple(n) for n in notes]
 
 
+#: Names of the twelve semitones as step and alteration.
+_STEPS = [("C", 0), ("C", 1), ("D", 0), ("D", 1), ("E", 0), ("F", 0), ("F", 1), ("G", 0), ("G", 1), ("A", 0), ("A", 1), ("B", 0)]
+
+
+def musicxml(tempo: int, notes: list[tuple[float, float, str, int]]) -> str:
+    """A score of one part: notes (start, end, lyric, midi) in seconds, their lengths to an eighth of a beat and a sixteenth at least.
+
+    A midi of 0 is a rest. Divisions are 16 a beat, so that every length is a whole number.
+    """
+    root = ElementTree.Element("score-partwise", version="3.1")
+    names = ElementTree.SubElement(ElementTree.SubElement(root, "part-list"), "score-part", id="P1")
+    ElementTree.SubElement(names, "part-name").text = "voice"
+    measure = ElementTree.SubElement(ElementTree.SubElement(root, "part", id="P1"), "measure", number="1")
+    ElementTree.SubElement(ElementTree.SubElement(measure, "attributes"), "divisions").text = "16"
+    ElementTree.SubElement(ElementTree.SubElement(measure, "direction"), "sound", tempo=str(tempo))
+    for st, et, lyric, midi in notes:
+        note = ElementTree.SubElement(measure, "note")
+        if midi:
+            pitch = ElementTree.SubElement(note, "pitch")
+            step, alter = _STEPS[midi % 12]
+            ElementTree.SubElement(pitch, "step").text = step
+            if alter:
+                ElementTree.SubElement(pitch, "alter").text = str(alter)
+            ElementTree.SubElement(pitch, "octave").text = str(midi // 12 - 1)
+        else:
+            ElementTree.SubElement(note, "rest")
+        beats = max(int(8 * (et - st) * tempo / 60 + 0.5) / 8, 1 / 16)
+        ElementTree.SubElement(note, "duration").text = str(int(beats * 16))
+        if midi and lyric:
+            ElementTree.SubElement(ElementTree.SubElement(note, "lyric"), "text").text = lyric
+    return ElementTree.tostring(root, encoding="unicode")
+
+
+def score_xml(tempo: Column, notes: Column) -> Column:
+    """A MusicXML text of arrays of (st, et, lyric, midi)."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else musicxml(int(a), [(x["st"], x["et"], x["lyric"], int(x["midi"])) for x in b]) for a, b in zip(t, n)])
+
+    return run(tempo, notes)
+
+
 def read_musicxml(spark: SparkSession, path: str) -> DataFrame:
     """(path, tempo, notes) of MusicXML files."""
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.sources.binary import encode_ark
 from voxloom.sources.formats import two_column_line
 
 
@@ -54,3 +61,59 @@ def markdown_table(df: DataFrame, most_rows: int = 1000) -> str:
         raise ValueError(f"more than {most_rows} rows; write them instead")
     lines = ["|" + "|".join(df.columns) + "|", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("|" + "|".join("" if v is None else str(v) for v in r) + "|" for r in rows)]) + "\n"
+
+
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, given as a path or address, and its path there."""
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return (fs.LocalFileSystem(), folder) if "://" not in folder else fs.FileSystem.from_uri(folder)
+
+
+def _put(files: fs.FileSystem, path: str, data: bytes) -> None:
+    """Written beside its place and moved there, so that a task run twice leaves whole files."""
+    part = f"{path}.part{TaskContext.get().taskAttemptId()}"
+    with files.open_output_stream(part) as out:
+        out.write(data)
+    files.move(part, path)
+
+
+def write_files(df: DataFrame, folder: str, name: str, values: str, encode: Callable[[np.ndarray], bytes]) -> int:
+    """One file a row, by executors, named by the column ``name``; the number of files written.
+
+    The folder must be one that all executors share. Null names and values are left out; of
+    equal names one file stays.
+    """
+    files, root = file_system(folder)
+    files.create_dir(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        put, root = file_system(folder)
+        for b in batches:
+            for n, v in zip(b["name"], b["values"]):
+                _put(put, f"{root}/{n}", encode(np.array(list(v))))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(values).alias("values")).filter("name is not null and values is not null")
+    return rows.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_ark(df: DataFrame, folder: str, key: str, values: str) -> int:
+    """One archive of vectors a partition, ``part-<number>.ark``; the number of entries written."""
+    files, root = file_system(folder)
+    files.create_dir(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        put, root = file_system(folder)
+        path, n = f"{root}/part-{TaskContext.get().partitionId():05}.ark", 0
+        part = f"{path}.part{TaskContext.get().taskAttemptId()}"
+        with put.open_output_stream(part) as out:
+            for b in batches:
+                for k, v in zip(b["key"], b["values"]):
+                    out.write(encode_ark(k, np.array(list(v))))
+                n += len(b)
+        put.move(part, path)
+        yield pd.DataFrame({"n": [n]})
+
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(values).alias("values")).filter("key is not null and values is not null")
+    return rows.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
