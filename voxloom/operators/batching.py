@@ -35,6 +35,11 @@ def fold_batches(df: DataFrame, fold: Fold, values: list[str], order: list, cate
     """Adds ``batch``, counted from 0 over all rows in order (categories in order of their name).
 
     A batch never spans categories; a null category is one of its own. ``order`` should be total.
+
+    A partition's exit state no longer depends on its entry once the folds from both agree,
+    nearly always within the first few batches, so two passes are the rule. In the worst case,
+    where no batch closes within a partition (a limit beyond a partition's content), the true
+    state moves on by one partition a pass: at most partitions + 1 passes.
     """
     cat = F.col(category).cast("string") if category else F.lit("").cast("string")
     ordered = df.withColumn("__cat", cat).repartitionByRange(F.col("__cat").asc_nulls_first(), *order).sortWithinPartitions(F.col("__cat").asc_nulls_first(), *order)

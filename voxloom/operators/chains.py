@@ -161,8 +161,8 @@ def collated(df: DataFrame, batch: str, key: str, columns: dict[str, float]) ->
         raise ValueError(f"columns {taken} are reserved")
     # Null keys come first; equal keys are ordered by their arrays.
     filled = [F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c) for c in columns]
-    rows = df.select(batch, F.struct(key, *filled).alias("s")).groupBy(batch).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    out = rows.select(batch, F.col(f"s.{key}").alias("keys"), *[F.col(f"s.{c}").alias(c) for c in columns])
+    rows = df.select(batch, F.struct(key, *filled).alias("__s")).groupBy(batch).agg(F.sort_array(F.collect_list("__s")).alias("__s"))
+    out = rows.select(batch, F.col(f"__s.{key}").alias("keys"), *[F.col(f"__s.{c}").alias(c) for c in columns])
     def filled(c: str, value: float) -> Column:
         kind = df.schema[c].dataType.elementType
         pad = lambda x: F.concat(x, F.array_repeat(F.lit(value).cast(kind), F.array_max(F.col(f"{c}_lengths")) - F.size(x)))

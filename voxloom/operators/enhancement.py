@@ -80,17 +80,17 @@ def separation_scores(df: DataFrame, key: str, refs: str, ests: str, flexible: b
     fewer is filled with signals of 1e-6.
     """
     n_r, n_e = F.size(refs), F.size(ests)
-    rows = df.select(key, F.col(refs).alias("r"), F.col(ests).alias("e"))
+    r, e = F.col(refs), F.col(ests)
     if flexible:
-        quiet = F.array_repeat(F.lit(1e-6), F.array_max(F.transform(F.concat(refs, ests), lambda x: F.size(x))))
+        quiet = F.array_repeat(F.lit(1e-6), F.array_max(F.transform(F.concat(r, e), lambda x: F.size(x))))
         more = lambda c, n: F.concat(c, F.array_repeat(quiet, F.greatest(n, F.lit(0))))
-        rows = df.select(key, more(F.col(refs), n_e - n_r).alias("r"), more(F.col(ests), n_r - n_e).alias("e"))
-    else:
-        rows = rows.filter(F.assert_true(F.size("r") == F.size("e"), F.lit("numbers of references and estimates differ")).isNull())
-    pairs = rows.select(key, "e", F.posexplode("r").alias("ref", "x")).select(key, "ref", "x", F.posexplode("e").alias("hyp", "y"))
-    scored = pairs.select(key, (F.col("ref") + 1).cast("bigint").alias("ref"), (F.col("hyp") + 1).cast("bigint").alias("hyp"), si_snr(F.col("x"), F.col("y")).alias("si_snr"), snr(F.col("x"), F.col("y")).alias("snr"))
-    chosen = assignment(scored.withColumn("cost", -F.col("si_snr")), key, "cost")
-    return scored.join(chosen, [key, "ref", "hyp"])
+        r, e = more(r, n_e - n_r), more(e, n_r - n_e)
+    rows = df.select(F.col(key).alias("__key"), r.alias("__r"), e.alias("__e"))
+    rows = rows.filter(F.assert_true(F.size("__r") == F.size("__e"), F.lit("numbers of references and estimates differ")).isNull())
+    pairs = rows.select("__key", "__e", F.posexplode("__r").alias("ref", "__x")).select("__key", "ref", "__x", F.posexplode("__e").alias("hyp", "__y"))
+    scored = pairs.select("__key", (F.col("ref") + 1).cast("bigint").alias("ref"), (F.col("hyp") + 1).cast("bigint").alias("hyp"), si_snr(F.col("__x"), F.col("__y")).alias("si_snr"), snr(F.col("__x"), F.col("__y")).alias("snr"))
+    chosen = assignment(scored.withColumn("cost", -F.col("si_snr")), "__key", "cost")
+    return scored.join(chosen, ["__key", "ref", "hyp"]).withColumnRenamed("__key", key)
 
 
 def stitched_streams(df: DataFrame, sample: str, number: str, streams: str, n: int, hop: int, overlap: int, length: str) -> DataFrame:
@@ -102,22 +102,22 @@ def stitched_streams(df: DataFrame, sample: str, number: str, streams: str, n: i
     the last segment's padding gives, are dropped; a sample that does not reach its length fails.
     """
     perms = list(permutations(range(n)))
-    w = Window.partitionBy(sample).orderBy(number)
-    rows = df.select(sample, number, F.col(streams).alias("cur"), F.col(length).alias("__length")).withColumn("prev", F.lag("cur").over(w))
+    w = Window.partitionBy("__s").orderBy("__k")
+    rows = df.select(F.col(sample).alias("__s"), F.col(number).alias("__k"), F.col(streams).alias("cur"), F.col(length).alias("__length")).withColumn("prev", F.lag("cur").over(w))
     likeness = lambda j, i: dot(F.slice(F.get("prev", j), hop + 1, overlap), F.slice(F.get("cur", i), 1, overlap))
     table = rows.withColumn("like", F.array(*[likeness(j, i) for j in range(n) for i in range(n)]))
     # Greatest first, then the earlier permutation; a first segment has nothing to be like.
     options = F.array(*[F.struct((-sum((F.get("like", j * n + i) for j, i in enumerate(p)), F.lit(0.0))).alias("cost"), F.lit(q).alias("q"), F.array(*[F.lit(i) for i in p]).alias("p")) for q, p in enumerate(perms)])
     local = table.withColumn("own", F.when(F.col("prev").isNull(), F.array(*[F.lit(i) for i in range(n)])).otherwise(F.array_min(options)["p"]))
     # Which raw stream of each segment continues each stream of the first: permutations one after another.
-    chain = local.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(number, "own"))).alias("s"))
+    chain = local.groupBy("__s").agg(F.array_sort(F.collect_list(F.struct("__k", "own"))).alias("steps"))
     start = F.array(F.array(*[F.lit(i) for i in range(n)]))
-    follow = F.aggregate("s", start, lambda acc, x: F.concat(acc, F.array(F.transform(F.element_at(acc, -1), lambda j: F.get(x["own"], j)))))
-    order = chain.select(sample, F.posexplode(F.arrays_zip(F.col(f"s.{number}").alias("k"), F.slice(follow, 2, F.size("s")).alias("order"))).alias("place", "z")).select(sample, F.col("z.k").alias(number), F.col("z.order").alias("order"))
-    laid = local.select(sample, number, "cur", "__length").join(order, [sample, number])
-    each = laid.select(sample, number, "cur", "__length", F.posexplode("order").alias("stream", "raw")).select(sample, number, "stream", "__length", F.posexplode(F.expr("get(cur, raw)")).alias("offset", "value"))
-    values = each.select(sample, "stream", "__length", (F.col(number) * hop + F.col("offset")).alias("at"), "value").filter(F.col("at") < F.col("__length"))
-    joined = values.groupBy(sample, "stream", "at").agg(F.avg("value").alias("value"), F.max("__length").alias("__length"))
-    reached = joined.groupBy(sample).agg(F.max("at").alias("last"), F.max("__length").alias("__length"))
-    whole = reached.filter(F.assert_true(F.col("last") + 1 == F.col("__length"), F.lit("segments do not reach the length")).isNull()).select(sample)
-    return joined.drop("__length").join(whole, sample)
+    follow = F.aggregate("steps", start, lambda acc, x: F.concat(acc, F.array(F.transform(F.element_at(acc, -1), lambda j: F.get(x["own"], j)))))
+    order = chain.select("__s", F.explode(F.arrays_zip(F.col("steps.__k").alias("k"), F.slice(follow, 2, F.size("steps")).alias("order"))).alias("z")).select("__s", F.col("z.k").alias("__k"), F.col("z.order").alias("order"))
+    laid = local.select("__s", "__k", "cur", "__length").join(order, ["__s", "__k"])
+    each = laid.select("__s", "__k", "cur", "__length", F.posexplode("order").alias("stream", "raw")).select("__s", "__k", "stream", "__length", F.posexplode(F.expr("get(cur, raw)")).alias("offset", "value"))
+    values = each.select("__s", "stream", "__length", (F.col("__k") * hop + F.col("offset")).alias("at"), "value").filter(F.col("at") < F.col("__length"))
+    joined = values.groupBy("__s", "stream", "at").agg(F.avg("value").alias("value"), F.max("__length").alias("__length"))
+    reached = joined.groupBy("__s").agg(F.max("at").alias("last"), F.max("__length").alias("__length"))
+    whole = reached.filter(F.assert_true(F.col("last") + 1 == F.col("__length"), F.lit("segments do not reach the length")).isNull()).select("__s")
+    return joined.drop("__length").join(whole, "__s").withColumnRenamed("__s", sample)
