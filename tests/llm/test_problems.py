@@ -309,7 +309,9 @@ def test_plan_packs_every_item_within_capacity():
     assert len(load) <= 1.01 * -(-sum(load.values()) // 100) + 1
 
 
-def test_pack_rows(spark):
+@pytest.mark.parametrize("chunk", [7, 100_000])
+def test_pack_rows(spark, monkeypatch, chunk):
+    monkeypatch.setattr("voxloom.llm.packing.CHUNK", chunk)
     rows = [(1, 10, f"i{i:03}", 3) for i in range(200)] + [(1, 10, "big", 25), (1, 10, "dup", 4), (1, 10, "dup", 4), (2, 7, "x", 7), (1, 10, "none", None), (1, 10, "zero", 0), (3, None, "y", 1)]
     df = spark.createDataFrame([(*r, 9) for r in rows], "bin_set bigint, capacity bigint, item string, load bigint, container int").repartition(4)
     out = pack(df).collect()

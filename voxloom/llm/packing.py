@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from voxloom.session import cut
 
+#: Ranks of one length that meet the plan under one join key.
+CHUNK = 100_000
+
 
 def best_fit_plan(capacity: int, histogram: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, last rank, first container, items per container) for (length, count) rows.
@@ -143,8 +146,8 @@ def pack(items: DataFrame) -> DataFrame:
             yield b[["bin_set", "item", "part", "n_parts", "part_load", "rank"]]
 
     ranked = ordered.mapInPandas(rank, "bin_set bigint, item string, part bigint, n_parts bigint, part_load bigint, rank bigint")
-    p = planned.alias("p")
-    here = (ranked["bin_set"] == F.col("p.bin_set")) & (ranked["part_load"] == F.col("p.part_load")) & ranked["rank"].between(F.col("p.from_rank"), F.col("p.to_rank"))
-    placed = ranked.join(p, here)
-    container = F.col("p.first") + F.floor((ranked["rank"] - F.col("p.from_rank")) / F.col("p.per"))
-    return placed.select(ranked["bin_set"], "item", "part", "n_parts", ranked["part_load"], container.cast("bigint").alias("container"))
+    # A length with many items meets its plan in chunks of ranks, so that none is one task.
+    spread = planned.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("from_rank") / CHUNK), F.floor(F.col("to_rank") / CHUNK))))
+    placed = ranked.withColumn("chunk", F.floor(F.col("rank") / CHUNK)).join(spread, ["bin_set", "part_load", "chunk"]).filter(F.col("rank").between(F.col("from_rank"), F.col("to_rank")))
+    container = F.col("first") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("per"))
+    return placed.select("bin_set", "item", "part", "n_parts", "part_load", container.cast("bigint").alias("container"))
