@@ -6,9 +6,12 @@ Null texts give null results unless a function says otherwise.
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that part words: those of Python's and Java's plain white space.
 BREAKS = "[ \\t\\n\\r]+"
@@ -69,7 +72,88 @@ def korean_clean(c: Column) -> Column:
     return F.array_join(F.transform(chars, lambda x: F.coalesce(F.try_element_at(spelled, x), x)), "")
 
 
+# Abbreviations and signs spelled out in English texts.
+ABBREVIATIONS = {
+    "mrs": "misess", "mr": "mister", "dr": "doctor", "st": "saint", "co": "company", "jr": "junior", "maj": "major", "gen": "general", "drs": "doctors", "rev": "reverend",
+    "lt": "lieutenant", "hon": "honorable", "sgt": "sergeant", "capt": "captain", "esq": "esquire", "ltd": "limited", "col": "colonel", "ft": "fort",
+}
+SIGNS = {";": ",", ":": ",", "-": " ", "&": "and"}
+
+
+def english_clean(c: Column) -> Column:
+    """English texts for speech: no accents, abbreviations, signs and numbers spelled out, no brackets and quotes, upper case.
+
+    Whole numbers below 10**12, decimals and ordinals are read as words in Arrow batches; all
+    else are expressions.
+    """
+    c = F.lower(F.regexp_replace(_decomposed(c), r"\p{M}", ""))
+    c = _numbers_read(c)
+    for short, long in ABBREVIATIONS.items():
+        c = F.regexp_replace(c, rf"\b{short}\.", long)
+    for sign, name in SIGNS.items():
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    c = F.regexp_replace(c, r"[()\[\]<>\"]+", "")
+    return F.trim(F.upper(F.regexp_replace(c, r"\s+", " ")))
+
+
+@F.pandas_udf(StringType())
+def _decomposed(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
+
+
+@F.pandas_udf(StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(StringType())
+def _numbers_read(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None else read_numbers(t))
+
+
+_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+_NUMBER = re.compile(r"(?<![\w.])(\d{1,3}(?:,\d{3})+|\d+)(\.\d+)?(st|nd|rd|th)?(?!\w)")
+
+
+def number_words(n: int) -> str:
+    """A whole number below 10**12 in English words."""
+    for size, name in ((10**9, "billion"), (10**6, "million"), (1000, "thousand"), (100, "hundred")):
+        if n >= size:
+            rest = n % size
+            return f"{number_words(n // size)} {name}" + (f" {number_words(rest)}" if rest else "")
+    if n < 20:
+        return _ONES[n]
+    return _TENS[n // 10 - 2] + (f" {_ONES[n % 10]}" if n % 10 else "")
+
+
+def read_numbers(text: str) -> str:
+    """Numbers of a text in words; those of more than twelve digits are read digit by digit."""
+
+    def read(m: re.Match) -> str:
+        digits = m[1].replace(",", "")
+        words = number_words(int(digits)) if len(digits) <= 12 else " ".join(_ONES[int(d)] for d in digits)
+        if m[2]:
+            words += " point " + " ".join(_ONES[int(d)] for d in m[2][1:])
+        if m[3]:
+            head, _, last = words.rpartition(" ")
+            last = _ORDINALS.get(last) or (last[:-1] + "ieth" if last.endswith("y") else last + "th")
+            words = f"{head} {last}".strip()
+        return words
+
+    return _NUMBER.sub(read, text)
+
+
+def japanese_clean(c: Column) -> Column:
+    """Dashes, waves and quotes of Japanese texts made one each, then compatibility forms composed."""
+    c = F.translate(c, "〜～﹣－—―━─’”‐˗֊‑‒–⁃⁻₋−", "ーーーーーーーー'\"----------")
+    return _composed(F.replace(c, F.lit("“"), F.lit("``")))
+
+
 CLEANERS = {
+    "tacotron": english_clean,
+    "jaconv": japanese_clean,
     "upper": F.upper,
     "lower": F.lower,
     "whitespace": lambda c: F.trim(F.regexp_replace(c, "[ \\t\\n\\r]+", " ")),

@@ -203,8 +203,28 @@ def convolved(df: DataFrame, key: str, x: str, impulse: list[float]) -> DataFram
     return _arrays(df, key, x, run)
 
 
+def cubic_resized(v: np.ndarray, length: int) -> np.ndarray:
+    """Rows of an array resized to ``length`` by the cubic convolution kernel (a = -0.5).
+
+    Where the array shrinks the kernel is widened, so that every row counts; weights beyond
+    the ends are left out and the rest made to sum to one.
+    """
+    n = len(v)
+    if length == n or not n:
+        return v.astype(float)
+    scale = n / length
+    wide = max(scale, 1.0)
+    centre = (np.arange(length) + 0.5) * scale
+    d = np.abs((np.arange(n) + 0.5)[None, :] - centre[:, None]) / wide
+    k = np.where(d < 1, (1.5 * d - 2.5) * d * d + 1, np.where(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2, 0.0))
+    return (k / k.sum(axis=1, keepdims=True)) @ v
+
+
 def time_warped(df: DataFrame, key: str, x: str, window: int, seed: int) -> DataFrame:
-    """(key, x): a pseudo-random centre moved by less than ``window``, both sides stretched linearly."""
+    """(key, x): a pseudo-random centre moved by less than ``window``, both sides resized by cubic convolution.
+
+    Arrays of up to twice the window stay as they are.
+    """
 
     def run(v: np.ndarray) -> np.ndarray:
         n = len(v)
@@ -213,8 +233,80 @@ def time_warped(df: DataFrame, key: str, x: str, window: int, seed: int) -> Data
         rng = np.random.default_rng(seed + int(abs(v).sum() * 1000) % 2**31)
         centre = int(rng.integers(window, n - window))
         moved = int(np.clip(centre + rng.integers(-window + 1, window), 1, n - 1))
-        left = np.interp(np.linspace(0, centre - 1, moved), np.arange(centre), v[:centre])
-        right = np.interp(np.linspace(0, n - centre - 1, n - moved), np.arange(n - centre), v[centre:])
-        return np.concatenate([left, right])
+        return np.concatenate([cubic_resized(v[:centre], moved), cubic_resized(v[centre:], n - moved)])
 
     return _arrays(df, key, x, run)
+
+
+def bands_dropped(x: Column, key: str, n_bands: int, lower: float, upper: float, seed: int) -> Column:
+    """Frames (time x bands) without pseudo-random bands, the same for the same key and seed.
+
+    A band stays where a normal number exceeds a ratio drawn evenly from [lower, upper).
+    """
+    from voxloom.sources.binary import seeded_uniform
+
+    u, v, one = seeded_uniform(key, n_bands, seed), seeded_uniform(key, n_bands, seed + 1), seeded_uniform(key, 1, seed + 2)
+    normal = F.zip_with(u, v, lambda a, b: F.sqrt(-2 * F.log(a + 2.0**-17)) * F.cos(b * 2 * np.pi))
+    ratio = lower + F.get(one, 0) * (upper - lower)
+    return let(F.struct(normal.alias("n"), ratio.alias("r")), lambda m: F.transform(x, lambda frame: F.zip_with(frame, m["n"], lambda a, b: F.when(b > m["r"], a).otherwise(0.0))))
+
+
+def stoi(ref: np.ndarray, est: np.ndarray, fs: int = 10_000) -> float:
+    """Short-time objective intelligibility of an estimate, both sampled at 10 kHz; NaN where too little is loud.
+
+    Frames of 256 more than 40 dB below the loudest of the reference are left out; third-octave
+    bands from 150 Hz are compared over 30 frames, the estimate clipped at -15 dB.
+    """
+    if fs != 10_000:
+        raise ValueError("signals must be sampled at 10 kHz")
+    n, hop, bands, span = 256, 128, 15, 30
+    window = np.hanning(n + 2)[1:-1]
+    m = min(len(ref), len(est))
+    if m < n:
+        return float("nan")
+    at = np.arange(0, m - n + 1, hop)[:, None] + np.arange(n)
+    x, y = ref[at] * window, est[at] * window
+    level = 20 * np.log10(np.linalg.norm(x, axis=1) + 1e-20)
+    loud = level > level.max() - 40
+
+    def joined(frames: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(frames) - 1) * hop + n)
+        for i, f in enumerate(frames):
+            out[i * hop : i * hop + n] += f
+        return out
+
+    if not loud.any():
+        return float("nan")
+    x, y = joined(x[loud]), joined(y[loud])
+    at = np.arange(0, len(x) - n + 1, hop)[:, None] + np.arange(n)
+    freqs = np.arange(n + 1) * fs / (2 * n)
+    middle = 150 * 2 ** (np.arange(bands) / 3)
+    nearest = lambda f: np.abs(freqs[None, :] - f[:, None]).argmin(axis=1)
+    low, high = nearest(middle * 2 ** (-1 / 6)), nearest(middle * 2 ** (1 / 6))
+    pick = (np.arange(n + 1) >= low[:, None]) & (np.arange(n + 1) < high[:, None])
+    spec = lambda v: np.sqrt(pick @ (np.abs(np.fft.rfft(v[at] * window, 2 * n)) ** 2).T)
+    x, y = spec(x), spec(y)
+    if x.shape[1] < span:
+        return float("nan")
+    total, parts = 0.0, 0
+    for k in range(span, x.shape[1] + 1):
+        a, b = x[:, k - span : k], y[:, k - span : k]
+        b = b * (np.linalg.norm(a, axis=1, keepdims=True) / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-20))
+        b = np.minimum(b, a * (1 + 10 ** (15 / 20)))
+        a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
+        corr = (a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1) + 1e-20)
+        total, parts = total + corr.sum(), parts + bands
+    return float(total / parts)
+
+
+def stoi_scores(df: DataFrame, key: str, ref: str, est: str) -> DataFrame:
+    """(key, stoi) of pairs of signals at 10 kHz; null where it is not defined."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v = [None if r is None or e is None else stoi(np.asarray(r, dtype=float), np.asarray(e, dtype=float)) for r, e in zip(b["__r"], b["__e"])]
+            yield pd.DataFrame({key: b["__k"], "stoi": v})
+
+    out = df.select(F.col(key).alias("__k"), F.col(ref).alias("__r"), F.col(est).alias("__e")).mapInPandas(run, f"{key} {kind}, stoi double")
+    return out.withColumn("stoi", F.when(~F.isnan("stoi"), F.col("stoi")))

@@ -17,23 +17,32 @@ def edit_counts(ref: list, hyp: list) -> tuple[int, int, int, int]:
     """(correct, substituted, deleted, inserted) on a path of least edits; ties prefer diagonal, deletion, insertion."""
     if ref == hyp:
         return len(ref), 0, 0, 0
+    # An equal end lies on the path; what remains keeps one byte a cell, not the costs.
+    tail = 0
+    while tail < min(len(ref), len(hyp)) and ref[-1 - tail] == hyp[-1 - tail]:
+        tail += 1
+    ref, hyp = ref[: len(ref) - tail], hyp[: len(hyp) - tail]
     n, m = len(ref), len(hyp)
     number = {w: i for i, w in enumerate(dict.fromkeys(hyp))}
     x, y = np.array([number.get(w, -1) for w in ref], dtype=np.int64), np.array([number[w] for w in hyp], dtype=np.int64)
-    cost = np.zeros((n + 1, m + 1), dtype=np.int64)
-    cost[0] = ramp = np.arange(m + 1)
+    came = np.full((n + 1, m + 1), 2, dtype=np.uint8)  # 0 along the diagonal, 1 by a deletion, 2 by an insertion
+    cost = ramp = np.arange(m + 1)
     for i in range(1, n + 1):
         row = np.empty(m + 1, dtype=np.int64)
         row[0] = i
-        row[1:] = np.minimum(cost[i - 1, :-1] + (y != x[i - 1]), cost[i - 1, 1:] + 1)
-        cost[i] = np.minimum.accumulate(row - ramp) + ramp  # insertions along the row
-    c = s = d = k = 0
+        straight, down = cost[:-1] + (y != x[i - 1]), cost + 1
+        row[1:] = np.minimum(straight, down[1:])
+        new = np.minimum.accumulate(row - ramp) + ramp  # insertions along the row
+        came[i][new == down] = 1
+        came[i, 1:][new[1:] == straight] = 0
+        cost = new
+    c, s, d, k = tail, 0, 0, 0
     i, j = n, m
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
+        if came[i, j] == 0:
             same = x[i - 1] == y[j - 1]
             c, s, i, j = c + same, s + (not same), i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif came[i, j] == 1:
             d, i = d + 1, i - 1
         else:
             k, j = k + 1, j - 1

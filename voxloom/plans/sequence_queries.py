@@ -205,6 +205,19 @@ def collated_batches(s, d):
     return out.select("vec_id", F.col("y_lengths").cast("bigint").alias("y_lengths"), F.transform("y", R6).alias("y"), M.pad_mask(F.col("y_lengths"), F.size("y")).alias("mask"))
 
 
+def _u(k: str, seed: int) -> str:
+    return f"('0x' || substr(md5(vec_id::VARCHAR || '|{seed}|' || ({k} // 8)), 4 * ({k} % 8) + 1, 4))::BIGINT / 65536"
+
+
+@query(
+    f"WITH {_X}, r AS (SELECT vec_id, x, 0.75 * ({_u('0', 5)}) AS ratio FROM x), n AS (SELECT vec_id, ratio, x, list_transform(range(0, 8), lambda k: sqrt(-2 * ln({_u('k', 3)} + pow(2.0, -17))) * cos(({_u('k', 4)}) * 2 * pi())) AS n FROM r) SELECT vec_id, list_transform(x, lambda v, i: CASE WHEN n[(i - 1) % 8 + 1] > ratio THEN round(v, 6) ELSE 0.0 END) AS x FROM n"
+)
+def band_dropped(s, d):
+    """Pseudo-random bands of eight cut from frames, the same in every run."""
+    f = signals(s, d).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("x", i * 8 + 1, F.lit(8))).alias("f"))
+    return f.select("vec_id", F.transform(F.flatten(M.bands_dropped(F.col("f"), "vec_id", 8, 0.0, 0.75, 3)), R6).alias("x"))
+
+
 @query(f"WITH {_X} SELECT vec_id, list_transform(x, lambda v, i: CASE WHEN i - 1 >= vec_id % 50 AND i - 1 < vec_id % 50 + 8 THEN 0.0 ELSE round(v, 6) END) AS x FROM x")
 def span_masked(s, d):
     """M7: a masked span at a given place."""
@@ -212,9 +225,14 @@ def span_masked(s, d):
     return x.select("vec_id", F.transform(M.span_mask(F.col("x"), F.col("vec_id") % 50, F.lit(8)), R6).alias("x"))
 
 
-@query()
+_SEEDED = "('0x' || substr(md5(vec_id::VARCHAR || '|1|{k}'), 1, 12))::BIGINT"
+
+
+@query(
+    f"WITH {_X}, h AS (SELECT vec_id, x, {_SEEDED.format(k=0)} AS a, {_SEEDED.format(k=1)} AS b FROM x), p AS (SELECT vec_id, x, a % 12 AS wa, b % 12 AS wb, (a // 12) % greatest(64 - a % 12, 1) AS sa, (b // 12) % greatest(64 - b % 12, 1) AS sb FROM h) SELECT vec_id, list_transform(x, lambda v, i: CASE WHEN (i - 1 >= sa AND i - 1 < sa + wa) OR (i - 1 >= sb AND i - 1 < sb + wb) THEN 0.0 ELSE v END) AS x FROM p"
+)
 def seeded_masks(s, d):
-    """M7: two pseudo-random masks, the same in every run (rows only)."""
+    """M7: two pseudo-random masks, the same in every run."""
     return M.seeded_spans(signals(s, d), "x", "vec_id", 2, 12, 1).select("vec_id", "x")
 
 
@@ -269,6 +287,14 @@ def stft_round_trip(s, d):
     return M.inverse_stft(signals(s, d), "vec_id", "x", 16, 4).select("vec_id", F.transform("x", lambda v: F.round(v, 5)).alias("x"))
 
 
+@query()
+def intelligibility(s, d):
+    """Short-time intelligibility of signals repeated to half a second, with growing noise (tested on properties)."""
+    x = signals(s, d).select("vec_id", F.flatten(F.array_repeat("x", 80)).alias("x"))
+    noisy = F.transform("x", lambda v, i: v + 0.02 * (F.col("vec_id") % 5) * F.sin(i * i))
+    return M.stoi_scores(x.select("vec_id", "x", noisy.alias("y")), "vec_id", "x", "y").select("vec_id", F.round("stoi", 6).alias("stoi"))
+
+
 @query()
 def augmented_signals(s, d):
     """Speed, room and time warping (rows only)."""

@@ -118,6 +118,12 @@ def cleaned_text(s, d):
     return texts(s, d).filter("text is not null").select("uttid", T.clean(F.col("text"), ["upper", "no_tags", "whitespace"]).alias("text"))
 
 
+@query()
+def english_cleaned(s, d):
+    """English texts spelled out for speech (numbers are read as words; tested on fixed texts)."""
+    return texts(s, d, "lang").filter("text is not null").select("uttid", F.when(F.col("lang") == "ja", T.clean(F.col("text"), ["jaconv"])).otherwise(T.clean(F.col("text"), ["tacotron"])).alias("text"))
+
+
 @query(
     """
 WITH spoken(sign, name) AS (VALUES ('0', '영'), ('1', '일'), ('2', '이'), ('3', '삼'), ('4', '사'), ('5', '오'), ('6', '육'), ('7', '칠'), ('8', '팔'), ('9', '구'),

@@ -61,3 +61,21 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class CacheBudget:
+    """Keeps tables in memory while their estimated sizes stay below a limit; there is no eviction.
+
+    The estimate is the optimiser's for the table's plan, so nothing runs to get it. A table
+    that does not fit is given back as it is and computed where it is read.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.used = limit, 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if self.used + size > self.limit:
+            return df
+        self.used += size
+        return df.persist()
