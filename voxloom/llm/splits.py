@@ -144,6 +144,17 @@ def place_block(vectors: dict[str, dict[str, int]], need: dict[str, list[float]]
     return out
 
 
+def _whole_rows(records: DataFrame) -> DataFrame:
+    """(record, tied, component, label) without nulls in the last two."""
+    own = F.concat(F.lit("record:"), F.col("record").cast("string"))
+    return records.select("record", F.col("component").alias("tied"), F.coalesce("component", own).alias("component"), F.coalesce("label", F.lit("none")).alias("label"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """The label vector of each component, in rows."""
+    return rows.groupBy("component", "label").agg(F.count("*").alias("n"))
+
+
 def grouped_splits(records: DataFrame, shares: dict[str, float]) -> DataFrame:
     """(record, component, split) for rows (record, component, label), one row per record.
 
@@ -151,9 +162,8 @@ def grouped_splits(records: DataFrame, shares: dict[str, float]) -> DataFrame:
     own (its ``component`` is null in the result too); a null label counts as the label
     ``none``. An empty table gives no rows.
     """
-    own = F.concat(F.lit("record:"), F.col("record").cast("string"))
-    rows = cut_table(records.select("record", F.col("component").alias("tied"), F.coalesce("component", own).alias("component"), F.coalesce("label", F.lit("none")).alias("label")))
-    placed = place_components(rows.groupBy("component", "label").agg(F.count("*").alias("n")), shares)
+    rows = cut_table(_whole_rows(records))
+    placed = place_components(_cells(rows), shares)
     return rows.join(placed, "component").select("record", F.col("tied").alias("component"), "split")
 
 
@@ -236,28 +246,33 @@ def place_components(cells: DataFrame, shares: dict[str, float]) -> DataFrame:
     return out
 
 
-def speaker_splits(df: DataFrame, labels: DataFrame, shares: dict[str, float], utt: str = "uttid", speaker: str = "spkid", tied: DataFrame | None = None) -> DataFrame:
-    """(utterance, component, split) of every utterance of a speaker list, each once.
+def labelled_utterances(df: DataFrame, labels: DataFrame, tied: DataFrame, utt: str = "uttid", speaker: str = "spkid") -> DataFrame:
+    """(record, component, label) of every utterance of a speaker list, each once.
 
-    No speaker, nor any speaker tied to it, lies in two splits. An utterance without a named
-    speaker goes with the speaker of the utterance it is a copy of, or else with its copies.
-    ``labels`` has (utterance, label), one row per utterance. Null utterances are left out.
-    ``tied`` are the rows of ``tied_speakers`` where they are at hand.
+    ``tied`` are the rows of ``tied_speakers``. An utterance without a named speaker goes with
+    the speaker of the utterance it is a copy of, or else with its copies.
     """
     named = df.select(F.col(utt).alias("u"), speaker_name(F.col(speaker)).alias("speaker")).filter("u is not null")
     by_utt = named.groupBy("u").agg(F.min("speaker").alias("speaker"))
-    comp = tied if tied is not None else tied_speakers(df, utt, speaker)
-    utts = by_utt.join(comp, "speaker", "left").select("u", without_prefix(F.col("u")).alias("base"), "component")
-    utts = cut_table(utts)
+    utts = cut_table(by_utt.join(tied, "speaker", "left").select("u", without_prefix(F.col("u")).alias("base"), "component"))
     origin = utts.filter("component is not null").groupBy("base").agg(F.min("component").alias("origin"))
     loose = utts.filter("component is null").join(origin, "base", "left").select("u", F.coalesce("origin", F.concat(F.lit("utt:"), F.col("base"))).alias("component"))
-    all_ = loose.union(utts.filter("component is not null").select("u", "component"))
-    rows = all_.join(labels.select(F.col(labels.columns[0]).alias("u"), F.col(labels.columns[1]).alias("label")), "u", "left")
-    return grouped_splits(rows.withColumnRenamed("u", "record"), shares).select(F.col("record").alias(utt), "component", "split")
+    every = loose.union(utts.filter("component is not null").select("u", "component"))
+    return every.join(labels.select(F.col(labels.columns[0]).alias("u"), F.col(labels.columns[1]).alias("label")), "u", "left").withColumnRenamed("u", "record")
+
+
+def speaker_splits(df: DataFrame, labels: DataFrame, shares: dict[str, float], utt: str = "uttid", speaker: str = "spkid") -> DataFrame:
+    """(utterance, component, split) of every utterance of a speaker list, each once.
+
+    No speaker, nor any speaker tied to it, lies in two splits. ``labels`` has (utterance,
+    label), one row per utterance. Null utterances are left out.
+    """
+    rows = labelled_utterances(df, labels, tied_speakers(df, utt, speaker), utt, speaker)
+    return grouped_splits(rows, shares).select(F.col("record").alias(utt), "component", "split")
 
 
 def speaker_places(df: DataFrame, labels: DataFrame, shares: dict[str, float], utt: str = "uttid", speaker: str = "spkid") -> DataFrame:
     """(speaker, component, split) of every listed speaker; split is null for one without utterances."""
     tied = cut_table(tied_speakers(df, utt, speaker))
-    split = speaker_splits(df, labels, shares, utt, speaker, tied).filter("component is not null").groupBy("component").agg(F.min("split").alias("split"))
-    return tied.join(split, "component", "left").select("speaker", "component", "split")
+    placed = place_components(_cells(_whole_rows(labelled_utterances(df, labels, tied, utt, speaker))), shares)
+    return tied.join(placed, "component", "left").select("speaker", "component", "split")
