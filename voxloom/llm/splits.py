@@ -76,13 +76,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return leaves.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def speaker_ties(df: DataFrame, utt: str = "uttid", speaker: str = "spkid") -> DataFrame:
+def named_speakers(df: DataFrame, utt: str = "uttid", speaker: str = "spkid") -> DataFrame:
+    """(u, s): each utterance with each speaker that it names, once; written, as it is read several times."""
+    return cut_table(df.select(F.col(utt).alias("u"), speaker_name(F.col(speaker)).alias("s")).filter("s is not null").distinct())
+
+
+def speaker_ties(named: DataFrame) -> DataFrame:
     """(a, b) edges that tie speakers: a shared utterance, or being copies of one speaker.
 
     A copy is tied to the name without its prefixes, whether or not that name is listed. An
     utterance ties all its speakers to the least of them, so one with many gives a star.
     """
-    named = df.select(F.col(utt).alias("u"), speaker_name(F.col(speaker)).alias("s")).filter("s is not null").distinct()
     least = named.filter("u is not null").groupBy("u").agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a < z").select("u", "a")
     shared = named.join(least, "u").filter("s <> a").select("a", F.col("s").alias("b"))
     copies = named.select("s").distinct().select(without_prefix(F.col("s")).alias("a"), F.col("s").alias("b")).filter("a <> b")
@@ -91,9 +95,9 @@ def speaker_ties(df: DataFrame, utt: str = "uttid", speaker: str = "spkid") -> D
 
 def tied_speakers(df: DataFrame, utt: str = "uttid", speaker: str = "spkid") -> DataFrame:
     """(speaker, component) of every listed speaker; one tied to no other is its own component."""
-    speakers = df.select(speaker_name(F.col(speaker)).alias("speaker")).filter("speaker is not null").distinct()
-    comp = components(speaker_ties(df, utt, speaker))
-    joined = speakers.join(comp.withColumnRenamed("node", "speaker"), "speaker", "left")
+    named = named_speakers(df, utt, speaker)
+    comp = components(speaker_ties(named))
+    joined = named.select(F.col("s").alias("speaker")).distinct().join(comp.withColumnRenamed("node", "speaker"), "speaker", "left")
     return joined.select("speaker", F.coalesce("root", "speaker").alias("component"))
 
 
