@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.llm.encode import DEFAULT_RANKS, PATTERN, encode_corpus
+from voxloom.llm.encode import DEFAULT_RANKS, PATTERN, Encoder, encode_corpus
 from voxloom.llm.leaks import align, leaked_items
 from voxloom.llm.lookalike import consistent_forms, look_alike
 from voxloom.llm.overlap import WordIndex, cross_split_links, cross_split_pairs, edit_distances, spans_of
@@ -452,6 +452,17 @@ def test_ids_equal_the_public_library(spark, reference):
     assert encode_corpus(df.limit(0)).count() == 0
 
 
+def test_a_full_memory_changes_nothing(reference, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr("voxloom.llm.encode.MEMORY_CHARS", 50)
+    encoder = Encoder(open(DEFAULT_RANKS, "rb").read())
+    rnd = random.Random(14)
+    for _ in range(20):
+        texts = [" ".join(rnd.choice(["alpha", "beta", "longer words", "x" * 40, "é"]) for _ in range(rnd.randint(0, 9))) for _ in range(10)]
+        assert encoder.encode(pa.array(texts)).to_pylist() == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_real_documents_round_trip(spark, reference):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}

@@ -27,6 +27,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Chunks a worker remembers; beyond it the memory is emptied and filled anew.
 MEMORY_CHUNKS = 600_000
+#: Characters of them after which the memory begins anew, however few the chunks.
+MEMORY_CHARS = 30_000_000
 
 # A blank or line feed amid or at the end of white space: a cut before it would part a token.
 _INNER = re.compile(r"(?<=\s)[ \n](?=\s|\Z)")
@@ -105,6 +107,7 @@ class Encoder:
         self.count = np.zeros(1 << 16, dtype=np.int64)
         self.ids = np.zeros(1 << 18, dtype=np.int32)
         self.used = 0
+        self.chars = 0
 
     def _learn(self, chunks: list[str]) -> None:
         cut = [self.pattern.findall(c) for c in chunks]
@@ -122,10 +125,11 @@ class Encoder:
         self.count[at : at + len(n)] = n
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=total)
         self.used += total
+        self.chars += sum(map(len, chunks)) + sum(map(len, new))
         self.chunks.update(zip(chunks, range(at, at + len(n))))
 
     def _places(self, chunks: list[str]) -> np.ndarray:
-        if len(self.chunks) + len(chunks) > MEMORY_CHUNKS:
+        if len(self.chunks) + len(chunks) > MEMORY_CHUNKS or self.chars > MEMORY_CHARS:
             self._forget()
         known = self.chunks
         if new := [c for c in chunks if c not in known]:
