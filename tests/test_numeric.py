@@ -146,3 +146,30 @@ def test_dropped_tables_are_gone(spark):
     assert os.path.exists(at)
     drop_table(spark, path)
     assert not os.path.exists(at)
+
+
+def test_translation_edits():
+    from voxloom.operators.scoring import edit_counts, longest_common, translation_edits
+
+    ref = "saudi arabia denied this week information published in the american new york times".split()
+    hyp = "this week the saudis denied information published in the new york times".split()
+    assert translation_edits(ref, hyp) == 4  # the published example: one shift, three edits, of 13 words
+    assert translation_edits(list("abcdef"), list("defabc")) == 1 and translation_edits([], list("ab")) == 2 and translation_edits(list("ab"), []) == 2 and translation_edits(list("ab"), list("ab")) == 0
+    rnd = np.random.default_rng(6)
+    for _ in range(150):
+        a, b = (rnd.integers(0, 5, rnd.integers(0, 9)).tolist() for _ in range(2))
+        assert translation_edits(a, b) <= sum(edit_counts(a, b)[1:]) and (translation_edits(a, b) == 0) == (a == b)
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        assert longest_common(a, b) == table[-1][-1]
+
+
+def test_rows_of_sequence_scores(spark):
+    from voxloom.operators.scoring import sequence_scores
+
+    df = spark.createDataFrame([("a", ["x", "y"], ["y", "x"]), ("b", None, ["x"]), ("c", None, None), ("a", ["x", "y"], ["y", "x"])], "r string, ref array<string>, h array<string>")
+    out = sorted((r.r, r.n_ref, r.edits, r.rouge_l) for r in sequence_scores(df, "r", "ref", "h").collect())
+    assert out == [("a", 2, 1, 0.5), ("a", 2, 1, 0.5), ("b", 0, 1, 0.0), ("c", 0, 0, 1.0)]
+    assert sequence_scores(df.limit(0), "r", "ref", "h").count() == 0

@@ -238,6 +238,123 @@ def bleu(df: DataFrame, ref: str, hyp: str, most: int = 4) -> DataFrame:
     return s.select(F.when(ok, bp * mean).otherwise(0.0).alias("bleu"), bp.alias("bp"), *[x.alias(f"p{n}") for n, x in enumerate(p, 1)])
 
 
+def _numbered(ref: list, hyp: list) -> tuple[np.ndarray, np.ndarray]:
+    """Both as numbers, without the beginning and end that they share."""
+    head = 0
+    while head < min(len(ref), len(hyp)) and ref[head] == hyp[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(ref), len(hyp)) - head and ref[-1 - tail] == hyp[-1 - tail]:
+        tail += 1
+    ref, hyp = ref[head : len(ref) - tail], hyp[head : len(hyp) - tail]
+    number = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
+    return np.array([number[w] for w in ref], dtype=np.int64), np.array([number[w] for w in hyp], dtype=np.int64)
+
+
+def _costs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Edit distances of all beginnings of x and y."""
+    ramp = np.arange(len(y) + 1)
+    cost = np.empty((len(x) + 1, len(y) + 1), dtype=np.int32)
+    cost[0] = ramp
+    for i, v in enumerate(x, 1):
+        row = np.empty(len(y) + 1, dtype=np.int64)
+        row[0] = i
+        row[1:] = np.minimum(cost[i - 1, :-1] + (y != v), cost[i - 1, 1:] + 1)
+        cost[i] = np.minimum.accumulate(row - ramp) + ramp
+    return cost
+
+
+def _aligned(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in y of each of x, whether x's words are wrong, whether y's are) on a path of least edits."""
+    at, wrong_x, wrong_y = np.zeros(len(x), dtype=np.int64), np.ones(len(x), dtype=bool), np.ones(len(y), dtype=bool)
+    i, j = len(x), len(y)
+    while i or j:
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
+            i, j = i - 1, j - 1
+            at[i] = j
+            wrong_x[i] = wrong_y[j] = x[i] != y[j]
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            i -= 1
+            at[i] = j - 1  # after this word of y it would stand
+        else:
+            j -= 1
+    return at, wrong_x, wrong_y
+
+
+#: Longest stretch of words that one shift moves, and how far.
+SHIFT_WORDS, SHIFT_FAR = 10, 50
+
+
+def translation_edits(ref: list, hyp: list) -> int:
+    """Shifts of stretches and edits of words that turn the hypothesis into the reference, greedily the fewest.
+
+    The shift that lowers the word distance most is made first, of equals the longest, then the
+    leftmost, as long as one lowers it. A stretch moves only where its words are wrong and
+    the reference's same words are missed. What both share at their ends stays out of it.
+    """
+    x, y = _numbered(ref, hyp)
+    shifts = 0
+    while len(x) and len(y):
+        cost = _costs(x, y)
+        now = int(cost[-1, -1])
+        at, wrong_x, wrong_y = _aligned(x, y, cost)
+        best = None
+        for i in range(len(y)):
+            for j in np.flatnonzero(x == y[i]).tolist():
+                if abs(int(at[j]) - i) > SHIFT_FAR:
+                    continue
+                for n in range(1, SHIFT_WORDS + 1):
+                    if i + n > len(y) or j + n > len(x) or y[i + n - 1] != x[j + n - 1]:
+                        break
+                    if not wrong_y[i : i + n].any() or not wrong_x[j : j + n].any() or i <= at[j] < i + n:
+                        continue
+                    # Behind the word before it, or behind where any of its words would stand now.
+                    for to in sorted({0 if q < 0 else int(at[q]) + 1 for q in range(j - 1, j + n)}):
+                        if i <= to <= i + n:
+                            continue
+                        rest = np.concatenate([y[:i], y[i + n :]])
+                        place = to - n if to > i else to
+                        moved = np.concatenate([rest[:place], y[i : i + n], rest[place:]])
+                        key = (now - int(_costs(x, moved)[-1, -1]), n, -i, -to)
+                        if best is None or key > best[0]:
+                            best = (key, moved)
+        if best is None or best[0][0] <= 0:
+            return shifts + now
+        shifts, y = shifts + 1, best[1]
+    return shifts + max(len(x), len(y))
+
+
+def longest_common(ref: list, hyp: list) -> int:
+    """Length of the longest common subsequence."""
+    x, y = _numbered(ref, hyp)
+    row = np.zeros(len(y) + 1, dtype=np.int64)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == v)))
+    return int(row[-1]) + (len(ref) - len(x))
+
+
+def sequence_scores(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
+    """(key, n_ref, edits, rouge_l) over arrays of words: edits with shifts (for the translation edit rate, edits / n_ref), and the F measure of the longest common subsequence.
+
+    Null counts as empty; two empty texts have an F measure of 1, one empty text 0.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def scores(r: list, h: list) -> tuple[int, int, float]:
+        if r == h:
+            return len(r), 0, 1.0
+        common = longest_common(r, h)
+        return len(r), translation_edits(r, h), 2 * common / (len(r) + len(h))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [scores([] if r is None else list(r), [] if h is None else list(h)) for r, h in zip(b["__r"], b["__h"])]
+            yield pd.concat([b[["__k"]].rename(columns={"__k": key}).reset_index(drop=True), pd.DataFrame(rows, columns=["n_ref", "edits", "rouge_l"])], axis=1)
+
+    rows = df.select(F.col(key).alias("__k"), F.col(ref).alias("__r"), F.col(hyp).alias("__h"))
+    return rows.mapInPandas(run, f"{key} {kind}, n_ref bigint, edits bigint, rouge_l double")
+
+
 def chrf(df: DataFrame, ref: str, hyp: str, most: int = 6, beta: float = 2.0) -> DataFrame:
     """One row (chrf): the character n-gram F score over all pairs, blanks left out.
 

@@ -144,3 +144,13 @@ def chrf_score(s, d):
     from voxloom.operators.scoring import chrf
 
     return chrf(versions(s, d), "ref", "hyp").select(F.round("chrf", 6).alias("chrf"))
+
+
+@query()
+def translation_edit_rate(s, d):
+    """Edits with shifts and the longest common subsequence of versions (tested on fixed texts and by brute force)."""
+    from voxloom.functions import text as T
+    from voxloom.operators.scoring import sequence_scores
+
+    v = versions(s, d).select("uttid", T.words(F.col("ref")).alias("r"), T.words(F.col("hyp")).alias("h"))
+    return sequence_scores(v, "uttid", "r", "h").select("uttid", "n_ref", "edits", F.round("rouge_l", 9).alias("rouge_l"))
