@@ -197,3 +197,12 @@ def test_writers_leave_out_nulls(spark, tmp_path):
     assert sinks.write_ark(df, str(tmp_path / "ark"), "n", "x") == 2
     assert {r.uttid: r["values"] for r in binary.read_ark(spark, str(tmp_path / "ark")).collect()} == {"a.npy": [1.0, 2.0], "c.npy": []}
     assert list(binary.decode_ark(binary.encode_ark("k", np.array([3, -4]))))[0][1].tolist() == [3, -4]
+
+
+def test_container_of_sounds(spark, tmp_path):
+    from voxloom.sources import binary, sinks
+
+    df = spark.createDataFrame([("a", [[1, -2, 3], [4, 5, 40000]]), ("b", [[]]), (None, [[1]]), ("c", None)], "k string, x array<array<int>>")
+    sinks.write_sounds(df, str(tmp_path / "s"), "k", "x", 8000)
+    got = {r.key: (r.length, r.rate, r.samples) for r in binary.read_sounds(spark, str(tmp_path / "s"), normalise=False).collect()}
+    assert got == {"a": (3, 8000, [[1.0, -2.0, 3.0], [4.0, 5.0, 32767.0]]), "b": (0, 8000, [[]])}

@@ -137,6 +137,14 @@ def wav_round_trip(s, d):
     return binary.read_wav(s, folder).select(file_key("path").alias("vec_id"), "rate", F.get("samples", 0).alias("samples"))
 
 
+@query(f"WITH {_X} SELECT vec_id, 64 AS length, 8000 AS rate, list_transform(x, lambda v: round(v * 1000) / 32768) AS samples FROM x")
+def sound_container(s, d):
+    """Sounds written to one container and read, lengths without the bytes."""
+    folder = fresh_folder(s, "sounds")
+    sinks.write_sounds(signals(s, d).select("vec_id", F.transform("x", lambda v: F.round(v * 1000).cast("int")).alias("v")), folder, "vec_id", "v", 8000)
+    return binary.read_sounds(s, folder).select(F.col("key").alias("vec_id"), "length", "rate", F.get("samples", 0).alias("samples"))
+
+
 @query(f"WITH {_X} SELECT vec_id, 64 AS length, list_transform(x, lambda v: round(v, 9)) AS values FROM x")
 def npy_round_trip(s, d):
     """Array files written and read."""

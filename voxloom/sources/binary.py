@@ -108,6 +108,18 @@ def read_wav(spark: SparkSession, path: str, normalise: bool = True) -> DataFram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rate int, samples array<array<double>>")
 
 
+def read_sounds(spark: SparkSession, folder: str, normalise: bool = True) -> DataFrame:
+    """(key, length, rate, samples) of a container of sounds, samples by channel."""
+    rows = spark.read.parquet(folder).select("key", "length", "content")
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, n, *decode_wav(bytes(c), normalise)) for k, n, c in zip(b["key"], b["length"], b["content"])], columns=["key", "length", "rate", "samples"])
+
+    return rows.mapInPandas(run, f"key {kind}, length bigint, rate int, samples array<array<double>>")
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """(path, shape, values): one row a file, values in row-major order."""
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.sources.binary import encode_ark
+from voxloom.sources.binary import encode_ark, encode_wav
 from voxloom.sources.formats import two_column_line
 
 
@@ -117,3 +117,20 @@ def write_ark(df: DataFrame, folder: str, key: str, values: str) -> int:
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(values).alias("values")).filter("key is not null and values is not null")
     return rows.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_sounds(df: DataFrame, folder: str, key: str, samples: str, rate: int) -> None:
+    """A container of sounds: Parquet with the key, the number of samples and the PCM file of each row.
+
+    Many sounds lie in one file of bounded row groups, and keys and lengths are read without
+    the bytes. Null keys and samples are left out.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            values = [np.array(list(v)) for v in b["__v"]]
+            yield pd.DataFrame({"key": b["__k"], "length": [x.shape[-1] for x in values], "content": [encode_wav(x, rate) for x in values]})
+
+    rows = df.select(F.col(key).alias("__k"), F.col(samples).alias("__v")).filter("__k is not null and __v is not null")
+    rows.mapInPandas(run, f"key {kind}, length bigint, content binary").write.mode("overwrite").parquet(folder)
