@@ -26,6 +26,8 @@ from voxloom.session import cut_table
 _BREAK = re.compile(r"[ \t\n\r]+")
 #: Tokens that one suffix array takes; a partition with more of them gives several arrays.
 ARRAY_TOKENS = 1_000_000
+#: Rows of a batch of counts.
+BATCH_ROWS = 20_000
 
 
 def suffix_array(ids: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +125,10 @@ def ngram_counts(df: DataFrame, text: str, max_n: int = 1) -> DataFrame:
             out = {"n": [0], "term": [None], "occurrences": [len(words)], "records": [len(lengths)]}
             yield pa.RecordBatch.from_pydict(out, schema=_PARTIAL)
             for n, at, count, records in count_ngrams(ids, record, max_n):
-                names = [" ".join(words[i : i + n]) for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(names, pa.string()), pa.array(count), pa.array(records)], schema=_PARTIAL)
+                for a in range(0, len(at), BATCH_ROWS):
+                    names = pa.array([" ".join(words[i : i + n]) for i in at[a : a + BATCH_ROWS].tolist()], pa.string())
+                    some = slice(a, a + BATCH_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), n, dtype=np.int32)), names, pa.array(count[some]), pa.array(records[some])], schema=_PARTIAL)
 
         words: list[str] = []
         lengths: list[int] = []
