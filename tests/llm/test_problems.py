@@ -16,7 +16,7 @@ from voxloom.llm.personal import Finder, Lexicon, find_personal, iban, luhn, red
 from voxloom.llm.pieces import Limits, RangeMaximum, cut_item, cut_pieces, cut_units, strengths
 from voxloom.llm.queries import ORACLE, QUERIES, current_texts
 from voxloom.llm.splits import components, grouped_splits, place_block, speaker_splits, tied_speakers
-from voxloom.llm.terms import marked_terms, ngram_counts, suffix_array
+from voxloom.llm.terms import frequent_ngrams, marked_terms, ngram_counts, suffix_array
 from voxloom.llm.words import comparison_words
 from voxloom.operators.versions import current_version
 
@@ -274,6 +274,17 @@ def test_ngram_counts_against_counting(spark, max_n):
     assert marked_terms(df.limit(0), "text").count() == 0
 
 
+@pytest.mark.parametrize("most_pairs", [3, 1_000_000])
+def test_frequent_ngrams_lose_none(spark, monkeypatch, most_pairs):
+    monkeypatch.setattr("voxloom.llm.terms.MOST_PAIRS", most_pairs)
+    rnd = random.Random(15)
+    texts = [" ".join(rnd.choice("aabcdefg") for _ in range(rnd.randint(0, 14))) for _ in range(150)] + [None, "", "x y z x y z x y z", "x y z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    every = {(r.n, r.term): (r.occurrences, r.records) for r in ngram_counts(df, "text", 5).collect() if r.n and r.occurrences >= 4}
+    assert {(r.n, r.term): (r.occurrences, r.records) for r in frequent_ngrams(df, "text", 5, 4).collect()} == every and max(n for n, _ in every) >= 3
+    assert frequent_ngrams(df.limit(0), "text", 5, 4).count() == 0
+
+
 def test_suffix_array_against_sorting():
     rnd = random.Random(11)
     import numpy as np

@@ -13,7 +13,7 @@ from voxloom.llm.packing import pack
 from voxloom.llm.personal import find_personal
 from voxloom.llm.pieces import cut_pieces
 from voxloom.llm.splits import speaker_places, speaker_splits
-from voxloom.llm.terms import marked_terms, ngram_counts
+from voxloom.llm.terms import frequent_ngrams, marked_terms
 from voxloom.operators.versions import current_version
 from voxloom.session import read_table
 
@@ -121,7 +121,7 @@ MOST_WORDS, LEAST_OCCURRENCES = 6, 20
 
 def p4_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Recurring passages: all n-grams of one to six terms that occur at least so often."""
-    return ngram_counts(current_texts(spark, d), "text", max_n=MOST_WORDS).filter((F.col("n") > 0) & (F.col("occurrences") >= LEAST_OCCURRENCES))
+    return frequent_ngrams(current_texts(spark, d), "text", MOST_WORDS, LEAST_OCCURRENCES)
 
 
 #: The dsets of evaluation and of training utterances.

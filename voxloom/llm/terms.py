@@ -106,13 +106,28 @@ def count_ngrams(ids: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tu
         yield n, order[heads][keep], count[keep], records[keep]
 
 
-def ngram_counts(df: DataFrame, text: str, max_n: int = 1) -> DataFrame:
+def _frequent_runs(ids: np.ndarray, record: np.ndarray, terms: list[str], pairs: list[str]) -> np.ndarray:
+    """How many pairs of neighbours from each position on are all among ``pairs``, within the record."""
+    place = {t: i for i, t in enumerate(terms)}
+    split = (p.split(" ") for p in pairs)
+    codes = np.array([place[a] * len(terms) + place[b] for a, b in split if a in place and b in place], dtype=np.int64)
+    good = np.zeros(len(ids), dtype=bool)
+    good[:-1] = np.isin(ids[:-1] * len(terms) + ids[1:], codes) & (record[1:] == record[:-1])
+    at = np.arange(len(ids))
+    stop = np.minimum.accumulate(np.where(good, len(ids), at)[::-1])[::-1]
+    return stop - at
+
+
+def ngram_counts(df: DataFrame, text: str, max_n: int = 1, least_n: int = 1, pairs: list[str] | None = None) -> DataFrame:
     """(n, term, occurrences, records): every n-gram of 1 to max_n terms, over all rows.
 
     Terms are the pieces between blanks, tabs and line breaks, exactly as written; those of
     an n-gram are joined by one blank. A row is a record; null, empty and blank texts hold no
     terms. One more row with n = 0 and a null term gives the number of records with a term.
+    With ``least_n`` shorter n-grams are left out, and with ``pairs`` those that hold a pair
+    of neighbours not among them.
     """
+    sent = df.sparkSession.sparkContext.broadcast(pairs) if pairs is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(words: list[str], lengths: list[int]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +137,15 @@ def ngram_counts(df: DataFrame, text: str, max_n: int = 1) -> DataFrame:
             place = np.argsort(np.argsort(np.array(terms, dtype=object), kind="stable"))
             ids = place[flat.indices.to_numpy()]
             record = np.repeat(np.arange(len(lengths)), lengths)
+            runs = _frequent_runs(ids, record, sorted(terms), sent.value) if sent is not None else None
             out = {"n": [0], "term": [None], "occurrences": [len(words)], "records": [len(lengths)]}
             yield pa.RecordBatch.from_pydict(out, schema=_PARTIAL)
             for n, at, count, records in count_ngrams(ids, record, max_n):
+                if n < least_n:
+                    continue
+                if runs is not None and n > 1:
+                    keep = runs[at] >= n - 1
+                    at, count, records = at[keep], count[keep], records[keep]
                 for a in range(0, len(at), BATCH_ROWS):
                     names = pa.array([" ".join(words[i : i + n]) for i in at[a : a + BATCH_ROWS].tolist()], pa.string())
                     some = slice(a, a + BATCH_ROWS)
@@ -147,6 +168,26 @@ def ngram_counts(df: DataFrame, text: str, max_n: int = 1) -> DataFrame:
     return part.groupBy("n", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
+#: Most frequent pairs of neighbours that are sent to the tasks.
+MOST_PAIRS = 1_000_000
+
+
+def frequent_ngrams(df: DataFrame, text: str, max_n: int, least: int) -> DataFrame:
+    """(n, term, occurrences, records) of the n-grams of 1 to max_n terms that occur ``least`` times or more.
+
+    An n-gram occurs no more often than any pair of neighbours in it. So pairs are counted first,
+    and of longer n-grams only those are shuffled whose pairs are all frequent enough: none is
+    lost. Should there be more than MOST_PAIRS such pairs, all longer n-grams are shuffled.
+    """
+    enough = (F.col("n") > 0) & (F.col("occurrences") >= least)
+    df = cut_table(df.select(F.col(text).cast("string").alias(text)))  # read twice
+    short = cut_table(ngram_counts(df, text, min(max_n, 2)).filter(enough))
+    if max_n <= 2:
+        return short
+    pairs = [r["term"] for r in short.filter("n = 2").select("term").limit(MOST_PAIRS + 1).collect()]
+    return short.union(ngram_counts(df, text, max_n, 3, pairs if len(pairs) <= MOST_PAIRS else None).filter(enough))
+
+
 _PARTIAL = pa.schema([("n", pa.int32()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
