@@ -1,5 +1,7 @@
 import os
 import random
+import re
+from collections import Counter
 from itertools import permutations
 
 import numpy as np
@@ -12,7 +14,7 @@ from voxloom.functions.tokenizers import build_tokenizer
 from voxloom.operators import chains as H
 from voxloom.operators import enhancement as E
 from voxloom.operators.relations import contains_join, uneven_keys
-from voxloom.operators.scoring import best_assignment, chrf
+from voxloom.operators.scoring import best_assignment, chrf, shared_grams
 from voxloom.plans.chain_queries import PIECES
 
 
@@ -147,6 +149,32 @@ def test_chrf_of_equal_and_of_empty_texts(spark):
     assert chrf(same.limit(0), "r", "h").first()[0] == 0.0
 
 
+def plain_chrf(pairs, most=6, beta=2.0):
+    p, r = [], []
+    for n in range(1, most + 1):
+        m = a = b = 0
+        for x, y in (["".join(re.split("[ \t\n\x0b\f\r]", t or "")) for t in pair] for pair in pairs):
+            x, y = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (x, y))
+            m, a, b = m + (x & y).total(), a + x.total(), b + y.total()
+        p, r = p + [m / b] * (b > 0), r + [m / a] * (a > 0)
+    p, r = sum(p) / max(len(p), 1), sum(r) / max(len(r), 1)
+    return 100 * (1 + beta**2) * p * r / (beta**2 * p + r)
+
+
+def test_chrf_counts_each_pair_where_it_lies(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abé語\U0001f600 \n", k=rng.randint(0, 30)))
+    pairs = [(word(), word()) for _ in range(300)]
+    pairs += [(x, x) for x, _ in pairs[:50]] + [(None, "ab"), ("aaaa", "aa"), ("ab", None), ("ab" * 4000, "ba" * 3000)]
+    df = spark.createDataFrame(pairs, "r string, h string").repartition(3)
+    assert abs(chrf(df, "r", "h").first()[0] - plain_chrf(pairs)) < 1e-9
+    # What is shuffled is one row a length and partition, whatever the texts are.
+    plan = chrf(df, "r", "h")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.index("Aggregate [n#") < plan.index("MapInPandas")
+    parts = [(x or "", y or "") for x, y in pairs]
+    assert (shared_grams(parts, 6) == sum(shared_grams([p], 6) for p in parts)).all()
+
+
 def plain_search(scores, block, hop, ahead, beam, end):
     """The search with all positions at hand: what the stream must give whatever its micro-batches."""
     rows, running, ended, at, k, n = [], [(0.0, ())], [], 0, 0, len(scores)

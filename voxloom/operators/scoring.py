@@ -355,19 +355,56 @@ def sequence_scores(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
     return rows.mapInPandas(run, f"{key} {kind}, n_ref bigint, edits bigint, rouge_l double")
 
 
+#: Characters of pairs whose n-grams are numbered together; a longer pair is taken alone.
+CHRF_CHARS = 500_000
+
+
+def shared_grams(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
+    """For each n up to ``most``, the n-grams of characters that the two texts of a pair share, counted as often as both hold them."""
+    x = np.frombuffer("".join(r + h for r, h in pairs).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    sizes = np.array([len(t) for p in pairs for t in p], dtype=np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.cumsum(sizes)[text] - np.arange(len(x))
+    number, ref, out = text // 2, text % 2 == 0, np.zeros(most, dtype=np.int64)
+    for n in range(1, most + 1):
+        # The number of an n-gram comes from that of its first n - 1 characters, at first its pair's, and the last.
+        at = np.flatnonzero(left >= n)
+        _, own = np.unique(number[at] * 0x110000 + x[at + n - 1], return_inverse=True)
+        number[at] = own
+        a, b = (np.bincount(own[side], minlength=len(own)) for side in (ref[at], ~ref[at]))
+        out[n - 1] = np.minimum(a, b).sum()
+    return out
+
+
 def chrf(df: DataFrame, ref: str, hyp: str, most: int = 6, beta: float = 2.0) -> DataFrame:
     """One row (chrf): the character n-gram F score over all pairs, blanks left out.
 
     Counts of each length are summed over the pairs; precision and recall are averages over the
     lengths of which there are any, recall weighing ``beta`` times. Null texts count as empty.
+    A pair is counted where it lies, so that no n-gram is shuffled.
     """
-    chars = lambda c: F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s", ""), F.lit("(?s)."), F.lit(0))
-    rows = df.select(F.monotonically_increasing_id().alias("__row"), chars(ref).alias("r"), chars(hyp).alias("h"))
-    rows = rows.select("__row", F.explode(F.array(*[F.lit(n) for n in range(1, most + 1)])).alias("n"), "r", "h")
-    grams = lambda c: F.when(F.size(c) >= F.col("n"), F.transform(F.sequence(F.lit(1), F.size(c) - F.col("n") + 1), lambda i: F.array_join(F.slice(F.col(c), i, F.col("n")), ""))).otherwise(F.array().cast("array<string>"))
-    both = rows.select("__row", "n", F.explode(F.concat(F.transform(grams("r"), lambda g: F.struct(g.alias("g"), F.lit(0).alias("side"))), F.transform(grams("h"), lambda g: F.struct(g.alias("g"), F.lit(1).alias("side"))))).alias("x"))
-    counts = both.groupBy("__row", "n", "x.g").agg(F.count_if(F.col("x.side") == 0).alias("a"), F.count_if(F.col("x.side") == 1).alias("b"))
-    sums = counts.groupBy("n").agg(F.sum(F.least("a", "b")).alias("m"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    lengths = np.arange(most)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, pairs, held = np.zeros((most, 3), dtype=np.int64), [], 0
+        for b in batches:
+            for r, h in zip(b["r"], b["h"]):
+                total[:, 1] += np.maximum(len(r) - lengths, 0)
+                total[:, 2] += np.maximum(len(h) - lengths, 0)
+                if r == h:
+                    total[:, 0] += np.maximum(len(r) - lengths, 0)
+                    continue
+                pairs.append((r, h))
+                held += len(r) + len(h)
+                if held >= CHRF_CHARS:
+                    total[:, 0] += shared_grams(pairs, most)
+                    pairs, held = [], 0
+        total[:, 0] += shared_grams(pairs, most)
+        yield pd.DataFrame([(n, *t) for n, t in enumerate(total.tolist(), 1)], columns=["n", "m", "a", "b"])
+
+    bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s", "")
+    counts = df.select(bare(ref).alias("r"), bare(hyp).alias("h")).mapInPandas(run, "n int, m bigint, a bigint, b bigint")
+    sums = counts.groupBy("n").agg(F.sum("m").alias("m"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     means = sums.agg(F.avg(F.col("m") / F.nullif(F.col("b"), F.lit(0))).alias("p"), F.avg(F.col("m") / F.nullif(F.col("a"), F.lit(0))).alias("r"))
     p, r = F.coalesce("p", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
     return means.select(F.coalesce(100 * (1 + beta**2) * p * r / F.nullif(beta**2 * p + r, F.lit(0.0)), F.lit(0.0)).alias("chrf"))
