@@ -12,7 +12,7 @@ from voxloom.llm.leaks import align, leaked_items
 from voxloom.llm.lookalike import consistent_forms, look_alike
 from voxloom.llm.overlap import WordIndex, cross_split_links, cross_split_pairs, edit_distances, spans_of
 from voxloom.llm.packing import best_fit_plan, pack
-from voxloom.llm.personal import Finder, Lexicon, find_personal, iban, luhn, redact
+from voxloom.llm.personal import Finder, Lexicon, count_words, find_personal, iban, luhn, redact
 from voxloom.llm.pieces import Limits, RangeMaximum, cut_item, cut_pieces, cut_units, strengths
 from voxloom.llm.queries import ORACLE, QUERIES, current_texts
 from voxloom.llm.splits import components, grouped_splits, place_block, speaker_splits, tied_speakers
@@ -672,3 +672,24 @@ def test_personal_rows(spark):
     out = sorted(((r.doc_id, r.text[-7:] if r.text else r.text, r.kinds, r.n_found) for r in find_personal(df, lex).collect()), key=str)
     assert out == sorted([(1, "[EMAIL]", ["email"], 1), (2, None, [], 0), (3, "", [], 0), (4, "[EMAIL]", ["email"], 1), (1, "[EMAIL]", ["email"], 1)], key=str)
     assert find_personal(df.limit(0), lex.limit(0)).count() == 0
+
+
+def test_the_classifier_of_names_is_fitted_on_all_words(spark):
+    names = "Lorkovsky Surkovsky Rerkovsky Anna Maria Tandek".split()
+    # Words that end as names do, far behind in one of many documents.
+    rng = random.Random(3)
+    alike = sorted({"".join(rng.choices("bdfgklmnprstz", k=2)) + rng.choice("aeiou") + "rkovsky" for _ in range(900)})
+    texts = ["they saw Mirkovsky Tandovsky there"] + [f"plain words of number {i}" for i in range(700)]
+    long = "and so on " * 600 + " ".join(alike)
+    lex = spark.createDataFrame([(n,) for n in names], "name string")
+    found = lambda ts: next(r.kinds for r in find_personal(spark.createDataFrame([(i, t, "en") for i, t in enumerate(ts)], "doc_id int, text string, lang string").repartition(5), lex).collect() if r.doc_id == 0)
+    assert found(texts) == ["name"] and found([*texts, long]) == []
+
+
+def test_counted_words_give_the_classifier_of_the_words(spark):
+    names = sorted({r.name for r in spark.read.parquet(f"{SMALL}/name_lexicon.parquet").collect() if r.name})
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text", "lang")
+    words = {w for r in docs.collect() if r.text for w in re.findall(r"[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))*", Finder._copy(r.text, r.lang)[0].lower()) if len(w) > 2}
+    whole, counted = Lexicon(names, words), Lexicon(names, counted=count_words(docs.repartition(7).union(docs), names))
+    assert counted._n_not == whole._n_not and counted.parts == whole.parts
+    assert all(abs(counted.odds(w) - whole.odds(w)) < 1e-9 for w in words)

@@ -10,9 +10,8 @@ letter) or have a shape that nothing technical has; behind a cue its shape is en
 mistyped identity number is personal too.
 
 Names: a word is known (in the lexicon) or like a name (a naive Bayes classifier over letter
-groups, fitted on the lexicon against the words of a bounded sample of the documents). Two
-name words together, a title with a name word, or a cue with what its strength asks for make
-a person.
+groups, fitted on the lexicon against the different words of all documents). Two name words
+together, a title with a name word, or a cue with what its strength asks for make a person.
 """
 
 from __future__ import annotations
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from voxloom.llm.lookalike import _INVISIBLE, _TO_LATIN
 
 KINDS = ("email", "phone", "idnum", "address", "name")
-#: Documents, and characters of each, whose words the classifier of names is fitted against.
-SAMPLE_DOCS, SAMPLE_CHARS = 500, 4_000
+#: Words, and characters of them, that a task keeps so as to give each of them once.
+MET_WORDS, MET_CHARS = 300_000, 10_000_000
 #: Most names of the lexicon, which is sent to every task.
 MOST_NAMES = 200_000
 
@@ -80,6 +79,7 @@ _COMMON = frozenset(
 #: Words of the cues themselves, which are no names either.
 _OTHER_CUES = frozenset(w for c in (*_ID_CUES, *_PHONE_CUES, *_ADDRESS_CUES) for w in c.split())
 _CUE_WORDS = _OTHER_CUES | {w for c in _CUE for w in c.split()}
+_FIXED_WORDS = _COMMON | _CUE_WORDS
 _STREET_EN = r"(?:street|st\.|avenue|ave\.?|road|rd\.|lane|court|drive|boulevard|blvd\.?|square|terrace|crescent|close|way|place)"
 _DIGIT_WORDS = tuple(
     "zero oh one two three four five six seven eight nine double triple null eins zwei drei vier fünf sechs sieben acht neun "
@@ -179,25 +179,35 @@ class Lexicon:
     """Names known beforehand, parts that several of them share, and a classifier of words.
 
     The classifier is naive Bayes over the groups of three and four letters of a word, fitted
-    on the names against ``words``. ``BIAS`` is the log odds that a word must give, ``WEIGHT``
-    that of the frequency in all words, in words.
+    on the names against ``words``, or against words that ``count_words`` counted. ``BIAS`` is
+    the log odds that a word must give, ``WEIGHT`` that of the frequency in all words, in words.
     """
 
     BIAS, WEIGHT = 3.0, 20.0
 
-    def __init__(self, names: Iterable[str], words: Iterable[str] = ()):
+    def __init__(self, names: Iterable[str], words: Iterable[str] = (), counted: tuple[int, dict[str, int], dict[str, int]] | None = None):
         self.names = frozenset(n.lower() for n in names if n)
-        other = {w for w in words if w not in self.names} | _COMMON | _CUE_WORDS
+        other = {w for w in words if w not in self.names} | _FIXED_WORDS
         ends = Counter(n[-4:] for n in self.names if len(n) > 4)
         own = Counter(w[-4:] for w in other if len(w) > 4)
-        #: Endings of at least three names, and of more names than other words.
-        self.parts = frozenset(e for e, k in ends.items() if k >= 3 and k > own[e])
+        own.update(counted[2] if counted else {})
         self._is, self._not = Counter(), Counter()
         for w in self.names:
             self._is.update(self._groups(w))
         for w in other:
             self._not.update(self._groups(w))
         self._n_is, self._n_not = len(self.names), len(other)
+        #: What a group counts that no name and no other word here has. Counted words hold every
+        #: word that is asked for, so the group is met there, and the odds of a group of no name
+        #: are the same however often it is.
+        self._rest = 0
+        if counted:
+            self._n_not += counted[0]
+            self._not.update(counted[1])
+            self._rest = 1
+        #: Endings of at least three names that tell by themselves: by the share of the names that
+        #: end so against that of the other words, which a larger table leaves as it is.
+        self.parts = frozenset(e for e, k in ends.items() if k >= 3 and k * self._n_not > math.exp(self.BIAS) * own[e] * self._n_is)
         self._seen: dict[str, bool] = {}
 
     @classmethod
@@ -213,10 +223,11 @@ class Lexicon:
         """Log odds that a word is a name by its letters alone."""
         out = 0.0
         for g in self._groups(word):
-            if k := self._is[g] + self._not[g]:
+            own, other = self._is[g], self._not[g]
+            if k := own + other or self._rest:
                 # Smoothed towards the frequency of the group in all words.
                 prior = self.WEIGHT * k / (self._n_is + self._n_not)
-                out += math.log((self._is[g] + prior) / (self._n_is + self.WEIGHT)) - math.log((self._not[g] + prior) / (self._n_not + self.WEIGHT))
+                out += math.log((own + prior) / (self._n_is + self.WEIGHT)) - math.log((k - own + prior) / (self._n_not + self.WEIGHT))
         return out
 
     def value(self, word: str) -> int:
@@ -251,9 +262,7 @@ class Finder:
     def spans(self, text: str, lang: str | None = None) -> list[tuple[int, int, str]]:
         """(start, end, kind), in text order and without overlaps."""
         plain, at = self._copy(text, lang)
-        low = plain.lower()
-        if len(low) != len(plain):
-            low = "".join(x if len(x := c.lower()) == 1 else c for c in plain)
+        low = _lower(plain)
         found: dict[str, list[tuple[int, str]]] = {}
         last_digit = -2
         for end, (word, roles) in self.automaton.iter(low.replace("\n", " ").replace("\t", " ")):
@@ -456,6 +465,12 @@ class Finder:
         return both and not comma and (value[0] == 2 or value[1] == 2 and not opens)
 
 
+def _lower(plain: str) -> str:
+    """In lower case, of the same length."""
+    low = plain.lower()
+    return low if len(low) == len(plain) else "".join(x if len(x := c.lower()) == 1 else c for c in plain)
+
+
 def _tail(low: str, stop: int, spoken: bool) -> int:
     """Where the local part that ends at ``stop`` begins; ``stop`` if there is none."""
     i = stop
@@ -483,29 +498,65 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 _finders: dict[str, Finder] = {}
 
 
+def count_words(rows: DataFrame, names: Iterable[str]) -> tuple[int, dict[str, int], dict[str, int]]:
+    """Over the different words of all rows (text, lang), the names and the fixed words aside: their number, how many hold each letter group of a name, and how many end as a name does.
+
+    Words are made as the finder makes them. A word is shuffled once a task, and a table of the
+    size of the names' groups comes back; groups of no name need no count (see ``Lexicon``).
+    """
+    names = frozenset(n.lower() for n in names if n)
+    sent = rows.sparkSession.sparkContext.broadcast((names | _FIXED_WORDS, {g for n in names for g in Lexicon._groups(n)}, {n[-4:] for n in names if len(n) > 4}))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_out, met, held = sent.value[0], set(), 0
+        for b in batches:
+            new = []
+            for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for w in set(_NAME_TOKEN.findall(_lower(Finder._copy(t, g)[0]))) - met if t else ():
+                    if len(w) > 2 and w not in left_out:
+                        new.append(w)
+                        held += len(w)
+                        met.add(w)
+                if len(met) > MET_WORDS or held > MET_CHARS:
+                    met, held = set(), 0
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["w"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, groups, ends = sent.value
+        n, held, ended = 0, Counter(), Counter()
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                n += 1
+                held.update(groups & Lexicon._groups(w))
+                if len(w) > 4 and w[-4:] in ends:
+                    ended[w[-4:]] += 1
+        parts = [("n", "", n), *(("group", g, k) for g, k in held.items()), *(("end", g, k) for g, k in ended.items())]
+        yield pa.RecordBatch.from_pylist([dict(zip(("what", "g", "k"), p)) for p in parts], pa.schema([("what", pa.string()), ("g", pa.string()), ("k", pa.int64())]))
+
+    different = rows.mapInArrow(words, "w string").distinct()
+    out = different.mapInArrow(count, "what string, g string, k bigint").groupBy("what", "g").agg(F.sum("k").alias("k")).collect()
+    of = lambda what: {r["g"]: r["k"] for r in out if r["what"] == what}
+    return of("n").get("", 0), of("group"), of("end")
+
+
 def find_personal(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, text, kinds, n_found): the redacted text and the sorted kinds found, of every row.
 
     Null texts stay null, empty texts empty; repeated rows stay. The lexicon (column ``name``)
     is a fixed table; its size is checked before it is sent to the tasks. The classifier of
-    names is fitted on it and on a bounded sample: SAMPLE_CHARS characters of the SAMPLE_DOCS
-    documents whose keys have the least hashes. Every document is searched whole. No shuffle.
+    names is fitted on it and on the different words of all rows, which are all that is shuffled.
     """
     names = [r["name"] for r in lexicon.select("name").filter("name is not null").limit(MOST_NAMES + 1).collect()]
     if len(names) > MOST_NAMES:
         raise ValueError("the name lexicon is too large to send to every task")
-    # The hashes first, over the keys alone, so that the texts of no more documents travel.
-    least = [r["h"] for r in df.select(F.xxhash64(F.col(key)).alias("h")).orderBy("h").limit(SAMPLE_DOCS).collect()]
-    start = F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS)
-    sample = df.filter(F.col(text).isNotNull() & (F.xxhash64(F.col(key)) <= (least[-1] if least else 0))).groupBy(F.xxhash64(F.col(key)).alias("h")).agg(F.min(start).alias("t"))
-    words = sorted({w for r in sample.collect() for w in _NAME_TOKEN.findall(r["t"].lower()) if len(w) > 2})
-    sent = df.sparkSession.sparkContext.broadcast((names, words))
+    counted = count_words(df.select(F.col(text).cast("string"), F.col(lang).cast("string")), names)
+    sent = df.sparkSession.sparkContext.broadcast((names, counted))
     kind, mark = df.schema[key].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (finder := _finders.get(mark)) is None:
             _finders.clear()
-            finder = _finders[mark] = Finder(Lexicon(*sent.value))
+            finder = _finders[mark] = Finder(Lexicon(sent.value[0], counted=sent.value[1]))
         for b in batches:
             texts, kinds, n = [], [], []
             for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
